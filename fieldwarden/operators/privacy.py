@@ -1,7 +1,7 @@
 """Privacy checks computed from the data (PRV-1..4).
 
-The reference asks a hosted model these questions about a few sample values;
-here each question has a stated rule that is evaluated over the whole table.
+Questions that are often put to a reviewer or a hosted model with a few sample
+values are answered here by a stated rule evaluated over the whole table.
 """
 
 from __future__ import annotations
@@ -160,17 +160,29 @@ def regulatory_flags(findings: DataFrame, mapping: DataFrame | None = None) -> D
     ).distinct()
 
 
+def _batches(groups: Sequence[Sequence[str]], sets: int, columns: int) -> list[list[list[str]]]:
+    """Groups in runs of at most ``sets`` that involve at most ``columns`` columns."""
+    out: list[list[list[str]]] = []
+    seen: set[str] = set()
+    for g in groups:
+        if not out or len(out[-1]) >= sets or len(seen | set(g)) > columns:
+            out.append([])
+            seen = set()
+        out[-1].append(list(g))
+        seen |= set(g)
+    return out
+
+
 def k_anonymity(df: DataFrame, groups: Sequence[Sequence[str]], k: int = 5, sets_per_job: int = 64) -> DataFrame:
     """Class sizes of column groups: rows, classes, smallest class, rows in classes below ``k``.
 
-    The rows are first counted once by all columns involved, so the grouping
-    sets expand counted classes rather than rows.
+    The rows are first counted once by all columns of a batch of groups, so the
+    grouping sets expand counted classes rather than rows.
     """
-    columns = sorted({c for g in groups for c in g})
-    base = df.groupBy(*[q(c) for c in columns]).agg(F.count(F.lit(1)).alias("__n"))
     out = None
-    for start in range(0, len(groups), sets_per_job):
-        part = [list(g) for g in groups[start : start + sets_per_job]]
+    for part in _batches(groups, sets_per_job, 60):
+        columns = sorted({c for g in part for c in g})
+        base = df.groupBy(*[q(c) for c in columns]).agg(F.count(F.lit(1)).alias("__n"))
         sized = base.groupingSets([[q(c) for c in g] for g in part], *[q(c) for c in columns]).agg(
             F.sum("__n").alias("__size"), F.grouping_id().alias("__gid")
         )

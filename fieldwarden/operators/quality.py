@@ -1,7 +1,7 @@
 """Value plausibility, cross-column consistency and completeness (QLT-1..3).
 
-As in the privacy checks, every question put to a hosted model by the
-reference is answered by a stated rule over the whole table.
+As in the privacy checks, every question is answered by a stated rule over the
+whole table.
 """
 
 from __future__ import annotations
