@@ -114,6 +114,17 @@ def first_values(index: DataFrame, limit: int) -> DataFrame:
     ).select("source", "column", "value", "cnt", "rn")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table over the cores when its files give fewer tasks than there are cores.
+
+    Text rules are bound by processors, so one unsplittable small file should
+    not be one task.  Large inputs have more splits than cores and stay as read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if splits < cores else df
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Optimizer's size estimate of a plan (file sizes for scans)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
