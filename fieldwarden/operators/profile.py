@@ -293,7 +293,7 @@ def dataset_profile(
     return (
         profile(frame, names, order_by, samples, top)
         .join(F.broadcast(batches), "column")
-        .withColumn("row_count", F.lit(rows))
-        .withColumn("profile_sample_rows", F.lit(sampled))
+        .withColumn("row_count", F.lit(rows).cast("long"))
+        .withColumn("profile_sample_rows", F.lit(sampled).cast("long"))
         .withColumn("column_count", F.lit(len(df.columns)))
     )

@@ -262,7 +262,7 @@ def _unique_check(i: int, column: str) -> str:
     filled = f"(SELECT count({column}) FROM contacts)"
     return (
         f"SELECT {i}, 'expect_column_values_to_be_unique', '{column}', coalesce(sum(n), 0) = 0, "
-        f"(SELECT count(*) - count({column}) FROM contacts), coalesce(sum(n), 0), round(coalesce(sum(n), 0) / {filled} * 100, 6), "
+        f"(SELECT count(*) - count({column}) FROM contacts), cast(coalesce(sum(n), 0) AS BIGINT), round(coalesce(sum(n), 0) / {filled} * 100, 6), "
         f"cast(arg_min(v, r) AS VARCHAR) FROM {dup}"
     )
 
@@ -322,7 +322,7 @@ TEXT = {"documents": ["text", "lang", "source"], "pages": ["url", "html"], "part
 
 def _text(table: str, column: str) -> str:
     return (
-        f"SELECT '{column}' AS \"column\", count({column}) AS non_null, min(length({column})) AS len_min, max(length({column})) AS len_max, "
+        f"SELECT '{column}' AS \"column\", count({column}) AS non_null, cast(min(length({column})) AS INTEGER) AS len_min, cast(max(length({column})) AS INTEGER) AS len_max, "
         f"round(quantile_cont(cast(length({column}) AS DOUBLE), 0.95), 6) AS len_p95, "
         f"round_even(avg(CASE WHEN regexp_full_match({column}, '[+-]?(?:[0-9]+(?:\\.[0-9]*)?|\\.[0-9]+)') THEN 1.0 ELSE 0.0 END) * 100, 2) AS numeric_parse_pct, "
         f"round_even(avg(CASE WHEN regexp_matches({column}, '^\\s') OR regexp_matches({column}, '\\s$') THEN 0.0 ELSE 1.0 END) * 100, 2) AS trimmed_pct FROM {table}"
@@ -384,21 +384,21 @@ def _dependency(left: str, right: str) -> str:
     keys = left.replace("+", ", ")
     return (
         f"SELECT '{left}' AS key, '{right}' AS value, count(*) AS groups, count(CASE WHEN k > 1 THEN 1 END) AS violating_groups, "
-        f"coalesce(sum(CASE WHEN k > 1 THEN n END), 0) AS rows_involved FROM (SELECT count(*) AS n, count(DISTINCT {right}) AS k FROM part WHERE {right} IS NOT NULL GROUP BY {keys})"
+        f"cast(coalesce(sum(CASE WHEN k > 1 THEN n END), 0) AS BIGINT) AS rows_involved FROM (SELECT count(*) AS n, count(DISTINCT {right}) AS k FROM part WHERE {right} IS NOT NULL GROUP BY {keys})"
     )
 
 
 def _classes(columns: str, table: str, k: int) -> str:
     return (
-        f"SELECT '{columns}' AS columns, sum(n) AS rows, count(*) AS classes, min(n) AS min_class_size, "
-        f"coalesce(sum(CASE WHEN n < {k} THEN n END), 0) AS rows_below_k FROM (SELECT count(*) AS n FROM {table} GROUP BY {columns})"
+        f"SELECT '{columns}' AS columns, cast(sum(n) AS BIGINT) AS rows, count(*) AS classes, min(n) AS min_class_size, "
+        f"cast(coalesce(sum(CASE WHEN n < {k} THEN n END), 0) AS BIGINT) AS rows_below_k FROM (SELECT count(*) AS n FROM {table} GROUP BY {columns})"
     )
 
 
 def _duplicates(label: str, table: str, keys: str) -> str:
     return (
-        f"SELECT '{label}' AS key, coalesce(sum(n), 0) AS rows, count(CASE WHEN n > 1 THEN 1 END) AS duplicate_groups, "
-        f"coalesce(sum(CASE WHEN n > 1 THEN n END), 0) AS duplicate_rows FROM (SELECT count(*) AS n FROM {table} GROUP BY {keys})"
+        f"SELECT '{label}' AS key, cast(coalesce(sum(n), 0) AS BIGINT) AS rows, count(CASE WHEN n > 1 THEN 1 END) AS duplicate_groups, "
+        f"cast(coalesce(sum(CASE WHEN n > 1 THEN n END), 0) AS BIGINT) AS duplicate_rows FROM (SELECT count(*) AS n FROM {table} GROUP BY {keys})"
     )
 
 
@@ -427,7 +427,7 @@ PROPOSED = "SELECT p_partkey, p_size, p_brand, p_partkey % 4 AS kind FROM part"
 BETWEEN_PARAMS = "p_size"
 
 ORACLES: dict[str, str] = {
-    "sample_values_contacts": f"WITH {CONTACTS}, {CONTACT_CELLS}, {sampled()} SELECT \"column\", value, cnt, rn FROM sample",
+    "sample_values_contacts": f"WITH {CONTACTS}, {CONTACT_CELLS}, {sampled()} SELECT \"column\", value, cnt, cast(rn AS INTEGER) AS rn FROM sample",
     "column_shape": (
         f"WITH {CONTACTS}, {cells('c1', 'contacts', 'rid', CONTACT_VALUES, 'contacts')}, {cells('c2', 'documents', 'doc_id', ['text', 'lang', 'source'], 'documents')}, "
         f"cells AS (SELECT source, rid, \"column\", regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS raw FROM (SELECT * FROM c1 UNION ALL SELECT * FROM c2)), {sampled()}, "
@@ -444,7 +444,7 @@ ORACLES: dict[str, str] = {
     "scan_findings": MANY_FINDINGS + "SELECT * FROM findings",
     "scan_stats": MANY_FINDINGS + (
         f", listed AS ({MANY_COLUMNS}) SELECT l.source, count(CASE WHEN coalesce(s.scanned, {has_hint('l.\"column\"', CANDIDATE_HINTS)}) THEN 1 END) AS columns_scanned, "
-        "coalesce(sum(f.n), 0) AS findings FROM listed l LEFT JOIN shape s ON l.source = s.source AND l.\"column\" = s.\"column\" "
+        "cast(coalesce(sum(f.n), 0) AS BIGINT) AS findings FROM listed l LEFT JOIN shape s ON l.source = s.source AND l.\"column\" = s.\"column\" "
         "LEFT JOIN (SELECT source, \"column\", count(*) AS n FROM findings GROUP BY ALL) f ON l.source = f.source AND l.\"column\" = f.\"column\" GROUP BY l.source"
     ),
     "full_scan_contacts": FULL + (
@@ -452,11 +452,11 @@ ORACLES: dict[str, str] = {
     ),
     "full_scan_tokens": (
         f"WITH {TOKENS}, idx AS (SELECT regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS value, count(*) AS cnt FROM tokens GROUP BY 1 HAVING value <> ''), {hits('hit', 'idx')} "
-        "SELECT pattern, count(*) AS matches, sum(cnt) AS rows, (SELECT count(*) FROM idx) AS sample_size, (SELECT sum(cnt) FROM idx) AS total_rows FROM hit GROUP BY pattern"
+        "SELECT pattern, count(*) AS matches, cast(sum(cnt) AS BIGINT) AS rows, (SELECT count(*) FROM idx) AS sample_size, (SELECT cast(sum(cnt) AS BIGINT) FROM idx) AS total_rows FROM hit GROUP BY pattern"
     ),
     "entity_scan_documents": entity_rows("SELECT DISTINCT regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM documents WHERE trim(text) <> ''"),
     "entity_scan_conversations": entity_rows(
-        "SELECT value AS text FROM (SELECT regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS value, min((conv_id, turn)) AS at FROM conversations GROUP BY 1 HAVING value <> '') ORDER BY at LIMIT 500"
+        "SELECT value AS text FROM (SELECT regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS value, min((conv_id, turn)) AS spot FROM conversations GROUP BY 1 HAVING value <> '') ORDER BY spot LIMIT 500"
     ),
     "entity_findings_notes": (
         f"WITH {NOTES}, names AS (SELECT full_name AS v, min(rid) AS r FROM notes GROUP BY 1 ORDER BY r LIMIT 500), texts AS (SELECT rid AS r, note AS v, "
@@ -473,7 +473,7 @@ ORACLES: dict[str, str] = {
     ) + " FROM findings",
     "risk_counts": CONTACT_FINDINGS + "SELECT risk, count(*) AS findings FROM findings GROUP BY risk",
     "top_findings": CONTACT_FINDINGS + (
-        "SELECT concat(array_to_string(list_transform(string_split(pattern, '_'), lambda w: concat(upper(w[1]), w[2:])), ' '), '(Regex)') AS pattern, risk, sum(matches) AS matches FROM findings GROUP BY 1, 2 ORDER BY matches DESC, pattern, risk LIMIT 10"
+        "SELECT concat(array_to_string(list_transform(string_split(pattern, '_'), lambda w: concat(upper(w[1]), w[2:])), ' '), '(Regex)') AS pattern, risk, cast(sum(matches) AS BIGINT) AS matches FROM findings GROUP BY 1, 2 ORDER BY matches DESC, pattern, risk LIMIT 10"
     ),
     "distinct_findings": CONTACT_FINDINGS + "SELECT DISTINCT \"column\", pattern, risk, detection_source FROM findings",
     "findings_sorted": CONTACT_FINDINGS + "SELECT source, \"column\", pattern, risk, confidence, matches, match_pct, detection_source, sample_match_1 FROM findings",
@@ -487,7 +487,7 @@ ORACLES: dict[str, str] = {
     "hash_cells": remediated(HASH, CELL_ROWS),
     "stream_redacted_contacts": remediated(REDACT, CELL_ROWS),
     "remediation_audit": remediated(REDACT, AUDIT.format(s="REDACT")),
-    "remediation_summary": remediated(HASH, f"SELECT file_name, pattern, strategy, sum(cells_changed) AS cells_changed FROM ({AUDIT.format(s='HASH')}) GROUP BY ALL"),
+    "remediation_summary": remediated(HASH, f"SELECT file_name, pattern, strategy, cast(sum(cells_changed) AS BIGINT) AS cells_changed FROM ({AUDIT.format(s='HASH')}) GROUP BY ALL"),
     "total_cells": remediated(REDACT, "SELECT count(*) AS total_cells_changed FROM rewritten WHERE pattern IS NOT NULL"),
     "sample_literals": CONTACT_FINDINGS + (
         ", lits AS (SELECT sample_match_1 AS a, sample_match_2 AS b, sample_match_3 AS c, sample_match_4 AS d, sample_match_5 AS e FROM findings WHERE \"column\" = 'email' AND pattern = 'email') "
@@ -548,7 +548,7 @@ ORACLES: dict[str, str] = {
     ),
     "profile_numeric": " UNION ALL ".join(_numeric(t, c) for t, cols in NUMERIC.items() for c in cols),
     "profile_text": " UNION ALL ".join(_text(t, c) for t, cols in TEXT.items() for c in cols),
-    "top_values": "SELECT \"column\", value, cnt, rank FROM (" + " UNION ALL ".join(
+    "top_values": "SELECT \"column\", value, cnt, cast(rank AS INTEGER) AS rank FROM (" + " UNION ALL ".join(
         _top(t, c) for t, cols in TOP.items() for c in cols
     ) + ") WHERE kinds <= 50 AND rank <= 8",
     "first_values_per_column": f"WITH {CONTACTS}, {CONTACT_CELLS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY \"column\" ORDER BY rid) AS k FROM cells) "
@@ -575,10 +575,10 @@ ORACLES: dict[str, str] = {
     "proposal_diagnostics": (
         f"WITH p AS ({PROPOSED}), a AS (SELECT count(CASE WHEN kind < 3 THEN 1 END) AS answered, count(CASE WHEN kind = 0 THEN 1 END) AS k0, count(CASE WHEN kind = 1 THEN 1 END) AS k1, count(CASE WHEN kind = 2 THEN 1 END) AS k2, count(CASE WHEN kind = 3 THEN 1 END) AS k3, "
         "count(DISTINCT CASE WHEN kind = 0 THEN p_size END) + count(DISTINCT CASE WHEN kind = 1 THEN p_brand END) + count(DISTINCT CASE WHEN kind = 2 THEN greatest(0.95, cast(concat('0.', cast(p_size AS VARCHAR)) AS DOUBLE)) END) AS kept, "
-        "sum(CASE kind WHEN 0 THEN length(concat('```json', chr(10), '[{\"expectation_type\":\"expect_column_values_to_be_between\",\"column\":\"p_size\",\"kwargs\":{\"min_value\":', cast(p_size AS VARCHAR), '},\"confidence\":\"low\",\"rationale\":\" size \"},{\"expectation_type\":\"expect_table\",\"column\":\"p_name\"}]', chr(10), '```')) "
+        "cast(sum(CASE kind WHEN 0 THEN length(concat('```json', chr(10), '[{\"expectation_type\":\"expect_column_values_to_be_between\",\"column\":\"p_size\",\"kwargs\":{\"min_value\":', cast(p_size AS VARCHAR), '},\"confidence\":\"low\",\"rationale\":\" size \"},{\"expectation_type\":\"expect_table\",\"column\":\"p_name\"}]', chr(10), '```')) "
         "WHEN 1 THEN length(concat('{\"items\":[{\"expectation_type\":\"EXPECT_COLUMN_VALUES_TO_BE_IN_SET\",\"column\":\"p_brand\",\"kwargs\":{\"value_set\":[\"', p_brand, '\",1]}},{\"expectation_type\":\"expect_column_values_to_be_unique\",\"column\":\"p_missing\"}]}')) "
-        "WHEN 2 THEN length(concat('[{\"expectation_type\":\"expect_column_values_to_not_be_null\",\"column\":\"p_name\",\"kwargs\":{\"mostly\":0.', cast(p_size AS VARCHAR), '}},7]')) ELSE length('no answer') END) AS chars FROM p) "
-        "SELECT 1 AS batches, k0 + k1 + k2 + k3 AS responses, chars AS response_chars, 2 * k0 + 2 * k1 + k2 AS items_parsed, kept AS specs_accepted, kept AS proposed_specs_accepted, 0 AS profile_fallback_specs, k0 AS rejected_unknown_type, k1 AS rejected_bad_column FROM a"
+        "WHEN 2 THEN length(concat('[{\"expectation_type\":\"expect_column_values_to_not_be_null\",\"column\":\"p_name\",\"kwargs\":{\"mostly\":0.', cast(p_size AS VARCHAR), '}},7]')) ELSE length('no answer') END) AS BIGINT) AS chars FROM p) "
+        "SELECT 1 AS batches, k0 + k1 + k2 + k3 AS responses, chars AS response_chars, 2 * k0 + 2 * k1 + k2 AS items_parsed, kept AS specs_accepted, kept AS proposed_specs_accepted, cast(0 AS BIGINT) AS profile_fallback_specs, k0 AS rejected_unknown_type, k1 AS rejected_bad_column FROM a"
     ),
     "response_rows": (
         "SELECT o_orderkey, 0 AS pos, 'o_totalprice' AS \"column\", 'odd total' AS issue, cast(o_orderkey AS VARCHAR) AS example, 'HIGH' AS severity FROM orders WHERE o_orderstatus = 'F' "
@@ -666,16 +666,16 @@ ORACLES: dict[str, str] = {
         "SELECT o_orderkey, o_custkey FROM r WHERE n <= 1000 OR i < 333 OR i >= n - 333 OR (i >= (n - 334) // 2 AND i < (n - 334) // 2 + 334)"
     ),
     "document_lines": (
-        "SELECT doc_id, line_no, value FROM (SELECT doc_id, unnest(p) AS value, generate_subscripts(p, 1) - 1 AS line_no FROM (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c]|\\x{85}|\\x{2028}|\\x{2029}') AS p FROM documents)) WHERE regexp_matches(value, '\\S')"
+        "SELECT doc_id, cast(line_no AS INTEGER) AS line_no, value FROM (SELECT doc_id, unnest(p) AS value, generate_subscripts(p, 1) - 1 AS line_no FROM (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c]|\\x{85}|\\x{2028}|\\x{2029}') AS p FROM documents)) WHERE regexp_matches(value, '\\S')"
     ),
     "file_rollup": remediated(REDACT, (
         f", checks AS ({INPUT_SUITE_SQL}) SELECT 'contacts' AS file, (SELECT count(*) FROM findings) AS pii_findings, "
         "(SELECT cast(round_even(count(CASE WHEN passed THEN 1 END) / count(*) * 100, 0) AS BIGINT) FROM checks) AS dq_score, "
-        "(SELECT count(*) FROM rewritten WHERE pattern IS NOT NULL) AS cells_remediated, 0 AS errors"
+        "(SELECT count(*) FROM rewritten WHERE pattern IS NOT NULL) AS cells_remediated, cast(0 AS BIGINT) AS errors"
     )),
     "first_seen_tokens": (
-        f"WITH {TOKENS}, idx AS (SELECT regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS value, count(*) AS cnt, min((doc_id, pos)) AS at FROM tokens GROUP BY 1 HAVING value <> '') "
-        "SELECT value, cnt, row_number() OVER (ORDER BY at) AS rn FROM idx ORDER BY at LIMIT 500"
+        f"WITH {TOKENS}, idx AS (SELECT regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS value, count(*) AS cnt, min((doc_id, pos)) AS spot FROM tokens GROUP BY 1 HAVING value <> '') "
+        "SELECT value, cnt, cast(row_number() OVER (ORDER BY spot) AS INTEGER) AS rn FROM idx ORDER BY spot LIMIT 500"
     ),
 }
 # One pattern per column wins in the order findings are listed, not in remediation order.
