@@ -7,6 +7,7 @@ Java-only wrapping (anchors, Unicode classes) is added in one place here.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -143,11 +144,10 @@ class PatternRegistry:
 
     def confidence(self, column: Column, pattern: Column) -> Column:
         """HIGH when the column name carries a hint for the pattern, else LOW (DET-2)."""
-        lowered = F.lower(column)
-        hinted = F.lit(False)
+        hinted = F.when(F.lit(False), F.lit(False))
         for rule in self:
             if rule.hints:
-                hinted = hinted | ((pattern == rule.name) & contains_any(lowered, rule.hints))
+                hinted = hinted.when(pattern == rule.name, contains_any(F.lower(column), rule.hints))
         return F.when(hinted, "HIGH").otherwise("LOW")
 
     def risk(self, pattern: Column, confidence: Column, match_pct: Column) -> Column:
@@ -163,10 +163,8 @@ class PatternRegistry:
 
 
 def contains_any(text: Column, needles: Iterable[str]) -> Column:
-    found = F.lit(False)
-    for needle in needles:
-        found = found | text.contains(needle)
-    return found
+    """True when some needle occurs in the text, as one alternation of literals."""
+    return text.rlike("|".join(re.escape(n) for n in needles))
 
 
 def is_candidate_column(name: str) -> bool:

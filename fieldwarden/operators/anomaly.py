@@ -135,13 +135,23 @@ def _as_double(value: Column, dtype: T.DataType) -> Column:
 def _numeric_pool(df: DataFrame, sizes: dict[str, int], order_by) -> DataFrame:
     """About ``POOL_ROWS`` uniformly chosen values per column (all when fewer)."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    picks = []
-    for i, (c, n) in enumerate(sizes.items()):
-        value = _as_double(q(c), types[c])
-        chance = F.pmod(F.xxhash64(row_key(order_by), value, F.lit(i + SEED)), F.lit(1 << 30)) / float(1 << 30)
-        keep = F.lit(True) if n <= POOL_ROWS else chance < POOL_ROWS / n
-        picks.append(F.when(value.isNotNull() & keep, F.struct(F.lit(c).alias("column"), value.alias("x"))))
-    return df.select(F.explode(F.array_compact(F.array(*picks))).alias("p")).select("p.column", "p.x")
+    names = list(sizes)
+    share = {c: min(1.0, POOL_ROWS / n) for c, n in sizes.items()}
+    numbers = [_as_double(q(c), types[c]).alias(f"x{i}") for i, c in enumerate(names)]
+    rows = df.select(F.struct(row_key(order_by)).alias("rid"), *numbers)
+    chance = F.pmod(F.xxhash64("*", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
+    rows = rows.select("*", chance.alias("chance")).where(F.col("chance") < max(share.values()))
+    parts = F.array(
+        *[
+            F.struct(F.lit(c).alias("column"), F.col(f"x{i}").alias("x"), F.lit(share[c]).alias("share"))
+            for i, c in enumerate(names)
+        ]
+    )
+    return (
+        rows.select("chance", F.explode(parts).alias("p"))
+        .where(F.col("p.x").isNotNull() & (F.col("chance") < F.col("p.share")))
+        .select("p.column", "p.x")
+    )
 
 
 def _fit_pool(key, pdf):
@@ -313,11 +323,14 @@ def explain_text(flagged_index: DataFrame) -> DataFrame:
     return summary.select("column", text.alias("explanation"))
 
 
-def _in_ranges(value: Column, open_low: bool) -> Column:
-    def inside(r: Column) -> Column:
-        return ((value > r["lows"]) if open_low else (value >= r["lows"])) & (value <= r["highs"])
+def _in_any(value: Column, ranges: Sequence[tuple[float, float]]) -> Column:
+    """Value lies above the low and up to the high end of some range."""
+    pairs = F.array(*[F.struct(F.lit(a).alias("low"), F.lit(b).alias("high")) for a, b in ranges])
+    return F.exists(pairs, lambda r: (value > r["low"]) & (value <= r["high"]))
 
-    return F.exists(F.arrays_zip("lows", "highs"), inside)
+
+def _in_ranges(value: Column) -> Column:
+    return F.exists(F.arrays_zip("lows", "highs"), lambda r: (value >= r["lows"]) & (value <= r["highs"]))
 
 
 def _first_examples(flagged: DataFrame, n: int) -> DataFrame:
@@ -363,24 +376,24 @@ def detect_anomalies(
     for start in range(0, len(listed), COLUMNS_PER_MODEL_BATCH):
         sizes = dict(listed[start : start + COLUMNS_PER_MODEL_BATCH])
         flags = _numeric_flags(df, sizes, contamination, order_by)
-        cells = F.array(
-            *[
-                F.struct(
-                    F.lit(c).alias("column"),
-                    _as_double(q(c), types[c]).alias("x"),
-                    as_text(q(c), types[c]).alias("value"),
-                )
-                for c in sizes
-            ]
-        )
-        # The ranges are model metadata: at most one entry per fitted interval and column.
+        # Ranges are model metadata, at most one per fitted interval; only flagged cells become text.
+        ranges = {r["column"]: list(zip(r["lows"], r["highs"])) for r in flags.collect()}
+        cells = F.array_compact(
+            F.array(
+                *[
+                    F.when(
+                        _in_any(_as_double(q(c), types[c]), found),
+                        F.struct(F.lit(c).alias("column"), as_text(q(c), types[c]).alias("value")),
+                    )
+                    for c, found in ranges.items()
+                ]
+            )
+        ) if ranges else None
+        if cells is None:
+            continue
         odd = (
             df.select(row_key(order_by).alias("rid"), F.explode(cells).alias("c"))
-            .select("rid", "c.*")
-            .where(F.col("x").isNotNull())
-            .join(F.broadcast(flags.select("column", "lows", "highs")), "column")
-            .where(_in_ranges(F.col("x"), open_low=True))
-            .groupBy("column", "value")
+            .groupBy("c.column", "c.value")
             .agg(F.min("rid").alias("first_rid"))
         )
         out = out.unionByName(finish(flags, _first_examples(odd, max_sample_values)))
@@ -388,7 +401,7 @@ def detect_anomalies(
         index = value_index(long_form(df, text, order_by)).select("column", "value", "cnt", "first_rid")
         flags = _rarity_flags(index, contamination)
         marked = index.join(F.broadcast(flags.select("column", "lows", "highs")), "column").withColumn(
-            "odd", _in_ranges(F.col("cnt"), open_low=False)
+            "odd", _in_ranges(F.col("cnt"))
         )
         explained = flags.drop("explanation").join(explain_text(marked.drop("lows", "highs")), "column")
         out = out.unionByName(finish(explained, _first_examples(marked.where("odd"), max_sample_values)))

@@ -44,32 +44,45 @@ def entity_udf(factory: Callable[[], Callable[[str], list[tuple[str, str, float]
 
 
 def entity_hits(values: DataFrame, spans: Callable[[Column], Column] = rule_spans) -> DataFrame:
-    """One row per span of ``(source, column, value, rn)`` rows."""
-    return (
-        values.select("source", "column", "value", "rn", F.posexplode(spans(F.col("value"))).alias("pos", "span"))
-        .select("source", "column", "value", "rn", "pos", "span.entity", "span.text", "span.score")
+    """One row per span of ``(source, column, value, rn)`` rows.
+
+    ``lead`` marks the first span of its entity type within a value.
+    """
+    tagged = values.select(
+        "source", "column", "rn",
+        F.array_sort(
+            F.transform(
+                spans(F.col("value")),
+                lambda s, i: F.struct(s["entity"].alias("entity"), i.alias("pos"), s["text"].alias("text"), s["score"].alias("score")),
+            )
+        ).alias("spans"),
+    )
+    return tagged.select("source", "column", "rn", "spans", F.posexplode("spans").alias("at", "s")).select(
+        "source", "column", "rn", "s.*",
+        ((F.col("at") == 0) | (F.get("spans", F.col("at") - 1)["entity"] != F.col("s.entity"))).alias("lead"),
     )
 
 
 def entity_scan(values: DataFrame, spans: Callable[[Column], Column] = rule_spans) -> DataFrame:
     """ENT-1: values holding each entity type, top score, first distinct examples.
 
-    Counts and examples come from one aggregation per distinct
-    ``(entity, text)`` - partial per task - so hot entity types never gather
-    their spans in one place.
+    The recognisers run once.  Their spans collapse per distinct ``(entity,
+    text)`` - partially in each task - and both the counts and the examples are
+    read from that one exchange, so a hot entity type never gathers its spans.
     """
-    hits = entity_hits(values, spans)
     keys = ["source", "column", "entity"]
-    # ``rn`` numbers the distinct values of a column, so it stands for the value.
-    per_value = hits.groupBy(*keys, "rn").agg(F.max("score").alias("score"))
-    counts = per_value.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("matches"), F.round(F.max("score"), 3).alias("entity_score")
+    texts = entity_hits(values, spans).groupBy(*keys, "text").agg(
+        F.count_if("lead").alias("values"), F.max("score").alias("score"), F.min(F.struct("rn", "pos")).alias("at")
+    )
+    # Both branches name every column of ``texts``; that keeps their plans equal and the exchange shared.
+    counts = texts.groupBy(*keys).agg(
+        F.sum(F.when(F.col("at").isNotNull(), F.col("values"))).alias("matches"),
+        F.round(F.max("score"), 3).alias("entity_score"),
     )
-    firsts = hits.groupBy(*keys, "text").agg(F.min(F.struct("rn", "pos")).alias("at"))
     examples = (
-        top_n(firsts, keys, [F.col("at")], EXAMPLES, ["text"], "k")
+        top_n(texts, keys, [F.col("at")], EXAMPLES, ["text"], "k")
         .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct("k", "text"))).alias("e"))
+        .agg(F.sort_array(F.collect_list(F.struct("k", "text", "values", "score"))).alias("e"))
         .select(*keys, F.col("e.text").alias("examples"))
     )
     return counts.join(examples, keys)

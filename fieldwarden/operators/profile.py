@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,14 +47,14 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles without sorting the table.
 
-    Small columns use the built-in exact percentile.  On large ones an
-    approximate percentile brackets each wanted rank from both sides; the row
-    count below the bracket is exact, so repeating this inside the bracket
-    closes in on the exact values.  A bracket that is one single value is that
-    value, however many rows hold it.
+    Small columns use the built-in exact percentile.  On large ones every
+    wanted rank is narrowed in the same few passes: an approximate percentile
+    brackets it from both sides, exact counts below and inside the bracket
+    carry the rank over, and the loop ends when the bracket is small.
     """
     counts = df.agg(*[F.count(_number(df, c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    small = [c for i, c in enumerate(columns) if counts[i] <= max_rows]
+    sizes = {c: counts[i] for i, c in enumerate(columns)}
+    small = [c for c in columns if sizes[c] <= max_rows]
     out: dict[str, list[float | None]] = {}
     if small:
         row = df.agg(
@@ -61,53 +62,118 @@ def exact_quantiles(
         ).first()
         for i, c in enumerate(small):
             out[c] = list(row[i]) if row[i] is not None else [None] * len(probs)
-    for i, c in enumerate(columns):
-        if c in out:
-            continue
-        values = df.select(_number(df, c).alias("x")).where(F.col("x").isNotNull())
+    large = [c for c in columns if c not in out]
+    if not large:
+        return out
+    ranks = {(c, int(p * (sizes[c] - 1)) + extra) for c in large for p in probs for extra in (0, 1)}
+    found = _values_at(df, {(c, min(r, sizes[c] - 1)) for c, r in ranks}, sizes, max_rows)
+    for c in large:
         out[c] = []
         for p in probs:
-            rank = p * (counts[i] - 1)
-            low = int(rank)
-            a = _value_at(values, counts[i], low, max_rows)
-            b = a if rank == low else _value_at(values, counts[i], low + 1, max_rows)
-            out[c].append(a + (b - a) * (rank - low))
+            place = p * (sizes[c] - 1)
+            low = int(place)
+            a, b = found[(c, low)], found[(c, min(low + 1, sizes[c] - 1))]
+            out[c].append(a + (b - a) * (place - low))
     return out
 
 
-def _value_at(values: DataFrame, total: int, rank: int, max_rows: int) -> float:
-    """Value of the given 0-based rank in sorted order."""
+@dataclass
+class _Bracket:
+    """Open interval still holding a wanted rank, with exact row counts below and inside."""
+
+    low: float
+    high: float
+    below: int
+    inside: int
+
+    def holds(self, x: Column) -> Column:
+        return (x > self.low) & (x < self.high)
+
+
+def _values_at(df: DataFrame, wanted: set[tuple[str, int]], sizes: dict[str, int], max_rows: int) -> dict:
+    """Values of 0-based ranks in sorted order, all ranks narrowed together."""
     accuracy = 10_000
-    frame, below, inside = values, 0, total
-    while inside > max_rows:
-        share = (rank - below) / inside
-        margin = 2.0 / accuracy
-        lo, hi = frame.agg(
-            F.percentile_approx(
-                "x", F.array(F.lit(max(0.0, share - margin)), F.lit(min(1.0, share + margin))), F.lit(accuracy)
-            ).alias("b")
-        ).first()["b"]
-        if lo == hi:
-            return lo
-        frame = frame.where(F.col("x").between(lo, hi))
-        counts = values.agg(
-            F.count_if(F.col("x") < lo).alias("below"),
-            F.count_if(F.col("x").between(lo, hi)).alias("inside"),
-            F.count_if(F.col("x") == lo).alias("at_lo"),
-            F.count_if(F.col("x") == hi).alias("at_hi"),
+    margin = 2.0 / accuracy
+    found: dict[tuple[str, int], float] = {}
+    open_ = {t: _Bracket(float("-inf"), float("inf"), 0, sizes[t[0]]) for t in sorted(wanted)}
+    # Infinite cells would fall outside every open interval; they are settled by counting.
+    ends = df.agg(
+        *[F.count_if(_number(df, t[0]) == float("-inf")).alias(f"m{i}") for i, t in enumerate(open_)],
+        *[F.count_if(_number(df, t[0]) == float("inf")).alias(f"p{i}") for i, t in enumerate(open_)],
+    ).first()
+    for i, t in enumerate(list(open_)):
+        low, high = ends[f"m{i}"], ends[f"p{i}"]
+        if t[1] < low:
+            found[t] = float("-inf")
+        elif t[1] >= sizes[t[0]] - high:
+            found[t] = float("inf")
+        if t in found:
+            del open_[t]
+        else:
+            open_[t].below, open_[t].inside = low, sizes[t[0]] - low - high
+    while wide := [t for t, b in open_.items() if b.inside > max_rows]:
+        guesses = df.agg(
+            *[
+                F.percentile_approx(
+                    F.when(open_[t].holds(_number(df, t[0])), _number(df, t[0])),
+                    F.array(
+                        F.lit(max(0.0, (t[1] - open_[t].below) / open_[t].inside - margin)),
+                        F.lit(min(1.0, (t[1] - open_[t].below) / open_[t].inside + margin)),
+                    ),
+                    F.lit(accuracy),
+                ).alias(f"g{i}")
+                for i, t in enumerate(wide)
+            ]
+        ).first()
+        tallies = df.agg(
+            *[
+                F.count_if(condition).alias(f"{name}{i}")
+                for i, t in enumerate(wide)
+                for name, condition in (
+                    ("below", _number(df, t[0]) < guesses[i][0]),
+                    ("at_low", _number(df, t[0]) == guesses[i][0]),
+                    ("upto", _number(df, t[0]) < guesses[i][1]),
+                    ("at_high", _number(df, t[0]) == guesses[i][1]),
+                )
+            ]
         ).first()
-        below, inside = counts["below"], counts["inside"]
-        if rank < below + counts["at_lo"]:
-            return lo
-        if rank >= below + inside - counts["at_hi"]:
-            return hi
-        # Repeated end values are settled above, so the open bracket always shrinks.
-        frame = frame.where((F.col("x") > lo) & (F.col("x") < hi))
-        below, inside = below + counts["at_lo"], inside - counts["at_lo"] - counts["at_hi"]
-    runs = frame.groupBy("x").agg(F.count(F.lit(1)).alias("cnt"))
-    target = F.lit(rank - below)
-    upto = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    return runs.withColumn("upto", F.sum("cnt").over(upto)).where(F.col("upto") > target).agg(F.min("x")).first()[0]
+        for i, t in enumerate(wide):
+            low, high = guesses[i]
+            after_low = tallies[f"below{i}"] + tallies[f"at_low{i}"]
+            # Repeated end values are settled here, so the open bracket always shrinks.
+            if t[1] < after_low:
+                found[t] = low
+            elif t[1] >= tallies[f"upto{i}"]:
+                found[t] = high
+            else:
+                open_[t] = _Bracket(low, high, after_low, tallies[f"upto{i}"] - after_low)
+            if t in found:
+                del open_[t]
+    if open_:
+        listed = list(open_.items())
+        runs = (
+            df.select(
+                F.explode(
+                    F.array_compact(
+                        F.array(
+                            *[
+                                F.when(b.holds(_number(df, t[0])), F.struct(F.lit(i).alias("t"), _number(df, t[0]).alias("x")))
+                                for i, (t, b) in enumerate(listed)
+                            ]
+                        )
+                    )
+                ).alias("r")
+            )
+            .groupBy("r.t", "r.x")
+            .agg(F.count(F.lit(1)).alias("cnt"))
+        )
+        # At most ``max_rows`` rows per wanted rank reach this running sum.
+        running = F.sum("cnt").over(Window.partitionBy("t").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+        target = F.element_at(F.array(*[F.lit(t[1] - b.below) for t, b in listed]), F.col("t") + 1)
+        rows = runs.withColumn("upto", running).where(F.col("upto") > target).groupBy("t").agg(F.min("x").alias("x"))
+        for r in rows.collect():
+            found[listed[r["t"]][0]] = r["x"]
+    return found
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:

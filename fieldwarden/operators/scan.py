@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from fieldwarden.functions.patterns import (
     PatternRegistry,
     contains_any,
 )
-from fieldwarden.functions.text import has_more_than_three_words
+from fieldwarden.functions.text import has_more_than_three_words, lit_strings
 from fieldwarden.operators.entities import entity_scan
 from fieldwarden.operators.values import (
     SAMPLE_LIMIT,
@@ -41,10 +42,16 @@ FINDING_COLUMNS = [
 ]
 
 
-@dataclass(frozen=True)
+@dataclass
 class ScanResult:
+    """Findings, and per-source statistics that are only planned when asked for."""
+
     findings: DataFrame
-    stats: DataFrame
+    build_stats: Callable[[], DataFrame]
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return self.build_stats()
 
 
 def column_shape(sample: DataFrame) -> DataFrame:
@@ -88,52 +95,41 @@ def match_counts(sample: DataFrame, registry: PatternRegistry = DEFAULT_REGISTRY
 
 
 def _column_summary(sample: DataFrame, registry: PatternRegistry) -> DataFrame:
+    """One row per column: shape, matches per rule (``n``) and the matching values per rule (``e``)."""
     value = F.col("value")
+    rules = range(len(registry.names))
     flagged = sample.select(
         *KEYS,
         "rn",
         "value",
-        F.length(value).alias("len"),
         has_more_than_three_words(value).alias("wordy"),
         F.array(*[rule.matches(value) for rule in registry]).alias("hit"),
     )
-    aggregates = [
+    counts = ", ".join(f"count_if(hit[{i}])" for i in rules)
+    examples = ", ".join(
+        f"slice(sort_array(collect_list(if(hit[{i}], struct(rn, value), null))), 1, {EXAMPLES}).value" for i in rules
+    )
+    return flagged.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("sample_size"),
-        F.avg("len").alias("avg_length"),
-        F.avg(F.when(F.col("wordy"), 1.0).otherwise(0.0)).alias("wordy_share"),
-    ]
-    for i, name in enumerate(registry.names):
-        matched = F.col("hit")[i]
-        aggregates.append(F.count_if(matched).alias(f"n_{name}"))
-        aggregates.append(F.collect_list(F.when(matched, F.struct("rn", "value"))).alias(f"e_{name}"))
-    return flagged.groupBy(*KEYS).agg(*aggregates)
+        F.expr("avg(length(value))").alias("avg_length"),
+        F.expr("avg(if(wordy, 1.0D, 0.0D))").alias("wordy_share"),
+        F.expr(f"array({counts})").alias("n"),
+        F.expr(f"array({examples})").alias("e"),
+    )
 
 
 def _unfold(summary: DataFrame, registry: PatternRegistry) -> DataFrame:
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("rule_order"),
-                F.lit(name).alias("pattern"),
-                F.col(f"n_{name}").alias("matches"),
-                F.slice(F.sort_array(F.col(f"e_{name}")), 1, EXAMPLES).getField("value").alias("examples"),
-            )
-            for i, name in enumerate(registry.names)
-        ]
-    )
+    found = F.arrays_zip(lit_strings(registry.names).alias("pattern"), F.col("n").alias("matches"), F.col("e").alias("examples"))
     return (
-        summary.select(*KEYS, "sample_size", "avg_length", "wordy_share", F.explode(entries).alias("m"))
+        summary.select(*KEYS, "sample_size", "avg_length", "wordy_share", F.explode(found).alias("m"))
         .select(*KEYS, "sample_size", "avg_length", "wordy_share", "m.*")
         .where(F.col("matches") > 0)
     )
 
 
-def dominant(summary: DataFrame, registry: PatternRegistry) -> Column:
+def dominant() -> Column:
     """PRD-6: some rule covers at least 80 % of the sample."""
-    best = F.greatest(*[F.col(f"n_{n}") for n in registry.names]) if len(registry.names) > 1 else F.col(
-        f"n_{registry.names[0]}"
-    )
-    return best / F.col("sample_size") >= DOMINANT_SHARE
+    return F.array_max("n") / F.col("sample_size") >= DOMINANT_SHARE
 
 
 def _percent(part: Column, whole: Column) -> Column:
@@ -166,47 +162,53 @@ def scan_sample(
     # The summary has one row per column; it carries all gates.
     summary = _column_summary(sample, registry)
     is_free = free_text(F.col("avg_length"), F.col("wordy_share"))
-    gated = summary.withColumn("scanned", scan_gate(F.col("source"), F.col("column"), is_free)).withColumn(
-        "entity_gate",
-        (is_free | priority(F.col("column")))
-        & (priority(F.col("column")) | ~dominant(summary, registry)),
+    gated = summary.select(
+        "*",
+        scan_gate(F.col("source"), F.col("column"), is_free).alias("scanned"),
+        ((is_free | priority(F.col("column"))) & (priority(F.col("column")) | ~dominant())).alias("entity_gate"),
     )
-    rules = _unfold(gated.where("scanned"), registry)
-    confidence = registry.confidence(F.col("column"), F.col("pattern"))
-    rules = (
-        rules.withColumn("confidence", confidence)
-        .withColumn("match_pct", _percent(F.col("matches"), F.col("sample_size")))
-        .withColumn("risk", registry.risk(F.col("pattern"), F.col("confidence"), F.col("match_pct")))
-        .withColumn("entity_score", F.lit(None).cast("double"))
-        .withColumn("detection_source", F.lit(REGEX_SOURCE))
-    )
-    findings = _as_findings(rules)
+    findings = _as_findings(_rated(_unfold(gated.where("scanned"), registry), registry))
     if entities:
         allowed = gated.where("scanned AND entity_gate").select(*KEYS, "sample_size")
         hits = entity_scan(sample.join(allowed, KEYS, "left_semi"), spans)
-        found = (
-            hits.join(allowed, KEYS)
-            .withColumnRenamed("entity", "pattern")
-            .withColumn("confidence", F.lit("AI"))
-            .withColumn("match_pct", _percent(F.col("matches"), F.col("sample_size")))
-            .withColumn("risk", F.lit("REVIEW"))
-            .withColumn("detection_source", F.lit(ENTITY_SOURCE))
+        found = hits.join(allowed, KEYS).select(
+            *KEYS, "matches", "sample_size", "entity_score", "examples",
+            F.col("entity").alias("pattern"),
+            F.lit("AI").alias("confidence"),
+            F.lit("REVIEW").alias("risk"),
+            _percent(F.col("matches"), F.col("sample_size")).alias("match_pct"),
+            F.lit(ENTITY_SOURCE).alias("detection_source"),
         )
         findings = findings.unionByName(_as_findings(found))
+    return ScanResult(findings, lambda: _stats(columns, gated.select(*KEYS, "scanned"), findings))
+
+
+def _rated(rows: DataFrame, registry: PatternRegistry) -> DataFrame:
+    """DET-2..4 added to rows of column, pattern, matches and sample size."""
+    return (
+        rows.select(
+            "*",
+            registry.confidence(F.col("column"), F.col("pattern")).alias("confidence"),
+            _percent(F.col("matches"), F.col("sample_size")).alias("match_pct"),
+            F.lit(None).cast("double").alias("entity_score"),
+            F.lit(REGEX_SOURCE).alias("detection_source"),
+        )
+        .withColumn("risk", registry.risk(F.col("pattern"), F.col("confidence"), F.col("match_pct")))
+    )
 
-    shape = gated.select(*KEYS, "scanned")
+
+def _stats(columns: DataFrame, shape: DataFrame, findings: DataFrame) -> DataFrame:
     counted = findings.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("findings"))
-    stats = (
+    by_name = scan_gate(F.col("source"), F.col("column"), F.lit(False))
+    return (
         columns.join(shape, KEYS, "left")
         .join(counted, KEYS, "left")
-        .withColumn("scanned", F.coalesce("scanned", scan_gate(F.col("source"), F.col("column"), F.lit(False))))
         .groupBy("source")
         .agg(
-            F.count_if("scanned").alias("columns_scanned"),
+            F.count_if(F.coalesce("scanned", by_name)).alias("columns_scanned"),
             F.coalesce(F.sum("findings"), F.lit(0)).alias("findings"),
         )
     )
-    return ScanResult(findings, stats)
 
 
 def _as_findings(rows: DataFrame) -> DataFrame:
@@ -258,33 +260,30 @@ def full_counts(cells: DataFrame, registry: PatternRegistry = DEFAULT_REGISTRY)
     keyed = early.withColumn("digest", F.when(is_long, F.sha2(value, 256))).withColumn(
         "value", F.when(~is_long | (F.size("early") > 0), value)
     )
-    index = (
-        keyed.groupBy(*KEYS, "value", "digest")
-        .agg(
-            F.count(F.lit(1)).alias("cnt"),
-            F.min("rid").alias("first_rid"),
-            F.first("early").alias("early"),
-            F.first(F.when(is_long, F.length(value))).alias("long_len"),
-        )
-        .withColumn("hits", F.coalesce("early", hits(value)))
+    index = keyed.groupBy(*KEYS, "value", "digest").agg(
+        F.count(F.lit(1)).alias("cnt"), F.min("rid").alias("first_rid"), F.first("early").alias("early")
     )
-    totals = index.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("sample_size"), F.sum("cnt").alias("total_rows"))
-    exploded = index.select(*KEYS, "value", "cnt", "first_rid", F.explode("hits").alias("rule_order"))
+    # Entry -1 stands for the value itself and yields the totals.
+    entries = F.concat(F.array(F.lit(-1)), F.coalesce("early", hits(value)))
+    exploded = index.select(*KEYS, "value", "cnt", "first_rid", F.explode(entries).alias("rule_order"))
+    # Both branches name every column of ``index``; that keeps their plans equal and the exchange shared.
     counts = exploded.groupBy(*KEYS, "rule_order").agg(
-        F.count(F.lit(1)).alias("matches"), F.sum("cnt").alias("rows")
+        F.count("first_rid").alias("matches"), F.sum("cnt").alias("rows")
     )
     firsts = (
-        top_n(exploded, [*KEYS, "rule_order"], [F.col("first_rid"), F.col("value")], EXAMPLES, ["value"], "k")
+        top_n(
+            exploded.where("rule_order >= 0"), [*KEYS, "rule_order"], [F.col("first_rid"), F.col("value")],
+            EXAMPLES, ["value"], "k",
+        )
         .groupBy(*KEYS, "rule_order")
-        .agg(F.sort_array(F.collect_list(F.struct("k", "value"))).alias("e"))
+        .agg(F.sort_array(F.collect_list(F.struct("k", "value", "cnt"))).alias("e"))
         .select(*KEYS, "rule_order", F.col("e.value").alias("examples"))
     )
-    named = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("rule_order") + 1)
-    return (
-        counts.join(firsts, [*KEYS, "rule_order"])
-        .join(totals, KEYS)
-        .withColumn("pattern", named)
+    totals = counts.where("rule_order = -1").select(
+        *KEYS, F.col("matches").alias("sample_size"), F.col("rows").alias("total_rows")
     )
+    named = F.element_at(lit_strings(names), F.col("rule_order") + 1)
+    return counts.join(firsts, [*KEYS, "rule_order"]).join(totals, KEYS).withColumn("pattern", named)
 
 
 def full_scan(
@@ -300,24 +299,11 @@ def full_scan(
     shape = column_shape(first_values(value_index(cells), SAMPLE_LIMIT))
     gate = shape.where(scan_gate(F.col("source"), F.col("column"), F.col("free_text"))).select(*KEYS)
     found = full_counts(cells, registry).join(gate, KEYS, "left_semi")
-    rows = (
-        found.withColumn("confidence", registry.confidence(F.col("column"), F.col("pattern")))
-        .withColumn("match_pct", _percent(F.col("matches"), F.col("sample_size")))
-        .withColumn("risk", registry.risk(F.col("pattern"), F.col("confidence"), F.col("match_pct")))
-        .withColumn("entity_score", F.lit(None).cast("double"))
-        .withColumn("detection_source", F.lit(REGEX_SOURCE))
-    )
-    findings = _as_findings(rows)
-    counted = findings.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("findings"))
-    stats = (
-        column_list(df, source, columns)
-        .join(shape.select(*KEYS, "free_text"), KEYS, "left")
-        .join(counted, KEYS, "left")
-        .withColumn("scanned", scan_gate(F.col("source"), F.col("column"), F.col("free_text")))
-        .groupBy("source")
-        .agg(F.count_if("scanned").alias("columns_scanned"), F.coalesce(F.sum("findings"), F.lit(0)).alias("findings"))
+    findings = _as_findings(_rated(found, registry))
+    scanned = shape.select(
+        *KEYS, scan_gate(F.col("source"), F.col("column"), F.col("free_text")).alias("scanned")
     )
-    return ScanResult(findings, stats)
+    return ScanResult(findings, lambda: _stats(column_list(df, source, columns), scanned, findings))
 
 
 __all__ = [

@@ -95,16 +95,10 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, s
     ranking would keep.
     """
     slice_id = F.pmod(F.xxhash64(*[F.col(c) for c in salt]), F.lit(SALT_BUCKETS))
-    inner = Window.partitionBy(*keys, "__slice").orderBy(*order)
+    inner = Window.partitionBy(*keys, slice_id).orderBy(*order)
     outer = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        df.withColumn("__slice", slice_id)
-        .withColumn("__rn", F.row_number().over(inner))
-        .where(F.col("__rn") <= n)
-        .drop("__rn", "__slice")
-        .withColumn(rank, F.row_number().over(outer))
-        .where(F.col(rank) <= n)
-    )
+    survivors = df.select("*", F.row_number().over(inner).alias(rank)).where(F.col(rank) <= n)
+    return survivors.withColumn(rank, F.row_number().over(outer)).where(F.col(rank) <= n)
 
 
 def first_values(index: DataFrame, limit: int) -> DataFrame:

@@ -467,7 +467,7 @@ ORACLES: dict[str, str] = {
         "UNION ALL SELECT 'notes', 'note', 'PERSON', 'AI', 'REVIEW', (SELECT count(*) FROM texts), (SELECT count(*) FROM texts), 100.0, 0.85, coalesce((list(full_name ORDER BY r))[1], ''), coalesce((list(full_name ORDER BY r))[2], ''), coalesce((list(full_name ORDER BY r))[3], ''), 'ENTITY_RULE' FROM people "
         "UNION ALL SELECT 'notes', 'note', 'LOCATION', 'AI', 'REVIEW', (SELECT count(*) FROM texts), (SELECT count(*) FROM texts), 100.0, 0.85, coalesce((list(place ORDER BY r))[1], ''), coalesce((list(place ORDER BY r))[2], ''), coalesce((list(place ORDER BY r))[3], ''), 'ENTITY_RULE' FROM places"
     ),
-    "rule_findings_only": "SELECT '' AS \"column\", '' AS pattern, '' AS risk FROM customer WHERE false",
+    "rule_findings_only": CONTACT_FINDINGS + "SELECT \"column\", pattern, risk FROM findings",
     "risk_summary": CONTACT_FINDINGS + "SELECT " + ", ".join(
         f"count(CASE WHEN risk = '{r}' THEN 1 END) AS {r}" for r in RISK_LEVELS
     ) + " FROM findings",

@@ -26,7 +26,7 @@ from fieldwarden.operators.values import (
     value_index,
 )
 from fieldwarden.plans.tables import CONTACT_COLUMNS, CONTACT_VALUES, contacts, derived, doc_tokens, notes, shared_dir, table
-from fieldwarden.sources.catalog import file_states, list_files, scan_many, scan_path
+from fieldwarden.sources.catalog import file_states, list_files, scan_path, scan_tables
 from fieldwarden.sources.readers import text_lines
 from fieldwarden.streaming import remediate_stream, write_remediated
 
@@ -81,11 +81,9 @@ def _contact_findings(spark, d) -> DataFrame:
 
 def _many(spark, d):
     stock = {"region": "r_regionkey", "supplier": "s_suppkey", "part": "p_partkey"}
-    results = [scan.scan(contacts(spark, d), "contacts", columns=CONTACT_VALUES, order_by="rid", entities=False)]
-    results += [
-        scan.scan(table(spark, d, name), name, order_by=key, entities=False) for name, key in stock.items()
-    ]
-    return scan_many(results)
+    tables = {"contacts": (contacts(spark, d), "rid")}
+    tables |= {name: (table(spark, d, name), key) for name, key in stock.items()}
+    return scan_tables(tables, {"contacts": CONTACT_VALUES}, entities=False)
 
 
 @query
@@ -132,7 +130,7 @@ def entity_findings_notes(spark, d):
 
 @query
 def rule_findings_only(spark, d):
-    found = scan.scan(notes(spark, d), "notes", columns=["full_name", "note"], order_by="rid").findings
+    found = scan.scan(contacts(spark, d), "contacts", columns=CONTACT_VALUES, order_by="rid").findings
     return reports.drop_entity_findings(found).select("column", "pattern", "risk")
 
 
@@ -410,7 +408,7 @@ def profile_common(spark, d):
 def profile_numeric(spark, d):
     out = None
     for name in ("lineitem", "part", "customer"):
-        part = profile.numeric_profile(table(spark, d, name))
+        part = profile.numeric_profile(spread(table(spark, d, name)))
         out = part if out is None else out.unionByName(part)
     rounded = [F.round(c, 6).alias(c) for c in ("numeric_min", "numeric_max", "p01", "p99")]
     return out.select("column", "non_null", *rounded)
@@ -658,7 +656,7 @@ def rarity_encoding(spark, d):
 @query
 def anomalies_lineitem(spark, d):
     return anomaly.detect_anomalies(
-        table(spark, d, "lineitem"), columns=["l_quantity", "l_extendedprice", "l_discount"],
+        spread(table(spark, d, "lineitem")), columns=["l_quantity", "l_extendedprice", "l_discount"],
         order_by=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
     )
 

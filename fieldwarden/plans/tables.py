@@ -13,6 +13,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldwarden.operators.values import spread
+
 CONTACT_COLUMNS = {
     "rid": "c_custkey",
     "name": "concat('Person ', cast(c_custkey AS STRING))",
@@ -56,7 +58,7 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
-        table(spark, sf_dir, "documents")
+        spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
         .select("doc_id", F.posexplode(F.split("text", TOKEN_BREAK)).alias("pos", "token"))
         .where(F.col("token") != "")
     )

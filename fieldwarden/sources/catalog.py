@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from fieldwarden.functions.entities import rule_spans
 from fieldwarden.functions.patterns import DEFAULT_REGISTRY, PatternRegistry
 from fieldwarden.operators.scan import ScanResult, scan_sample
-from fieldwarden.operators.values import SAMPLE_LIMIT, first_values, literal_rows, long_form, stripped_cells, value_index
+from fieldwarden.operators.values import SAMPLE_LIMIT, first_values, literal_rows, long_form, sample_values, stripped_cells, value_index
 from fieldwarden.sources.readers import (
     SUPPORTED,
     UnsupportedSource,
@@ -236,10 +236,35 @@ def scan_path(
 
 def scan_many(results: Sequence[ScanResult]) -> ScanResult:
     """DET-6: findings and statistics of several scans."""
-    findings, stats = results[0].findings, results[0].stats
-    for r in results[1:]:
-        findings, stats = findings.unionByName(r.findings), stats.unionByName(r.stats)
-    return ScanResult(findings, stats)
+
+    def stacked(frames: list[DataFrame]) -> DataFrame:
+        out = frames[0]
+        for f in frames[1:]:
+            out = out.unionByName(f)
+        return out
+
+    return ScanResult(stacked([r.findings for r in results]), lambda: stacked([r.stats for r in results]))
+
+
+def scan_tables(
+    tables: dict[str, tuple[DataFrame, str | Sequence[str] | None]],
+    columns: dict[str, Sequence[str]] | None = None,
+    sample_limit: int = SAMPLE_LIMIT,
+    entities: bool = True,
+    spans=rule_spans,
+    registry: PatternRegistry = DEFAULT_REGISTRY,
+) -> ScanResult:
+    """DET-6 for tables given as ``name -> (frame, order)``: sampled one by one, rated in one plan."""
+    chosen = {name: list((columns or {}).get(name) or df.columns) for name, (df, _) in tables.items()}
+    sample = None
+    for name, (df, order_by) in tables.items():
+        part = sample_values(df, chosen[name], sample_limit, order_by, name)
+        sample = part if sample is None else sample.unionByName(part)
+    spark = next(iter(tables.values()))[0].sparkSession
+    listing = literal_rows(
+        spark, [(name, c) for name, names in chosen.items() for c in names], "source string, column string"
+    )
+    return scan_sample(sample, listing, registry, entities, spans)
 
 
 def expand_archives(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -296,5 +321,5 @@ def expand_archives(spark: SparkSession, path: str | Sequence[str]) -> DataFrame
 
 
 __all__ = [
-    "list_files", "file_states", "scan_path", "scan_many", "expand_archives", "PathScan",
+    "list_files", "file_states", "scan_path", "scan_many", "scan_tables", "expand_archives", "PathScan",
 ]
