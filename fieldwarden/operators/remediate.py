@@ -168,7 +168,12 @@ def apply_steps(df: DataFrame, steps: dict[str, list[Step]]) -> tuple[DataFrame,
             *new_flags,
         )
         flag_columns += [f"__flag_{len(flag_columns) + i}" for i in range(len(new_flags))]
-    return current, flags
+    if not active:
+        return current, flags
+    # A one-row generator closes the chain: predicates a caller puts on a rewritten
+    # column stay above it instead of being substituted into every step.
+    done = F.array(F.struct(*[q(c).alias(c) for c in active], *[F.col(f) for f in flag_columns]))
+    return current.select(*[q(c) for c in names if c not in active], F.inline(done)), flags
 
 
 def _result(df: DataFrame, steps: dict[str, list[Step]], mode: str, file_name: str) -> RemediationResult:

@@ -282,7 +282,7 @@ def full_counts(cells: DataFrame, registry: PatternRegistry = DEFAULT_REGISTRY)
     totals = counts.where("rule_order = -1").select(
         *KEYS, F.col("matches").alias("sample_size"), F.col("rows").alias("total_rows")
     )
-    named = F.element_at(lit_strings(names), F.col("rule_order") + 1)
+    named = F.get(lit_strings(names), F.col("rule_order"))
     return counts.join(firsts, [*KEYS, "rule_order"]).join(totals, KEYS).withColumn("pattern", named)
 
 
