@@ -9,6 +9,7 @@ ANSI SQL.
 from __future__ import annotations
 
 import tempfile
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,10 +65,12 @@ def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=1)
+def _scratch_dir() -> str:
+    return tempfile.mkdtemp(prefix="fieldwarden-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all machines see, as the cluster names it; a fresh local one only when none is set."""
+    """Folder all machines see, as the cluster names it; a fresh local one only when none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = tempfile.mkdtemp(prefix="fieldwarden-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    return (named or _scratch_dir()).rstrip("/")

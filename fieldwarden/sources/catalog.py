@@ -6,6 +6,7 @@ import io
 import zipfile
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from fieldwarden.operators.values import SAMPLE_LIMIT, first_values, literal_row
 from fieldwarden.sources.readers import (
     SUPPORTED,
     UnsupportedSource,
+    extension_of,
     flatten,
     has_avro,
     missing_tokens_to_null,
@@ -68,7 +70,14 @@ def file_states(files: DataFrame, max_mb: float | None = DEFAULT_MAX_MB) -> Data
     return files.select("file", "extension", "bytes", "size_mb", state.alias("state"), detail.alias("detail"))
 
 
-def _csv_groups(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+def _empty_files(spark: SparkSession, path: str | Sequence[str], listed: set[str]) -> list[str]:
+    """Supported files without a byte; a scan has nothing to read in them, so they are found by name."""
+    named = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).inputFiles()
+    known = {unquote(f).replace("file:///", "file:/") for f in named}
+    return sorted(f for f in known - listed if extension_of(f) in SUPPORTED)
+
+
+def _csv_groups(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
     """Delimited files with the same header line, read together later.
 
     The header is the first line of the first block of each file; the grouped
@@ -89,7 +98,7 @@ def _csv_groups(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[str, ..
     groups: dict[str, list[str]] = {}
     for r in rows.collect():
         groups.setdefault(r["header"], []).append(r["file"])
-    return {tuple([header]): files for header, files in groups.items()}
+    return groups
 
 
 def _json_groups(spark: SparkSession, paths: Sequence[str]) -> tuple[list[list[str]], list[str]]:
@@ -137,6 +146,13 @@ def scan_path(
     """
     states = file_states(list_files(spark, path), max_mb)
     listed = states.collect()
+    empty = _empty_files(spark, path, {r["file"] for r in listed})
+    states = states.unionByName(
+        literal_rows(
+            spark, [(f, extension_of(f), 0, 0.0, "PENDING", "") for f in empty],
+            "file string, extension string, bytes long, size_mb double, state string, detail string",
+        )
+    )
     todo = [r for r in listed if r["state"] == "PENDING"]
     by_kind: dict[str, list[str]] = {}
     for r in todo:
@@ -167,18 +183,15 @@ def scan_path(
 
     if "txt" in by_kind:
         attempt(by_kind["txt"], lambda fs: tag(spark.read.text(fs)))
+    failed.update({f: "File is empty" for f in empty})
     if "csv" in by_kind:
-        filled = [r["file"] for r in todo if r["extension"] == "csv" and r["bytes"] > 0]
-        for f in set(by_kind["csv"]) - set(filled):
-            failed[f] = "No columns to parse from file"
-        if filled:
-            for files in _csv_groups(spark, filled).values():
-                attempt(
-                    files,
-                    lambda fs: missing_tokens_to_null(
-                        tag(spark.read.csv(fs, header=True, inferSchema=False, quote='"', escape='"'))
-                    ),
-                )
+        for files in _csv_groups(spark, by_kind["csv"]).values():
+            attempt(
+                files,
+                lambda fs: missing_tokens_to_null(
+                    tag(spark.read.csv(fs, header=True, inferSchema=False, quote='"', escape='"'))
+                ),
+            )
     if "parquet" in by_kind:
         shapes: dict[str, list[str]] = {}
         for f in by_kind["parquet"]:
