@@ -51,10 +51,25 @@ def nhs_valid(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Recogniser:
+    """One entity type.
+
+    ``cue`` is a cheap necessary condition: texts without it are not searched.
+    ``whole`` is a second rule for texts that are nothing but the entity.
+    """
+
     entity: str
     regex: str
     score: float
     accept: Callable[[Column], Column] | None = None
+    cue: str | None = None
+    whole: str | None = None
+
+    def _searchable(self, value: Column) -> Column:
+        hit = value.rlike(self.regex)
+        return value.rlike(self.cue) & hit if self.cue else hit
+
+    def _whole(self, value: Column) -> Column:
+        return P.full_match(value, self.whole) if self.whole else F.lit(False)
 
     def texts(self, value: Column) -> Column:
         found = F.regexp_extract_all(value, F.lit(self.regex), 0)
@@ -64,49 +79,50 @@ class Recogniser:
         named = lambda t: F.struct(
             F.lit(self.entity).alias("entity"), t.alias("text"), F.lit(self.score).alias("score")
         )
-        empty = F.array().cast(SPAN_TYPE)
-        return F.when(value.rlike(self.regex), F.transform(self.texts(value), named)).otherwise(empty)
+        out = F.when(self._searchable(value), F.transform(self.texts(value), named)).otherwise(F.array().cast(SPAN_TYPE))
+        return F.when(self._whole(value), F.array(named(value))).otherwise(out) if self.whole else out
 
     def replace(self, value: Column, mode: str, salt: str) -> Column:
         if self.accept is None:
-            return token_sub(value, self.regex, self.entity, mode, salt)
-        return regex_sub(
-            value,
-            self.regex,
-            lambda hit: F.when(self.accept(hit), token(hit, self.entity, mode, salt)).otherwise(hit),
-        )
+            out = token_sub(value, self.regex, self.entity, mode, salt)
+        else:
+            out = regex_sub(
+                value,
+                self.regex,
+                lambda hit: F.when(self.accept(hit), token(hit, self.entity, mode, salt)).otherwise(hit),
+            )
+        return F.when(self._whole(value), token(value, self.entity, mode, salt)).otherwise(out) if self.whole else out
 
     def found_in(self, value: Column) -> Column:
-        if self.accept is None:
-            return value.rlike(self.regex)
-        return value.rlike(self.regex) & (F.size(self.texts(value)) > 0)
+        hit = self._searchable(value)
+        if self.accept is not None:
+            hit = hit & (F.size(self.texts(value)) > 0)
+        return self._whole(value) | hit if self.whole else hit
 
 
 _EMBEDDED = {name: P.unicode_regex(rx) for name, rx in P.EMBEDDED_RULES}
 
 RECOGNISERS = (
-    Recogniser(
-        "PERSON",
-        P.unicode_regex(r"\A" + P.FULL_NAME + r"\z|" + P.PERSON_IN_CONTEXT),
-        0.85,
-    ),
+    Recogniser("PERSON", P.unicode_regex(P.PERSON_IN_CONTEXT), 0.85, cue=P.PERSON_CUE, whole=P.FULL_NAME),
     Recogniser(
         "LOCATION",
         P.unicode_regex("|".join((P.FULL_ADDRESS, P.CITY_STATE_ZIP, P.CITY_STATE))),
         0.85,
+        cue=P.LOCATION_CUE,
     ),
-    Recogniser("EMAIL_ADDRESS", _EMBEDDED["email"], 1.0),
-    Recogniser("PHONE_NUMBER", _EMBEDDED["phone"], 0.75),
+    Recogniser("EMAIL_ADDRESS", _EMBEDDED["email"], 1.0, cue=P.CUES["email"]),
+    Recogniser("PHONE_NUMBER", _EMBEDDED["phone"], 0.75, cue=P.CUES["phone"]),
     Recogniser(
         "DATE_TIME",
         P.unicode_regex(P.EMBEDDED_DATE + r"|(?<!\d)\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?!\d)"),
         0.6,
+        cue=P.DATE_CUE,
     ),
-    Recogniser("URL", P.unicode_regex(r"\bhttps?://[^\s<>\"']+"), 0.6),
-    Recogniser("US_SSN", P.unicode_regex(r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)"), 0.85),
-    Recogniser("CREDIT_CARD", r"(?<!\d)(?:\d[ -]*?){13,19}(?!\d)", 1.0, luhn_valid),
-    Recogniser("IP_ADDRESS", _EMBEDDED["ip"], 0.95),
-    Recogniser("UK_NHS", r"(?<!\d)\d{3}[ -]?\d{3}[ -]?\d{4}(?!\d)", 0.9, nhs_valid),
+    Recogniser("URL", P.unicode_regex(r"\bhttps?://[^\s<>\"']+"), 0.6, cue="://"),
+    Recogniser("US_SSN", P.unicode_regex(r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)"), 0.85, cue=P.CUES["ssn"]),
+    Recogniser("CREDIT_CARD", r"(?<!\d)(?:\d[ -]*?){13,19}(?!\d)", 1.0, luhn_valid, cue=P.CUES["credit_card"]),
+    Recogniser("IP_ADDRESS", _EMBEDDED["ip"], 0.95, cue=P.CUES["ip"]),
+    Recogniser("UK_NHS", r"(?<!\d)\d{3}[ -]?\d{3}[ -]?\d{4}(?!\d)", 0.9, nhs_valid, cue=P.CUES["phone"]),
 )
 BY_ENTITY = {r.entity: r for r in RECOGNISERS}
 

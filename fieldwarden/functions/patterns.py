@@ -75,6 +75,21 @@ FULL_ADDRESS = _STREET + r"(?:,\s*" + _CITY + r"(?:\s+\d{5})?)?\b"
 STREET = _STREET + r"\b"
 CITY_STATE_ZIP = r"\b" + _CITY + r"\s+\d{5}\b"
 CITY_STATE = r"\b" + _CITY + r"\b"
+# Necessary parts of the search rules; a text without them needs no search.
+CUES = {
+    "email": "@",
+    "phone": r"(?U)\d{3}",
+    "ssn": r"(?U)\d{3}",
+    "credit_card": r"(?U)\d[ -]*\d[ -]*\d",
+    "ein": r"(?U)\d{2}-\d",
+    "ip": r"(?U)\d\.\d",
+}
+DIGIT_RUN_CUE = r"(?U)\d{8}"
+DATE_CUE = r"(?U)\d{4}"
+PERSON_CUE = r"(?U)\s(?:called|met|requested|asked|reported|stated|emailed|contacted)\b"
+LOCATION_CUE = (
+    r"(?U)\s(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Way|Court|Ct|AL|GA|NC|TN)\b"
+)
 LOCATION_RULES = (FULL_ADDRESS, STREET, CITY_STATE_ZIP, CITY_STATE)
 
 # Labels written into and read from findings.
@@ -133,6 +148,24 @@ class PatternRegistry:
     def names(self) -> list[str]:
         return list(self.rules)
 
+    def mask(self, value: Column) -> Column:
+        """Matching rules as bits of a long, in rule order: a fixed-width cell aggregates by hashing."""
+        if len(self.rules) > 62:
+            raise ValueError("at most 62 rules per registry")
+        bits = [F.when(rule.matches(value), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, rule in enumerate(self)]
+        out = bits[0]
+        for bit in bits[1:]:
+            out = out.bitwiseOR(bit)
+        # One alternation of all rules first: most values match none of them.
+        some = "|".join(r"(?:" + rule.regex + r")\z" for rule in self)
+        return F.when(F.regexp_extract(value, r"(?U)\A(?:" + some + "|)", 0) != "", out).otherwise(F.lit(0).cast("long"))
+
+    def rules_of(self, mask: Column) -> Column:
+        """Rule positions set in a mask."""
+        places = F.array(*[F.lit(i) for i in range(len(self.rules))])
+        chosen = F.filter(places, lambda i: F.getbit(mask, i) == 1)
+        return F.when(mask == 0, F.array().cast("array<int>")).otherwise(chosen)
+
     def __iter__(self):
         return iter(self.rules.values())
 

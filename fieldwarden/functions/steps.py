@@ -29,11 +29,10 @@ class Step:
     flags: dict[Flag, Callable[[Column], Column]]
 
 
-def _searched(regex: str, pattern: str, source: str, mode: str, salt: str, token_name: str | None = None) -> Step:
-    name = token_name or pattern
+def _searched(regex: str, pattern: str, source: str, mode: str, salt: str, cue: str | None = None) -> Step:
     return Step(
-        find=lambda v: v.rlike(regex),
-        rewrite=lambda v, hit: F.when(hit, token_sub(v, regex, name, mode, salt)).otherwise(v),
+        find=lambda v: v.rlike(cue) & v.rlike(regex) if cue else v.rlike(regex),
+        rewrite=lambda v, hit: F.when(hit, token_sub(v, regex, pattern, mode, salt)).otherwise(v),
         flags={(pattern, source): lambda hit: hit},
     )
 
@@ -82,7 +81,7 @@ def sample_step(samples: Sequence[str], pattern: str, source: str, mode: str, sa
 
 def person_steps(column: str, source: str, mode: str, salt: str) -> list[Step]:
     """REM-8: whole-cell full names in name-like columns, else names before a reporting verb."""
-    in_context = _searched(P.unicode_regex(P.PERSON_IN_CONTEXT), "PERSON", source, mode, salt)
+    in_context = _searched(P.unicode_regex(P.PERSON_IN_CONTEXT), "PERSON", source, mode, salt, P.PERSON_CUE)
     if not P.is_name_column(column):
         return [in_context]
     whole = Step(
@@ -96,7 +95,7 @@ def person_steps(column: str, source: str, mode: str, salt: str) -> list[Step]:
 def location_steps(source: str, mode: str, salt: str) -> list[Step]:
     """REM-9: four place rules, widest first."""
     return [
-        _searched(P.unicode_regex(rx), "LOCATION", source, mode, salt) for rx in P.LOCATION_RULES
+        _searched(P.unicode_regex(rx), "LOCATION", source, mode, salt, P.LOCATION_CUE) for rx in P.LOCATION_RULES
     ]
 
 
@@ -169,7 +168,7 @@ def context_digits(value: Column, mode: str, salt: str, selected: set[str] | Non
         F.lit(False).alias("account"),
     )
     folded = F.aggregate(F.reverse(paired), start, step)
-    return F.when(value.rlike(regex), folded)
+    return F.when(value.rlike(P.DIGIT_RUN_CUE) & value.rlike(regex), folded)
 
 
 def common_steps(
@@ -185,7 +184,7 @@ def common_steps(
         return P.unicode_regex(regex + (r"(?![^<>]*>)" if protect_tokens else ""))
 
     steps = [
-        _searched(shielded(rx), name, P.FALLBACK_SOURCE, mode, salt)
+        _searched(shielded(rx), name, P.FALLBACK_SOURCE, mode, salt, P.CUES[name])
         for name, rx in P.EMBEDDED_RULES
         if on(name)
     ]

@@ -138,7 +138,7 @@ def _numeric_pool(df: DataFrame, sizes: dict[str, int], order_by) -> DataFrame:
     names = list(sizes)
     share = {c: min(1.0, POOL_ROWS / n) for c, n in sizes.items()}
     numbers = [_as_double(q(c), types[c]).alias(f"x{i}") for i, c in enumerate(names)]
-    rows = df.select(F.struct(row_key(order_by)).alias("rid"), *numbers)
+    rows = df.select(F.struct(row_key(order_by, types)).alias("rid"), *numbers)
     chance = F.pmod(F.xxhash64("*", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
     rows = rows.select("*", chance.alias("chance")).where(F.col("chance") < max(share.values()))
     parts = F.array(
@@ -392,7 +392,7 @@ def detect_anomalies(
         if cells is None:
             continue
         odd = (
-            df.select(row_key(order_by).alias("rid"), F.explode(cells).alias("c"))
+            df.select(row_key(order_by, types).alias("rid"), F.explode(cells).alias("c"))
             .groupBy("c.column", "c.value")
             .agg(F.min("rid").alias("first_rid"))
         )

@@ -71,8 +71,10 @@ def entity_scan(values: DataFrame, spans: Callable[[Column], Column] = rule_span
     read from that one exchange, so a hot entity type never gathers its spans.
     """
     keys = ["source", "column", "entity"]
+    # First position as one number (value, then span): fixed-width minima aggregate by hashing.
+    place = (F.col("rn").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(17,0)")).cast("decimal(38,0)") + F.col("pos")
     texts = entity_hits(values, spans).groupBy(*keys, "text").agg(
-        F.count_if("lead").alias("values"), F.max("score").alias("score"), F.min(F.struct("rn", "pos")).alias("at")
+        F.count_if("lead").alias("values"), F.max("score").alias("score"), F.min(place).alias("at")
     )
     # Both branches name every column of ``texts``; that keeps their plans equal and the exchange shared.
     counts = texts.groupBy(*keys).agg(

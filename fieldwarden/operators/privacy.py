@@ -94,7 +94,7 @@ def _text_columns(df: DataFrame, skip: Sequence[str] = ()) -> list[str]:
 def embedded_hits(df: DataFrame, columns: Sequence[str] | None = None, entities: bool = True) -> DataFrame:
     """Rows holding an embedded rule or entity, per column: one pass of conditional counts."""
     names = list(columns) if columns is not None else _text_columns(df)
-    rules = [(n, lambda v, rx=P.unicode_regex(rx): v.rlike(rx)) for n, rx in P.EMBEDDED_RULES]
+    rules = [(n, lambda v, c=P.CUES[n], rx=P.unicode_regex(rx): v.rlike(c) & v.rlike(rx)) for n, rx in P.EMBEDDED_RULES]
     if entities:
         rules += [(r.entity, r.found_in) for r in RECOGNISERS]
     aggregates, rows = [], []

@@ -21,7 +21,7 @@ from fieldwarden.operators.values import (
 )
 
 NUMERIC_TEXT = r"[+-]?(?:\d+(?:\.\d*)?|\.\d+)"
-# Exact quantiles read a bracket of at most this many rows in the final step.
+# Exact quantiles rank a bracket of at most this many rows in the final step.
 EXACT_ROWS = 5_000_000
 
 
@@ -47,33 +47,40 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles without sorting the table.
 
-    Small columns use the built-in exact percentile.  On large ones every
-    wanted rank is narrowed in the same few passes: an approximate percentile
-    brackets it from both sides, exact counts below and inside the bracket
-    carry the rank over, and the loop ends when the bracket is small.
+    Every wanted rank is narrowed in the same few passes: while its bracket is
+    large, an approximate percentile brackets it closer from both sides and
+    exact counts carry the rank over.  The values left in a bracket are counted
+    as runs and the rank is read off their running sum.
     """
-    counts = df.agg(*[F.count(_number(df, c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    sizes = {c: counts[i] for i, c in enumerate(columns)}
-    small = [c for c in columns if sizes[c] <= max_rows]
+    ends = df.agg(
+        *[
+            f.alias(f"{name}{i}")
+            for i, c in enumerate(columns)
+            for name, f in (
+                ("n", F.count(_number(df, c))),
+                ("low", F.count_if(_number(df, c) == float("-inf"))),
+                ("high", F.count_if(_number(df, c) == float("inf"))),
+            )
+        ]
+    ).first()
+    sizes = {c: (ends[f"n{i}"], ends[f"low{i}"], ends[f"high{i}"]) for i, c in enumerate(columns)}
+    wanted = set()
+    for c in columns:
+        n = sizes[c][0]
+        wanted |= {(c, min(int(p * (n - 1)) + extra, n - 1)) for p in probs for extra in (0, 1) if n}
+    found = _values_at(df, wanted, sizes, max_rows)
     out: dict[str, list[float | None]] = {}
-    if small:
-        row = df.agg(
-            *[F.percentile(_number(df, c), F.lit([float(p) for p in probs])).alias(f"p{i}") for i, c in enumerate(small)]
-        ).first()
-        for i, c in enumerate(small):
-            out[c] = list(row[i]) if row[i] is not None else [None] * len(probs)
-    large = [c for c in columns if c not in out]
-    if not large:
-        return out
-    ranks = {(c, int(p * (sizes[c] - 1)) + extra) for c in large for p in probs for extra in (0, 1)}
-    found = _values_at(df, {(c, min(r, sizes[c] - 1)) for c, r in ranks}, sizes, max_rows)
-    for c in large:
+    for c in columns:
+        n = sizes[c][0]
         out[c] = []
         for p in probs:
-            place = p * (sizes[c] - 1)
+            if not n:
+                out[c].append(None)
+                continue
+            place = p * (n - 1)
             low = int(place)
-            a, b = found[(c, low)], found[(c, min(low + 1, sizes[c] - 1))]
-            out[c].append(a + (b - a) * (place - low))
+            a, b = found[(c, low)], found[(c, min(low + 1, n - 1))]
+            out[c].append(a if a == b else a + (b - a) * (place - low))
     return out
 
 
@@ -86,93 +93,98 @@ class _Bracket:
     below: int
     inside: int
 
-    def holds(self, x: Column) -> Column:
-        return (x > self.low) & (x < self.high)
-
 
-def _values_at(df: DataFrame, wanted: set[tuple[str, int]], sizes: dict[str, int], max_rows: int) -> dict:
+def _values_at(df: DataFrame, wanted: set[tuple[str, int]], sizes: dict[str, tuple], max_rows: int) -> dict:
     """Values of 0-based ranks in sorted order, all ranks narrowed together."""
     accuracy = 10_000
     margin = 2.0 / accuracy
     found: dict[tuple[str, int], float] = {}
-    open_ = {t: _Bracket(float("-inf"), float("inf"), 0, sizes[t[0]]) for t in sorted(wanted)}
-    # Infinite cells would fall outside every open interval; they are settled by counting.
-    ends = df.agg(
-        *[F.count_if(_number(df, t[0]) == float("-inf")).alias(f"m{i}") for i, t in enumerate(open_)],
-        *[F.count_if(_number(df, t[0]) == float("inf")).alias(f"p{i}") for i, t in enumerate(open_)],
-    ).first()
-    for i, t in enumerate(list(open_)):
-        low, high = ends[f"m{i}"], ends[f"p{i}"]
+    open_: dict[tuple[str, int], _Bracket] = {}
+    for t in sorted(wanted):
+        # Infinite cells lie outside every open interval; their ranks are settled by the counts.
+        n, low, high = sizes[t[0]]
         if t[1] < low:
             found[t] = float("-inf")
-        elif t[1] >= sizes[t[0]] - high:
+        elif t[1] >= n - high:
             found[t] = float("inf")
-        if t in found:
-            del open_[t]
         else:
-            open_[t].below, open_[t].inside = low, sizes[t[0]] - low - high
+            open_[t] = _Bracket(float("-inf"), float("inf"), low, n - low - high)
     while wide := [t for t, b in open_.items() if b.inside > max_rows]:
-        guesses = df.agg(
+        # Ranks in one bracket share a sketch; neighbouring ranks share a guess, counted once.
+        sketches: dict[tuple, dict[float, list]] = {}
+        for t in wide:
+            b = open_[t]
+            share = round((t[1] - b.below) / b.inside, 6)
+            sketches.setdefault((t[0], b.low, b.high), {}).setdefault(share, []).append(t)
+        marks = {k: [m for s in shares for m in (max(0.0, s - margin), min(1.0, s + margin))] for k, shares in sketches.items()}
+        drawn = df.agg(
             *[
                 F.percentile_approx(
-                    F.when(open_[t].holds(_number(df, t[0])), _number(df, t[0])),
-                    F.array(
-                        F.lit(max(0.0, (t[1] - open_[t].below) / open_[t].inside - margin)),
-                        F.lit(min(1.0, (t[1] - open_[t].below) / open_[t].inside + margin)),
-                    ),
+                    F.when((_number(df, c) > low) & (_number(df, c) < high), _number(df, c)),
+                    F.lit(marks[(c, low, high)]),
                     F.lit(accuracy),
                 ).alias(f"g{i}")
-                for i, t in enumerate(wide)
+                for i, (c, low, high) in enumerate(sketches)
             ]
         ).first()
+        guesses = [
+            (k[0], drawn[i][2 * j], drawn[i][2 * j + 1], ranks)
+            for i, (k, shares) in enumerate(sketches.items())
+            for j, ranks in enumerate(shares.values())
+        ]
         tallies = df.agg(
             *[
                 F.count_if(condition).alias(f"{name}{i}")
-                for i, t in enumerate(wide)
+                for i, (c, low, high, _) in enumerate(guesses)
                 for name, condition in (
-                    ("below", _number(df, t[0]) < guesses[i][0]),
-                    ("at_low", _number(df, t[0]) == guesses[i][0]),
-                    ("upto", _number(df, t[0]) < guesses[i][1]),
-                    ("at_high", _number(df, t[0]) == guesses[i][1]),
+                    ("below", _number(df, c) < low),
+                    ("at_low", _number(df, c) == low),
+                    ("upto", _number(df, c) < high),
                 )
             ]
         ).first()
-        for i, t in enumerate(wide):
-            low, high = guesses[i]
+        for i, (_, low, high, ranks) in enumerate(guesses):
             after_low = tallies[f"below{i}"] + tallies[f"at_low{i}"]
-            # Repeated end values are settled here, so the open bracket always shrinks.
-            if t[1] < after_low:
-                found[t] = low
-            elif t[1] >= tallies[f"upto{i}"]:
-                found[t] = high
-            else:
-                open_[t] = _Bracket(low, high, after_low, tallies[f"upto{i}"] - after_low)
-            if t in found:
-                del open_[t]
-    if open_:
-        listed = list(open_.items())
-        runs = (
-            df.select(
-                F.explode(
-                    F.array_compact(
-                        F.array(
-                            *[
-                                F.when(b.holds(_number(df, t[0])), F.struct(F.lit(i).alias("t"), _number(df, t[0]).alias("x")))
-                                for i, (t, b) in enumerate(listed)
-                            ]
-                        )
-                    )
-                ).alias("r")
-            )
-            .groupBy("r.t", "r.x")
+            for t in ranks:
+                # Repeated end values are settled here, so the open bracket always shrinks.
+                if t[1] < after_low:
+                    found[t] = low
+                elif t[1] >= tallies[f"upto{i}"]:
+                    found[t] = high
+                else:
+                    open_[t] = _Bracket(low, high, after_low, tallies[f"upto{i}"] - after_low)
+                if t in found:
+                    del open_[t]
+    if not open_:
+        return found
+    groups: dict[tuple, list] = {}
+    for t, b in open_.items():
+        groups.setdefault((t[0], b.low, b.high, b.below), []).append(t)
+    runs = None
+    for g, (c, low, high, _) in enumerate(groups):
+        # Each branch reads one column and collapses repeated values before the shuffle.
+        part = (
+            df.select(_number(df, c).alias("x"))
+            .where((F.col("x") > low) & (F.col("x") < high))
+            .groupBy("x")
             .agg(F.count(F.lit(1)).alias("cnt"))
+            .select(F.lit(g).alias("g"), "x", "cnt")
         )
-        # At most ``max_rows`` rows per wanted rank reach this running sum.
-        running = F.sum("cnt").over(Window.partitionBy("t").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
-        target = F.element_at(F.array(*[F.lit(t[1] - b.below) for t, b in listed]), F.col("t") + 1)
-        rows = runs.withColumn("upto", running).where(F.col("upto") > target).groupBy("t").agg(F.min("x").alias("x"))
-        for r in rows.collect():
-            found[listed[r["t"]][0]] = r["x"]
+        runs = part if runs is None else runs.unionByName(part)
+    # At most ``max_rows`` rows per bracket reach this running sum.
+    running = F.sum("cnt").over(Window.partitionBy("g").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    places = F.array(
+        *[F.array(*[F.lit(t[1] - below).cast("long") for t in ranks]) for (_, _, _, below), ranks in groups.items()]
+    )
+    rows = runs.withColumn("upto", running).where(
+        F.exists(F.get(places, F.col("g")), lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("cnt")))
+    )
+    keys = list(groups)
+    for r in rows.collect():
+        below = keys[r["g"]][3]
+        for t in groups[keys[r["g"]]]:
+            if r["upto"] - r["cnt"] <= t[1] - below < r["upto"]:
+                found[t] = r["x"]
     return found
 
 

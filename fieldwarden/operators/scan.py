@@ -251,25 +251,34 @@ def full_counts(cells: DataFrame, registry: PatternRegistry = DEFAULT_REGISTRY)
     """
     value = F.col("value")
     names = registry.names
-    hits = lambda v: F.filter(
-        F.array(*[F.when(rule.matches(v), F.lit(i)) for i, rule in enumerate(registry)]), lambda x: x.isNotNull()
-    )
     is_long = F.length(value) > 256
     # Only long values are tested before the shuffle; one that matches keeps its text.
-    early = cells.withColumn("early", F.when(is_long, hits(value)))
-    keyed = early.withColumn("digest", F.when(is_long, F.sha2(value, 256))).withColumn(
-        "value", F.when(~is_long | (F.size("early") > 0), value)
+    early = cells.select("*", F.when(is_long, registry.mask(value)).alias("early"))
+    keyed = early.select(
+        *KEYS, "rid", "early",
+        F.when(is_long, F.sha2(value, 256)).alias("digest"),
+        F.when(~is_long | (F.col("early") > 0), value).alias("value"),
     )
     index = keyed.groupBy(*KEYS, "value", "digest").agg(
-        F.count(F.lit(1)).alias("cnt"), F.min("rid").alias("first_rid"), F.first("early").alias("early")
+        F.count(F.lit(1)).alias("cnt"), F.min("rid").alias("first_rid"), F.max("early").alias("early")
     )
+    masked = index.select(*KEYS, "value", "cnt", "first_rid", F.coalesce("early", registry.mask(value)).alias("mask"))
     # Entry -1 stands for the value itself and yields the totals.
-    entries = F.concat(F.array(F.lit(-1)), F.coalesce("early", hits(value)))
-    exploded = index.select(*KEYS, "value", "cnt", "first_rid", F.explode(entries).alias("rule_order"))
+    entries = F.concat(F.array(F.lit(-1)), registry.rules_of(F.col("mask")))
+    exploded = masked.select(*KEYS, "value", "cnt", "first_rid", F.explode(entries).alias("rule_order"))
     # Both branches name every column of ``index``; that keeps their plans equal and the exchange shared.
-    counts = exploded.groupBy(*KEYS, "rule_order").agg(
+    tallies = exploded.groupBy(*KEYS, "rule_order").agg(
         F.count("first_rid").alias("matches"), F.sum("cnt").alias("rows")
     )
+    # At most one entry per rule and column; the totals entry is read beside the others.
+    per_column = tallies.groupBy(*KEYS).agg(F.collect_list(F.struct("rule_order", "matches", "rows")).alias("t"))
+    total = F.get(F.filter("t", lambda x: x["rule_order"] == -1), F.lit(0))
+    counts = per_column.select(
+        *KEYS,
+        total["matches"].alias("sample_size"),
+        total["rows"].alias("total_rows"),
+        F.explode(F.filter("t", lambda x: x["rule_order"] >= 0)).alias("x"),
+    ).select(*KEYS, "sample_size", "total_rows", "x.*")
     firsts = (
         top_n(
             exploded.where("rule_order >= 0"), [*KEYS, "rule_order"], [F.col("first_rid"), F.col("value")],
@@ -279,11 +288,8 @@ def full_counts(cells: DataFrame, registry: PatternRegistry = DEFAULT_REGISTRY)
         .agg(F.sort_array(F.collect_list(F.struct("k", "value", "cnt"))).alias("e"))
         .select(*KEYS, "rule_order", F.col("e.value").alias("examples"))
     )
-    totals = counts.where("rule_order = -1").select(
-        *KEYS, F.col("matches").alias("sample_size"), F.col("rows").alias("total_rows")
-    )
     named = F.get(lit_strings(names), F.col("rule_order"))
-    return counts.join(firsts, [*KEYS, "rule_order"]).join(totals, KEYS).withColumn("pattern", named)
+    return counts.join(firsts, [*KEYS, "rule_order"]).withColumn("pattern", named)
 
 
 def full_scan(

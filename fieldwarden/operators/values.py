@@ -42,12 +42,29 @@ def literal_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Dat
     return spark.range(1, numPartitions=1).select(F.explode(F.array(*items)).alias("r")).select("r.*")
 
 
-def row_key(order_by: str | Sequence[str] | None) -> Column:
-    """Row position: the caller's key columns, or reading order."""
+def row_key(order_by: str | Sequence[str] | None, types: dict[str, T.DataType] | None = None) -> Column:
+    """Row position: the caller's key columns, or reading order.
+
+    Two integer columns of which at most one is long are packed into one
+    number, because minima of fixed-width cells aggregate by hashing and those
+    of structs by sorting.  Other compound keys stay structs.
+    """
     if order_by is None:
         return F.monotonically_increasing_id()
     names = [order_by] if isinstance(order_by, str) else list(order_by)
-    return q(names[0]) if len(names) == 1 else F.struct(*[q(n) for n in names])
+    if len(names) == 1:
+        return q(names[0])
+    kinds = [(types or {}).get(n) for n in names]
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    if len(names) == 2 and all(isinstance(k, whole) for k in kinds):
+        longs = [isinstance(k, T.LongType) for k in kinds]
+        if sum(longs) <= 1:
+            width, shift = (1 << 64, 1 << 63) if longs[1] else (1 << 32, 1 << 31)
+            number = lambda c: q(c).cast("decimal(20,0)")
+            lit = lambda n: F.lit(str(n)).cast("decimal(20,0)")
+            packed = (number(names[0]) * lit(width)).cast("decimal(38,0)") + (number(names[1]) + lit(shift))
+            return packed.cast("decimal(38,0)")
+    return F.struct(*[q(n) for n in names])
 
 
 def long_form(
@@ -65,7 +82,7 @@ def long_form(
         batch = names[start : start + COLUMNS_PER_BATCH]
         texts = [as_text(q(n), types[n]).alias(n) for n in batch]
         part = (
-            df.select(tag.alias("__source"), row_key(order_by).alias("__rid"), *texts)
+            df.select(tag.alias("__source"), row_key(order_by, types).alias("__rid"), *texts)
             .unpivot(["__source", "__rid"], [q(n) for n in batch], "column", "value")
             .where(F.col("value").isNotNull())
             .select(F.col("__source").alias("source"), "column", "value", F.col("__rid").alias("rid"))
