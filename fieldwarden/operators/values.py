@@ -130,6 +130,7 @@ def spread(df: DataFrame) -> DataFrame:
 
     Text rules are bound by processors, so one unsplittable small file should
     not be one task.  Large inputs have more splits than cores and stay as read.
+    Meant for plain reads: asking a plan with shuffles for its splits would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     splits = df._jdf.queryExecution().toRdd().getNumPartitions()
