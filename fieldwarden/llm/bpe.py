@@ -53,7 +53,7 @@ class PairIndexEncoder:
         self.tokens = {i: t for t, i in [*vocab.items(), *special.items()]}
         self.special = special
         self.cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-        self.path = path
+        self.path, self.library = path, None
         self.split = regex.compile(SPLIT)
         self.unsettled = regex.compile(UNSETTLED)
         alphabet = byte_alphabet()
@@ -140,10 +140,11 @@ class PairIndexEncoder:
         return self.split.findall(text.replace("Σ", "σ").lower())
 
     def _library_pieces(self, text: str) -> list[str]:
-        from tokenizers import Tokenizer
+        if self.library is None:
+            from tokenizers import Tokenizer
 
-        library = Tokenizer.from_file(self.path)
-        found = library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text))
+            self.library = Tokenizer.from_file(self.path)
+        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         return [bytes(self.byte_of[c] for c in piece).decode() for piece, _ in found]
 
     def learn(self, pieces: set[str]) -> None:
