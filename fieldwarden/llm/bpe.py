@@ -16,9 +16,11 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +29,8 @@ from fieldwarden.llm.shared import slices_by_bytes
 
 #: Pieces kept per task between batches; the table starts anew beyond it, which costs time but changes no result.
 PIECE_CACHE = 200_000
+#: Rows decoded at a time.
+DECODE_ROWS = 500
 #: Fixed value: the split pattern that the vocabulary file states.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters outside these blocks may have another class or case in another version of Unicode; texts that hold one
@@ -50,77 +54,88 @@ class PairIndexEncoder:
         model = spec["model"]
         vocab, self.suffix = model["vocab"], model["end_of_word_suffix"]
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in [*vocab.items(), *special.items()]}
+        by_id = {i: t for t, i in [*vocab.items(), *special.items()]}
+        self.tokens = pa.array([by_id.get(i, "") for i in range(max(by_id) + 1)])
         self.special = special
         self.cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.path, self.library = path, None
         self.split = regex.compile(SPLIT)
         self.unsettled = regex.compile(UNSETTLED)
         alphabet = byte_alphabet()
-        self.inner = [vocab[c] for c in alphabet]
-        self.last = [vocab[c + self.suffix] for c in alphabet]
+        self.inner = np.array([vocab[c] for c in alphabet], np.int64)
+        self.last = np.array([vocab[c + self.suffix] for c in alphabet], np.int64)
         self.byte_of = {c: b for b, c in enumerate(alphabet)}
         self.pair_of = [(vocab[left], vocab[right]) for left, right in model["merges"]]
-        self.ranks = {pair: rank for rank, pair in reversed(list(enumerate(self.pair_of)))}
+        self.ranks = {a << 20 | b: rank for rank, (a, b) in reversed(list(enumerate(self.pair_of)))}
+        self.codes = np.array(sorted(self.ranks), np.int64)
+        self.code_ranks = np.array([self.ranks[c] for c in self.codes.tolist()], np.int64)
         self.made = [vocab[left + right] for left, right in model["merges"]]
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat: list[np.ndarray] = []
-        self.ends = [0]
-
-    def merged(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of each piece; all pieces share one pair occurrence index."""
-        symbol: list[int] = []
-        begin = []
-        for piece in pieces:
-            begin.append(len(symbol))
-            raw = piece.encode()
-            symbol += [self.inner[b] for b in raw[:-1]]
-            symbol.append(self.last[raw[-1]])
-        total = len(symbol)
-        after = list(range(1, total + 1))
-        before = list(range(-1, total - 1))
-        for b in begin:
-            before[b] = -1
-            if b:
-                after[b - 1] = -1
-        if total:
-            after[-1] = -1
-        index: dict[int, list[int]] = {}
-        active: list[int] = []
-        ranks = self.ranks
-
-        def note(at: int, follower: int) -> None:
-            rank = ranks.get((symbol[at], symbol[follower]))
-            if rank is not None:
-                held = index.get(rank)
-                if held is None:
-                    index[rank] = [at]
-                    heapq.heappush(active, rank)
-                else:
-                    held.append(at)
-
-        for at, follower in enumerate(after):
-            if follower >= 0:
-                note(at, follower)
+        self.flat = np.zeros(0, np.int32)
+        self.ends = np.zeros(1, np.int64)
+
+    def _index(self, symbol: np.ndarray, last: np.ndarray) -> dict[int, list[int]]:
+        """All positions of every mergeable pair, by the pair's rank."""
+        codes = symbol[:-1] << 20 | symbol[1:]
+        found = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        at = np.flatnonzero((self.codes[found] == codes) & ~last[:-1])
+        rank = self.code_ranks[found[at]]
+        order = np.argsort(rank, kind="stable")
+        rank, at = rank[order], at[order]
+        cut = np.flatnonzero(np.diff(rank)) + 1
+        return {int(r[0]): p.tolist() for r, p in zip(np.split(rank, cut), np.split(at, cut), strict=True) if len(p)}
+
+    def merged(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces one after another, and each piece's count; all share one pair occurrence index."""
+        raw = [p.encode() for p in pieces]
+        stops = np.cumsum([len(r) for r in raw], dtype=np.int64)
+        chars = np.frombuffer(b"".join(raw), np.uint8)
+        last = np.zeros(len(chars), bool)
+        last[stops - 1] = True
+        start = np.where(last, self.last[chars], self.inner[chars])
+        index = self._index(start, last)
+        active = list(index)
+        heapq.heapify(active)
+        symbol = start.tolist()
+        after = np.where(last, -1, np.arange(1, len(chars) + 1)).tolist()
+        first = np.concatenate([[True], last[:-1]])
+        before = np.where(first, -1, np.arange(-1, len(chars) - 1)).tolist()
+        rank_of = self.ranks.get
         while active:
             rank = heapq.heappop(active)
             left, right = self.pair_of[rank]
+            new = self.made[rank]
             for at in sorted(index.pop(rank)):
                 gone = after[at]
                 if symbol[at] != left or gone < 0 or symbol[gone] != right:
                     continue
-                symbol[at], symbol[gone] = self.made[rank], -1
+                symbol[at], symbol[gone] = new, -1
                 follower = after[at] = after[gone]
+                leader = before[at]
                 if follower >= 0:
                     before[follower] = at
-                    note(at, follower)
-                if before[at] >= 0:
-                    note(before[at], at)
-        stops = [*begin[1:], total]
-        return [[s for s in symbol[a:b] if s >= 0] for a, b in zip(begin, stops, strict=True)]
+                    other = rank_of(new << 20 | symbol[follower])
+                    if other is not None:
+                        if other in index:
+                            index[other].append(at)
+                        else:
+                            index[other] = [at]
+                            heapq.heappush(active, other)
+                if leader >= 0:
+                    other = rank_of(symbol[leader] << 20 | new)
+                    if other is not None:
+                        if other in index:
+                            index[other].append(leader)
+                        else:
+                            index[other] = [leader]
+                            heapq.heappush(active, other)
+        left_over = np.array(symbol, np.int32)
+        kept = left_over >= 0
+        upto = np.concatenate([[0], np.cumsum(kept)])
+        return left_over[kept], np.diff(upto[np.concatenate([[0], stops])])
 
     def pieces(self, text: str) -> list[str]:
         """Pieces of a text in order; special tokens found in it stand as themselves."""
@@ -148,40 +163,37 @@ class PairIndexEncoder:
         return [bytes(self.byte_of[c] for c in piece).decode() for piece, _ in found]
 
     def learn(self, pieces: set[str]) -> None:
-        fresh = [p for p in pieces if p not in self.known]
-        plain = [p for p in fresh if p not in self.special]
-        for piece, ids in zip(plain, self.merged(plain), strict=True):
-            self._add(piece, ids)
-        for piece in fresh:
-            if piece in self.special:
-                self._add(piece, [self.special[piece]])
-
-    def _add(self, piece: str, ids: list[int]) -> None:
-        self.known[piece] = len(self.ends) - 1
-        self.flat.append(np.array(ids, np.int32))
-        self.ends.append(self.ends[-1] + len(ids))
+        """Adds the ids of new pieces to the table of known ones."""
+        fresh = [p for p in pieces if p not in self.known and p not in self.special]
+        marks = [p for p in pieces if p not in self.known and p in self.special]
+        if not fresh and not marks:
+            return
+        ids, counts = self.merged(fresh) if fresh else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        self.known.update(zip(fresh + marks, range(len(self.known), len(self.known) + len(fresh) + len(marks)), strict=True))
+        self.flat = np.concatenate([self.flat, ids, np.array([self.special[m] for m in marks], np.int32)])
+        counts = np.concatenate([counts, np.ones(len(marks), np.int64)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
 
     def encode_batch(self, texts: list[str | None]) -> pa.Array:
         """A list of ids for each text."""
         if len(self.known) > PIECE_CACHE:
             self._clear()
         split = [self.pieces(t) if t else [] for t in texts]
-        self.learn({p for pieces in split for p in pieces})
-        get = self.known.__getitem__
-        count = [len(p) for p in split]
-        which = np.fromiter((get(p) for pieces in split for p in pieces), np.int64, sum(count))
-        ends = np.array(self.ends)
-        ids = np.concatenate(self.flat) if self.flat else np.zeros(0, np.int32)
-        self.flat = [ids] if self.flat else []
-        lens = (ends[1:] - ends[:-1])[which]
+        self.learn(set(chain.from_iterable(split)))
+        count = np.array([len(p) for p in split], np.int64)
+        which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(count.sum()))
+        lens = np.diff(self.ends)[which]
         stop = np.cumsum(lens)
-        place = np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(ends[which] - (stop - lens), lens)
-        of_text = np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(count)]).astype(np.int64)]
-        return pa.ListArray.from_arrays(pa.array(of_text.astype(np.int32)), pa.array(ids[place]))
+        place = np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(self.ends[which] - (stop - lens), lens)
+        of_text = np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(count)])]
+        return pa.ListArray.from_arrays(pa.array(of_text.astype(np.int32)), pa.array(self.flat[place]))
 
-    def decode(self, ids: list[int]) -> str:
-        """The tokens joined by one space: the file names no decoder."""
-        return " ".join(map(self.tokens.__getitem__, ids))
+    def decode_batch(self, ids: pa.ListArray) -> pa.Array:
+        """The tokens of each row joined by one space: the file names no decoder."""
+        lens = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        offsets = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
+        tokens = self.tokens.take(ids.flatten())
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), tokens), " ")
 
 
 @lru_cache(maxsize=2)
@@ -210,9 +222,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            texts = [own.decode(ids) if ids else "" for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"]
-            )
+            for at in range(0, batch.num_rows, DECODE_ROWS):
+                part = batch.slice(at, DECODE_ROWS)
+                decoded = own.decode_batch(part.column("ids"))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("ids"), decoded], ["doc_id", "ids", "decoded"]
+                )
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldwarden.llm import bpe, chat_format
+from fieldwarden.llm import bpe, chat_format, minhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,11 +89,40 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x20\x09-\x0D]+') as ws from documents),
+s as (
+  select doc_id, unnest(case when len(ws) = 0 then []
+                             when len(ws) < 5 then [array_to_string(ws, ' ')]
+                             else list_distinct([array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)]) end) as sh
+  from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+m as (
+  select a.doc_id as a, b.doc_id as b, count(*) as shared
+  from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id group by 1, 2),
+e as (
+  select m.a, m.b from m join n x on x.doc_id = m.a join n y on y.doc_id = m.b
+  where 100 * shared >= 75 * (x.n + y.n - shared)),
+r as (select doc_id as a, doc_id as b from documents union select r.a, e.b from r join e on e.a = r.b),
+c as (select a as doc_id, min(b) as component_id from r group by a)
+select c.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id, c.doc_id = c.component_id as kept
+from c left join n using (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_preference_format": op1_preference_format,
     "op3_bpe": op3_bpe,
+    "op7_minhash": op7_minhash,
 }
 
 ORACLES: dict[str, str] = {
     "op1_preference_format": OP1_SQL,
+    "op7_minhash": OP7_SQL,
 }

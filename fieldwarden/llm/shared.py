@@ -61,7 +61,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices_by_bytes(batch: pa.RecordBatch, text: str, most: int = 1 << 21):
     """Parts of a batch with at most ``most`` bytes of text each, one row at least: bounds the work arrays."""
-    sizes = np.cumsum([len(v) if v is not None else 0 for v in batch.column(text).cast(pa.large_binary()).to_pylist()])
+    sizes = text_buffer(batch.column(text))[1][1:]
     start = 0
     while start < batch.num_rows:
         before = sizes[start - 1] if start else 0
