@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldwarden.llm import bpe, chat_format, minhash
+from fieldwarden.llm import bpe, chat_format, debruijn, minhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,13 +116,37 @@ from c left join n using (doc_id)
 """
 
 
+def op10_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
+OP10_SQL = r"""
+with d as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+w as (
+  select doc_id, unnest(range(1, greatest(len(ws) - 11, 1))) as i, ws from d),
+x as (select doc_id, i, array_to_string(ws[i:i + 12], ' ') as win from w),
+f as (select win, min(doc_id) as first_id from x group by win),
+g as (
+  select distinct x.doc_id, unnest(range(i, i + 13)) as p from x join f using (win) where x.doc_id > f.first_id),
+l as (select doc_id, list(p) as ps from g group by doc_id)
+select d.doc_id, len(ws)::bigint as n_words, coalesce(len(ps), 0)::bigint as n_removed,
+       sha256(array_to_string([ws[k] for k in range(1, len(ws) + 1) if ps is null or not list_contains(ps, k)], ' ')) as kept_sha256
+from d left join l using (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_preference_format": op1_preference_format,
     "op3_bpe": op3_bpe,
     "op7_minhash": op7_minhash,
+    "op10_debruijn": op10_debruijn,
 }
 
 ORACLES: dict[str, str] = {
     "op1_preference_format": OP1_SQL,
     "op7_minhash": OP7_SQL,
+    "op10_debruijn": OP10_SQL,
 }
