@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldwarden.llm import bpe, chat_format, debruijn, minhash
+from fieldwarden.llm import bpe, chat_format, debruijn, decontaminate, minhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +89,44 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.contamination(docs, items).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP5_SQL = r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+b as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+i as (select item_id, ws, least(len(ws), 10) as l from b where len(ws) > 0),
+w as (
+  select distinct item_id, l, array_to_string(ws[k:k + l - 1], ' ') as win
+  from (select item_id, ws, l, unnest(range(1, len(ws) - l + 2)) as k from i)),
+p as (select doc_id, ws, unnest(range(1, len(ws) + 1)) as k from d),
+x as (
+  select doc_id, k, l, array_to_string(ws[k:k + l - 1], ' ') as win
+  from p cross join (select distinct l from w) where k + l - 1 <= len(ws)),
+h as (select doc_id, k, w.l, item_id from x join w on x.win = w.win and x.l = w.l),
+c as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(k, k + l)) as q from h) group by doc_id),
+o as (
+  select doc_id, count(*) as n_items, string_agg(s, ',' order by s) as items
+  from (select distinct doc_id, item_id::varchar as s from h) group by doc_id)
+select d.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join c using (doc_id) left join o using (doc_id)
+"""
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -141,12 +179,14 @@ from d left join l using (doc_id)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_preference_format": op1_preference_format,
     "op3_bpe": op3_bpe,
+    "op5_decontaminate": op5_decontaminate,
     "op7_minhash": op7_minhash,
     "op10_debruijn": op10_debruijn,
 }
 
 ORACLES: dict[str, str] = {
     "op1_preference_format": OP1_SQL,
+    "op5_decontaminate": OP5_SQL,
     "op7_minhash": OP7_SQL,
     "op10_debruijn": OP10_SQL,
 }
