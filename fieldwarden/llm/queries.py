@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldwarden.llm import bpe, chat_format, debruijn, decontaminate, minhash
+from fieldwarden.llm import bpe, chat_format, debruijn, decontaminate, minhash, toxicity
+from fieldwarden.llm.shared import is_held_out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -127,6 +128,17 @@ from d left join c using (doc_id) left join o using (doc_id)
 """
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select(
+        "doc_id",
+        is_held_out("doc_id", 5, 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.transform("evidence", lambda e: e["doc_id"]).alias("evidence_ids"),
+    )
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -180,6 +192,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_preference_format": op1_preference_format,
     "op3_bpe": op3_bpe,
     "op5_decontaminate": op5_decontaminate,
+    "op6_toxicity": op6_toxicity,
     "op7_minhash": op7_minhash,
     "op10_debruijn": op10_debruijn,
 }

@@ -10,6 +10,9 @@ import numpy as np
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Bytes of letters: A-Z, a-z and all bytes of non-ASCII characters.
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _POWERS = np.ones(64, np.uint64)
@@ -38,11 +41,11 @@ def _powers(base: int, n: int) -> np.ndarray:
     return held[:n]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of all words, and the n + 1 word offsets of the rows."""
+def words(data: np.ndarray, offsets: np.ndarray, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of all words, and the n + 1 word offsets of the rows. ``of`` marks the bytes of words."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~_WHITE[data]
+    inside = (~_WHITE if of is None else of)[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
     start = inside.copy()
