@@ -10,9 +10,9 @@ component of a document is named by the smallest id reachable over links.
    with a chance of 5e-6, and less above.
 3. A bucket yields edges from its smallest id to the others only. Edges are confirmed on full sets: first one edge for
    each document, then those that would still join two components.
-4. Members of a bucket that still lie in several components were never compared with each other. An exact
-   prefix-filtered join among just these documents finds the links that the stars left out: a pair at 0.75 shares one
-   of the rarest shingles of either, so documents that only share a common passage never meet.
+4. Members of a bucket that still lie in several components were not all compared with each other. Such buckets are
+   cut into tiles of bounded size; in a tile, members of different components whose signatures agree in 74 of 128 bins
+   (4.4 standard deviations below what similarity 0.75 gives) are compared on full sets. Only links leave a tile.
 
 Null text, empty text and text without words have an empty set and link with nothing. Rows without id link with
 nothing, have no component and are kept. Repeated rows get equal results; rows that repeat an id with another text are
@@ -27,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fieldwarden.llm import wordhash
 from fieldwarden.llm.components import components
@@ -38,6 +37,10 @@ BINS, BANDS = 128, 32
 PERCENT = 75
 #: Documents compared with one centre by one task; more are spread over copies of the centre.
 GROUP = 1000
+#: Members of a bucket in one part; a tile compares two parts.
+TILE = 500
+#: Bins in which two signatures must agree before full sets are compared: 0.75 less 4.4 standard deviations.
+ALIKE_BINS = 74
 _TRIES = np.random.default_rng(7).integers(0, BINS, (BINS, 4 * BINS))
 
 
@@ -178,46 +181,76 @@ def _labelled(rows: DataFrame, column: str, labels: DataFrame) -> DataFrame:
     return rows.join(names, column, "left").withColumn("component", F.coalesce("_label", column)).drop("_label")
 
 
-def _rare_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each tile that a document takes part in, with its set and its signature's low bytes."""
+    names = ["key", "i", "j", "part", "component", "doc", "held", "sketch"]
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
     for batch in batches:
         for part in slices_by_bytes(batch, "body"):
             sets = shingle_sets(part.column("body"))
-            lens = [len(s) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(part.column("doc_id").to_numpy(zero_copy_only=False), lens), pa.int64()),
-                    pa.array(np.repeat(part.column("component").to_numpy(zero_copy_only=False), lens), pa.int64()),
-                    pa.array(np.repeat(np.array(lens, np.int64), lens), pa.int64()),
-                    pa.array((np.concatenate(sets) if sets else np.zeros(0, np.uint64)).view(np.int64)),
-                ],
-                ["doc_id", "component", "n", "shingle"],
-            )
+            sketches = signatures(sets).astype(np.uint8)
+            ids, roles = part.column("doc_id").to_pylist(), part.column("roles").to_pylist()
+            rows = [
+                (r["key"], min(r["part"], o), max(r["part"], o), r["part"], r["component"], ids[k], own.tobytes(), sketches[k].tobytes())
+                for k, own in enumerate(sets)
+                for r in roles[k]
+                for o in range(r["parts"])
+            ]
+            for at in range(0, len(rows), 512):
+                columns = zip(*rows[at : at + 512], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+
+def _tile_links(tile: list[tuple]) -> list[tuple[int, int]]:
+    """Near pairs of different components in one tile, confirmed on full sets."""
+    part = np.array([r[3] for r in tile])
+    component = np.array([r[4] for r in tile])
+    sets = [np.frombuffer(r[6], np.uint64) for r in tile]
+    size = np.array([len(s) for s in sets])
+    sketch = np.frombuffer(b"".join(r[7] for r in tile), np.uint8).reshape(len(tile), BINS)
+    whole = tile[0][1] == tile[0][2]
+    found = []
+    for x in range(len(tile) - 1):
+        rest = np.arange(x + 1, len(tile))
+        rest = rest[(component[rest] != component[x]) & (whole | (part[rest] != part[x]))]
+        rest = rest[np.minimum(size[rest], size[x]) * 100 >= np.maximum(size[rest], size[x]) * PERCENT]
+        for y in rest[(sketch[rest] == sketch[x]).sum(1) >= ALIKE_BINS].tolist():
+            if _near(sets[x], sets[y]):
+                found.append((min(tile[x][5], tile[y][5]), max(tile[x][5], tile[y][5])))
+    return found
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by tile; a tile holds at most two parts of one bucket."""
+
+    def out(tile: list[tuple]) -> pa.RecordBatch:
+        found = _tile_links(tile)
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    tile: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if tile and row[:3] != tile[0][:3]:
+                yield out(tile)
+                tile = []
+            tile.append(row)
+    if tile:
+        yield out(tile)
 
 
 def _left_out(docs: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of different components, among members of one bucket, that share a necessary rare shingle."""
+    """Links between different components among members of one bucket, found tile by tile; no pair is a row."""
     seen = _labelled(links, "doc", labels)
     mixed = seen.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"))
-    several = mixed.filter("x < y and n > 2").select("key")
-    members = stored(seen.join(several, "key").select(F.col("doc").alias("doc_id"), "component").distinct(), "members")
-    rows = docs.join(broadcast_if_small(members), "doc_id").mapInArrow(
-        _rare_shingles, "doc_id long, component long, n long, shingle long"
-    )
-    rows = stored(rows.distinct(), "shingles")
-    count = rows.groupBy("shingle").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("doc_id", "n").orderBy("df", "shingle"))
-    prefix = rows.join(count, "shingle").withColumn("rank", rank)
-    need = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
-    prefix = prefix.filter((F.col("rank") <= need) & (F.col("df") > 1)).select("shingle", "doc_id", "component", "n")
-    prefix = stored(prefix, "prefix")
-    other = prefix.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "component", "n")))
-    return (
-        prefix.join(other, "shingle")
-        .filter("doc_id < doc_id_b and component <> component_b")
-        .filter(F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * PERCENT)
-        .select(F.col("doc_id").alias("a"), F.col("doc_id_b").alias("b"))
-        .distinct()
+    several = mixed.filter("x < y and n > 2").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("part")
+    members = seen.join(several, "key").select(F.col("doc").alias("doc_id"), F.struct("key", part, "parts", "component").alias("role"))
+    roles = stored(members.groupBy("doc_id").agg(F.collect_list("role").alias("roles")), "members")
+    rows = docs.join(broadcast_if_small(roles), "doc_id").mapInArrow(
+        _tile_rows, "key long, i int, j int, part int, component long, doc long, held binary, sketch binary"
     )
+    tiles = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return stored(tiles.mapInArrow(_tiles, "a long, b long").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -243,7 +276,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     apart = _labelled(apart, "b", labels).filter("component <> ca").select("a", "b")
     near = near.union(confirmed(full, apart.join(best, ["a", "b"], "left_anti")))
     labels = stored(components(near), "labels")
-    near = near.union(confirmed(full, _left_out(full, links, labels)))
+    near = near.union(_left_out(full, links, labels))
     labels = stored(components(near), "labels")
     named = described.join(classes, digest, "left").select("doc_id", "n_shingles", F.coalesce("first_id", "doc_id").alias("first_id"))
     return _labelled(named, "first_id", labels).select(
