@@ -80,9 +80,7 @@ from n left join a using (pair_id) left join q using (pair_id)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary()
-    done = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
-    return done.select(
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary()).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
