@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldwarden.llm import bpe, chat_format, debruijn, decontaminate, langid, minhash, quality, toxicity
+from fieldwarden.llm import bpe, chat_format, debruijn, decontaminate, html_text, langid, minhash, quality, toxicity
 from fieldwarden.llm.shared import is_held_out
 
 
@@ -176,6 +176,11 @@ from c left join n using (doc_id)
 """
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
@@ -206,6 +211,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_toxicity": op6_toxicity,
     "op7_minhash": op7_minhash,
+    "op8_html": op8_html,
     "op10_debruijn": op10_debruijn,
 }
 
