@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldwarden.llm import bpe, chat_format, debruijn, decontaminate, html_text, langid, minhash, quality, toxicity
+from fieldwarden.llm import bpe, chat_format, debruijn, decontaminate, html_text, langid, minhash, nn_descent, quality, toxicity
 from fieldwarden.llm.shared import is_held_out
 
 
@@ -181,6 +181,11 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nn_descent.neighbours(rows, rows.filter("vec_id % 20 = 0").select("vec_id"))
+
+
 def op10_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
@@ -212,6 +217,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_minhash": op7_minhash,
     "op8_html": op8_html,
+    "op9_nn_descent": op9_nn_descent,
     "op10_debruijn": op10_debruijn,
 }
 
