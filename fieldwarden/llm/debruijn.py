@@ -21,7 +21,7 @@ repeat an id with another text are judged by their own text. Extra columns are i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldwarden.llm import wordhash
-from fieldwarden.llm.shared import broadcast_if_small, slices_by_bytes, stored, text_buffer
+from fieldwarden.llm.shared import broadcast_if_small, carrying, record_batch, slices_by_bytes, stored, text_buffer, with_carried
 
 WINDOW = 13
 SEED_WORDS = 6
@@ -238,30 +238,34 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raw = seen.data[seen.starts[a] : seen.ends[b - 1]].tobytes() if b > a else b""
                 base = int(seen.starts[a]) if b > a else 0
                 texts.append(b" ".join([raw[x - base : y - base] for x, y in pieces]).decode())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id"),
-                    pa.array(counts, pa.int64()),
-                    pa.array(gone, pa.int64()),
-                    pa.array(texts, pa.string()),
-                ],
-                ["doc_id", "n_words", "n_removed", "kept"],
-            )
-
-
-def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_words, n_removed, kept`` (the kept words joined by one space), one row for each row of ``docs``."""
-    given = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("body"))
+            found = {
+                "doc_id": part.column("doc_id"),
+                "n_words": pa.array(counts, pa.int64()),
+                "n_removed": pa.array(gone, pa.int64()),
+                "kept": pa.array(texts, pa.string()),
+            }
+            yield record_batch(part, found)
+
+
+def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept`` (the kept words joined by one space), one row for each row of ``docs``.
+
+    Columns named in ``carry`` come back in the struct ``carried``.
+    """
+    whole = docs.select(
+        F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("body"), *carrying(docs, carry)
+    )
+    given = whole.select("doc_id", "body")
     same = [F.xxhash64("body").alias("h"), F.hash("body").alias("h2"), F.length("body").alias("l")]
     hashed = stored(given.filter("doc_id is not null and body is not null").select("doc_id", *same), "texts")
     firsts = hashed.groupBy("h", "h2", "l").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
     groups = firsts.filter("first_id < last_id").drop("last_id")
     copies = hashed.join(groups, ["h", "h2", "l"]).filter("doc_id > first_id").select("doc_id", "h").distinct()
     copies = broadcast_if_small(stored(copies, "copies"))
-    keyed = given.withColumn("h", F.xxhash64("body"))
-    spans = stored(repeated_spans(keyed.join(copies, ["doc_id", "h"], "left_anti"), "doc_id", "body"), "spans")
+    spans = given.withColumn("h", F.xxhash64("body"))
+    spans = stored(repeated_spans(spans.join(copies, ["doc_id", "h"], "left_anti"), "doc_id", "body"), "spans")
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "len", "check_sum")).alias("spans"))
-    marked = keyed.join(copies.withColumn("copied", F.lit(True)), ["doc_id", "h"], "left").join(by_doc, "doc_id", "left")
-    return marked.select("doc_id", "body", "spans", F.coalesce("copied", F.lit(False)).alias("copied")).mapInArrow(
-        _cut, "doc_id long, n_words long, n_removed long, kept string"
-    )
+    marked = whole.withColumn("h", F.xxhash64("body")).join(copies.withColumn("copied", F.lit(True)), ["doc_id", "h"], "left").join(by_doc, "doc_id", "left")
+    held = ["carried"] if carry else []
+    marked = marked.select("doc_id", "body", "spans", F.coalesce("copied", F.lit(False)).alias("copied"), *held)
+    return marked.mapInArrow(_cut, with_carried("doc_id long, n_words long, n_removed long, kept string", marked))

@@ -96,10 +96,10 @@ def _found(docs: DataFrame, shingles: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``doc_id, n_words, n_hit, item_ids``, one row for each row of ``docs`` (``doc_id, text``).
+    """``doc_id, tag, n_words, n_hit, item_ids``, one row for each row of ``docs`` (``doc_id, text``).
 
     ``n_hit`` counts the words inside any occurrence of a window of ``items`` (``item_id, text``); ``item_ids`` holds the
-    items with an occurring window, as sorted strings.
+    items with an occurring window, as sorted strings; ``tag`` is the text's ``xxhash64``.
     """
     windows, owners = _windows(items)
     shingles, places = _shingles(windows)
@@ -140,7 +140,8 @@ def _summed(rows: DataFrame, hits: DataFrame, owners: DataFrame) -> DataFrame:
     both = covered.join(owned.select(F.col("doc_id").alias("d"), F.col("tag").alias("g"), "item_ids"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("g")))
     both = both.select(F.col("doc_id").alias("d"), F.col("tag").alias("g"), "n_hit", "item_ids")
     return rows.join(both, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("g")), "left").select(
-        F.col("doc_id"),
+        "doc_id",
+        "tag",
         F.col("n_words").cast("long").alias("n_words"),
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),

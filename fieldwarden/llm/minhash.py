@@ -21,7 +21,7 @@ judged by their own text. Texts are whole. Extra columns are ignored; an empty t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from fieldwarden.llm import wordhash
 from fieldwarden.llm.components import components
-from fieldwarden.llm.shared import broadcast_if_small, slices_by_bytes, stored, text_buffer
+from fieldwarden.llm.shared import broadcast_if_small, carrying, record_batch, slices_by_bytes, stored, text_buffer, with_carried
 
 SHINGLE = 5
 BINS, BANDS = 128, 32
@@ -102,16 +102,14 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys: list[np.ndarray | None] = [None] * len(sets)
             for i, k in zip(held, band_keys(signatures([sets[i] for i in held])), strict=True):
                 keys[i] = k
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id"),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(one, pa.int64()),
-                    pa.array(two, pa.int64()),
-                    pa.array(keys, pa.list_(pa.int64())),
-                ],
-                ["doc_id", "n_shingles", "d1", "d2", "keys"],
-            )
+            found = {
+                "doc_id": part.column("doc_id"),
+                "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
+                "d1": pa.array(one, pa.int64()),
+                "d2": pa.array(two, pa.int64()),
+                "keys": pa.array(keys, pa.list_(pa.int64())),
+            }
+            yield record_batch(part, found)
 
 
 def _sets_for_roles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,12 +251,18 @@ def _left_out(docs: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame
     return stored(tiles.mapInArrow(_tiles, "a long, b long").distinct(), "links")
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept``, one row for each row of ``docs``."""
-    given = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("body"))
-    described = stored(
-        given.mapInArrow(_described, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>"), "signatures"
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept``, one row for each row of ``docs``.
+
+    Columns named in ``carry`` (they should be narrow) come back in the struct ``carried``.
+    """
+    given = docs.select(
+        F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("body"), *carrying(docs, carry)
     )
+    schema = with_carried("doc_id long, n_shingles long, d1 long, d2 long, keys array<long>", given)
+    described = stored(given.mapInArrow(_described, schema), "signatures")
+    given = given.select("doc_id", "body")
+    held = ["carried"] if carry else []
     linkable = described.filter("n_shingles > 0 and doc_id is not null")
     digest = ["n_shingles", "d1", "d2"]
     classes = linkable.groupBy(*digest).agg(F.min("doc_id").alias("first_id"))
@@ -278,10 +282,13 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     labels = stored(components(near), "labels")
     near = near.union(_left_out(full, links, labels))
     labels = stored(components(near), "labels")
-    named = described.join(classes, digest, "left").select("doc_id", "n_shingles", F.coalesce("first_id", "doc_id").alias("first_id"))
+    named = described.join(classes, digest, "left").select(
+        "doc_id", "n_shingles", F.coalesce("first_id", "doc_id").alias("first_id"), *held
+    )
     return _labelled(named, "first_id", labels).select(
         "doc_id",
         "n_shingles",
         F.col("component").alias("component_id"),
         F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"),
+        *held,
     )

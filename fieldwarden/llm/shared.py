@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of a narrow id table (up to three numbers a row) that may be broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -43,6 +45,25 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def with_carried(schema: str, given: DataFrame) -> str | T.StructType:
+    """A result schema, with the type of the column ``carried`` of ``given`` where it has one."""
+    if "carried" not in given.columns:
+        return schema
+    return T.StructType([*T.StructType.fromDDL(schema).fields, given.schema["carried"]])
+
+
+def carrying(docs: DataFrame, carry: Sequence[str]) -> list[Column]:
+    """The columns to hand through an operator, packed in one struct so that no name can clash."""
+    return [F.struct(*(docs[f"`{c}`"].alias(c) for c in carry)).alias("carried")] if carry else []
+
+
+def record_batch(part: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """A batch of ``columns``, with ``carried`` of ``part`` where it has one."""
+    if "carried" in part.schema.names:
+        columns = columns | {"carried": part.column("carried")}
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
 def is_held_out(id_column: str, folds: int, remainder: int):
     """True where crc32 of the id written as text leaves ``remainder`` when divided by ``folds``."""
     return F.coalesce((F.crc32(F.col(id_column).cast("string")) % folds) == remainder, F.lit(False))

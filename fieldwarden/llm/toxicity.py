@@ -16,7 +16,7 @@ gives an empty table. Extra columns are ignored. Texts are whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldwarden.llm import calibrate, wordhash
-from fieldwarden.llm.shared import slices_by_bytes, stored, text_buffer
+from fieldwarden.llm.shared import carrying, record_batch, slices_by_bytes, stored, text_buffer, with_carried
 
 #: Bound of the labelled examples; with more labelled rows, those with the smallest hash share are used.
 EXAMPLES = 20_000
@@ -238,10 +238,23 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = EXAMPLES) -> tuple[np.n
     return vocabulary, index, calibrate.isotonic(rows_in, toxic_in)
 
 
-def score(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", bound: int = EXAMPLES) -> DataFrame:
-    """``doc_id, score, evidence`` for every row of ``docs``; evidence lists the nearest examples, nearest first."""
-    given = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("body"))
-    fitted = given.sparkSession.sparkContext.broadcast(fit(given, labels, bound))
+def score(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_column: str = "doc_id",
+    text: str = "text",
+    bound: int = EXAMPLES,
+    carry: Sequence[str] = (),
+    learn_from: DataFrame | None = None,
+) -> DataFrame:
+    """``doc_id, score, evidence`` for every row of ``docs``; evidence lists the nearest examples, nearest first.
+
+    Columns named in ``carry`` come back in the struct ``carried``. Examples come from ``learn_from`` (``docs`` if none).
+    """
+    named = [F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("body")]
+    given = docs.select(*named, *carrying(docs, carry))
+    taught = given.select("doc_id", "body") if learn_from is None else learn_from.select(*named)
+    fitted = given.sparkSession.sparkContext.broadcast(fit(taught, labels, bound))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, index, levels = fitted.value
@@ -252,8 +265,8 @@ def score(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
                 found = scorer.batch(part.column("body"))
                 shown = [[{"doc_id": i, "similarity": s, "toxic": y} for s, i, y in near[:EVIDENCE]] for _, near in found]
                 scores = levels[calibrate.bin_of(np.array([v for v, _ in found]))]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(scores), pa.array(shown, kind)], ["doc_id", "score", "evidence"]
-                )
+                found_columns = {"doc_id": part.column("doc_id"), "score": pa.array(scores), "evidence": pa.array(shown, kind)}
+                yield record_batch(part, found_columns)
 
-    return given.mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double,toxic:int>>")
+    schema = "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double,toxic:int>>"
+    return given.mapInArrow(run, with_carried(schema, given))
