@@ -232,7 +232,8 @@ class Page:
             markup[i, base + 2] = 1 if good else (markup[p, base + 2] if i else 0)
             markup[i, base + 3] = bad + (markup[p, base + 3] if i else 0)
             markup[i, base + 4] = self.tag[i] == "h1"
-        return np.column_stack([*numeric, markup])
+        # single precision, as the trees are taught
+        return np.column_stack([*numeric, markup]).astype(np.float32).astype(np.float64)
 
     def hints(self, i: int) -> tuple[int, int]:
         """Whether the node's own markup says article, and whether it says something else."""
@@ -284,7 +285,7 @@ class BoostedTrees:
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if not len(y):
             return
-        self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, LEVELS + 1)[1:-1])) for c in x.T]
+        self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, LEVELS + 1)))[:-1] for c in x.T]
         binned = self._binned(x)
         mean = float((y * weight).sum() / weight.sum())
         self.base = np.log(mean / (1 - mean))

@@ -283,7 +283,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     near = near.union(_left_out(full, links, labels))
     labels = stored(components(near), "labels")
     named = described.join(classes, digest, "left").select(
-        "doc_id", "n_shingles", F.coalesce("first_id", "doc_id").alias("first_id"), *held
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("first_id", "doc_id")).alias("first_id"), *held
     )
     return _labelled(named, "first_id", labels).select(
         "doc_id",
