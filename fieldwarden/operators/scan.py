@@ -20,16 +20,13 @@ from fieldwarden.functions.patterns import (
     contains_any,
 )
 from fieldwarden.functions.text import has_more_than_three_words, lit_strings
-from fieldwarden.operators.entities import entity_scan
+from fieldwarden.operators.entities import entity_scan, entity_values
 from fieldwarden.operators.values import (
-    SAMPLE_LIMIT,
-    first_values,
     literal_rows,
     long_form,
     sample_values,
     stripped_cells,
     top_n,
-    value_index,
 )
 
 KEYS = ["source", "column"]
@@ -171,15 +168,7 @@ def scan_sample(
     if entities:
         allowed = gated.where("scanned AND entity_gate").select(*KEYS, "sample_size")
         hits = entity_scan(sample.join(allowed, KEYS, "left_semi"), spans)
-        found = hits.join(allowed, KEYS).select(
-            *KEYS, "matches", "sample_size", "entity_score", "examples",
-            F.col("entity").alias("pattern"),
-            F.lit("AI").alias("confidence"),
-            F.lit("REVIEW").alias("risk"),
-            _percent(F.col("matches"), F.col("sample_size")).alias("match_pct"),
-            F.lit(ENTITY_SOURCE).alias("detection_source"),
-        )
-        findings = findings.unionByName(_as_findings(found))
+        findings = findings.unionByName(_entity_findings(hits, allowed))
     return ScanResult(findings, lambda: _stats(columns, gated.select(*KEYS, "scanned"), findings))
 
 
@@ -229,20 +218,24 @@ def scan(
     *,
     columns: Sequence[str] | None = None,
     order_by: str | Sequence[str] | None = None,
-    sample_limit: int | None = SAMPLE_LIMIT,
+    sample_limit: int | None = None,
     entities: bool = True,
     spans: Callable[[Column], Column] = rule_spans,
     registry: PatternRegistry = DEFAULT_REGISTRY,
 ) -> ScanResult:
-    """Scan one table.  ``sample_limit=None`` examines every distinct value (DET-7, rules only)."""
+    """Scan one table: every distinct value of each column, or only the first ``sample_limit`` when one is given.
+
+    Findings from a sample say nothing about later values, so do not remediate by them.
+    """
     if sample_limit is None:
-        return full_scan(df, source, columns=columns, order_by=order_by, registry=registry)
+        cells = stripped_cells(long_form(df, columns, order_by, source))
+        return scan_cells(cells, column_list(df, source, columns), registry, entities, spans)
     sample = sample_values(df, columns, sample_limit, order_by, source)
     return scan_sample(sample, column_list(df, source, columns), registry, entities, spans)
 
 
-def full_counts(cells: DataFrame, registry: PatternRegistry = DEFAULT_REGISTRY) -> DataFrame:
-    """DET-7 counts over all distinct values: ``matches`` (distinct) and ``rows`` (weighted).
+def _tallied(cells: DataFrame, registry: PatternRegistry) -> tuple[DataFrame, DataFrame]:
+    """One row per column with its shape and tallies, and the first matching values per column and rule.
 
     Every step aggregates partially per task; examples come from a two-level
     top-n, never from a collected group.  Values beyond 256 characters travel
@@ -250,35 +243,42 @@ def full_counts(cells: DataFrame, registry: PatternRegistry = DEFAULT_REGISTRY)
     shuffled just to be counted.
     """
     value = F.col("value")
-    names = registry.names
     is_long = F.length(value) > 256
     # Only long values are tested before the shuffle; one that matches keeps its text.
     early = cells.select("*", F.when(is_long, registry.mask(value)).alias("early"))
     keyed = early.select(
         *KEYS, "rid", "early",
+        F.length(value).alias("chars"),
+        has_more_than_three_words(value).cast("int").alias("wordy"),
         F.when(is_long, F.sha2(value, 256)).alias("digest"),
         F.when(~is_long | (F.col("early") > 0), value).alias("value"),
     )
     index = keyed.groupBy(*KEYS, "value", "digest").agg(
-        F.count(F.lit(1)).alias("cnt"), F.min("rid").alias("first_rid"), F.max("early").alias("early")
+        F.count(F.lit(1)).alias("cnt"), F.min("rid").alias("first_rid"), F.max("early").alias("early"),
+        F.max("chars").alias("chars"), F.max("wordy").alias("wordy"),
+    )
+    masked = index.select(
+        *KEYS, "value", "cnt", "first_rid", "chars", "wordy", F.coalesce("early", registry.mask(value)).alias("mask")
     )
-    masked = index.select(*KEYS, "value", "cnt", "first_rid", F.coalesce("early", registry.mask(value)).alias("mask"))
     # Entry -1 stands for the value itself and yields the totals.
     entries = F.concat(F.array(F.lit(-1)), registry.rules_of(F.col("mask")))
-    exploded = masked.select(*KEYS, "value", "cnt", "first_rid", F.explode(entries).alias("rule_order"))
-    # Both branches name every column of ``index``; that keeps their plans equal and the exchange shared.
+    exploded = masked.select(*KEYS, "value", "cnt", "first_rid", "chars", "wordy", F.explode(entries).alias("rule_order"))
     tallies = exploded.groupBy(*KEYS, "rule_order").agg(
-        F.count("first_rid").alias("matches"), F.sum("cnt").alias("rows")
+        F.count(F.lit(1)).alias("matches"), F.sum("cnt").alias("rows"), F.sum("chars").alias("chars"), F.sum("wordy").alias("wordy")
     )
     # At most one entry per rule and column; the totals entry is read beside the others.
-    per_column = tallies.groupBy(*KEYS).agg(F.collect_list(F.struct("rule_order", "matches", "rows")).alias("t"))
+    grouped = tallies.groupBy(*KEYS).agg(F.collect_list(F.struct("rule_order", "matches", "rows", "chars", "wordy")).alias("t"))
     total = F.get(F.filter("t", lambda x: x["rule_order"] == -1), F.lit(0))
-    counts = per_column.select(
+    rules = F.filter("t", lambda x: x["rule_order"] >= 0)
+    per_column = grouped.select(
         *KEYS,
         total["matches"].alias("sample_size"),
         total["rows"].alias("total_rows"),
-        F.explode(F.filter("t", lambda x: x["rule_order"] >= 0)).alias("x"),
-    ).select(*KEYS, "sample_size", "total_rows", "x.*")
+        (total["chars"] / total["matches"]).alias("avg_length"),
+        (total["wordy"] / total["matches"]).alias("wordy_share"),
+        F.coalesce(F.array_max(F.transform(rules, lambda x: x["matches"])), F.lit(0)).alias("most"),
+        rules.alias("t"),
+    )
     firsts = (
         top_n(
             exploded.where("rule_order >= 0"), [*KEYS, "rule_order"], [F.col("first_rid"), F.col("value")],
@@ -288,10 +288,68 @@ def full_counts(cells: DataFrame, registry: PatternRegistry = DEFAULT_REGISTRY)
         .agg(F.sort_array(F.collect_list(F.struct("k", "value", "cnt"))).alias("e"))
         .select(*KEYS, "rule_order", F.col("e.value").alias("examples"))
     )
-    named = F.get(lit_strings(names), F.col("rule_order"))
+    return per_column, firsts
+
+
+def _rule_rows(per_column: DataFrame, firsts: DataFrame, registry: PatternRegistry) -> DataFrame:
+    counts = per_column.select(*KEYS, "sample_size", "total_rows", F.explode("t").alias("x")).select(
+        *KEYS, "sample_size", "total_rows", "x.rule_order", "x.matches", "x.rows"
+    )
+    named = F.get(lit_strings(registry.names), F.col("rule_order"))
     return counts.join(firsts, [*KEYS, "rule_order"]).withColumn("pattern", named)
 
 
+def full_counts(cells: DataFrame, registry: PatternRegistry = DEFAULT_REGISTRY) -> DataFrame:
+    """DET-7 counts over all distinct values: ``matches`` (distinct) and ``rows`` (weighted)."""
+    return _rule_rows(*_tallied(cells, registry), registry)
+
+
+def full_shape(cells: DataFrame, registry: PatternRegistry = DEFAULT_REGISTRY) -> DataFrame:
+    """PRD-4 over every distinct value of a column."""
+    per_column, _ = _tallied(cells, registry)
+    return per_column.select(
+        *KEYS, "sample_size", "avg_length", "wordy_share", free_text(F.col("avg_length"), F.col("wordy_share")).alias("free_text")
+    )
+
+
+def scan_cells(
+    cells: DataFrame,
+    columns: DataFrame,
+    registry: PatternRegistry = DEFAULT_REGISTRY,
+    entities: bool = True,
+    spans: Callable[[Column], Column] = rule_spans,
+) -> ScanResult:
+    """DET-5..7 over every distinct value of any number of sources (stripped ``source, column, value, rid``)."""
+    per_column, firsts = _tallied(cells, registry)
+    is_free = free_text(F.col("avg_length"), F.col("wordy_share"))
+    wanted = priority(F.col("column"))
+    ruled = F.col("most") / F.col("sample_size") >= DOMINANT_SHARE
+    gated = per_column.select(
+        "*",
+        scan_gate(F.col("source"), F.col("column"), is_free).alias("scanned"),
+        ((is_free | wanted) & (wanted | ~ruled)).alias("entity_gate"),
+    )
+    findings = _as_findings(_rated(_rule_rows(gated.where("scanned"), firsts, registry), registry))
+    if entities:
+        allowed = gated.where("scanned AND entity_gate").select(*KEYS, "sample_size")
+        # one row per column
+        own = cells.join(F.broadcast(allowed.select(*KEYS)), KEYS, "left_semi")
+        findings = findings.unionByName(_entity_findings(entity_scan(entity_values(own, spans), spans), allowed))
+    return ScanResult(findings, lambda: _stats(columns, gated.select(*KEYS, "scanned"), findings))
+
+
+def _entity_findings(hits: DataFrame, allowed: DataFrame) -> DataFrame:
+    found = hits.join(allowed, KEYS).select(
+        *KEYS, "matches", "sample_size", "entity_score", "examples",
+        F.col("entity").alias("pattern"),
+        F.lit("AI").alias("confidence"),
+        F.lit("REVIEW").alias("risk"),
+        _percent(F.col("matches"), F.col("sample_size")).alias("match_pct"),
+        F.lit(ENTITY_SOURCE).alias("detection_source"),
+    )
+    return _as_findings(found)
+
+
 def full_scan(
     df: DataFrame,
     source: str,
@@ -300,19 +358,11 @@ def full_scan(
     order_by: str | Sequence[str] | None = None,
     registry: PatternRegistry = DEFAULT_REGISTRY,
 ) -> ScanResult:
-    """DET-7 as findings; the column gate uses names and the sampled shape of each column."""
-    cells = stripped_cells(long_form(df, columns, order_by, source))
-    shape = column_shape(first_values(value_index(cells), SAMPLE_LIMIT))
-    gate = shape.where(scan_gate(F.col("source"), F.col("column"), F.col("free_text"))).select(*KEYS)
-    found = full_counts(cells, registry).join(gate, KEYS, "left_semi")
-    findings = _as_findings(_rated(found, registry))
-    scanned = shape.select(
-        *KEYS, scan_gate(F.col("source"), F.col("column"), F.col("free_text")).alias("scanned")
-    )
-    return ScanResult(findings, lambda: _stats(column_list(df, source, columns), scanned, findings))
+    """DET-7 as findings of the rules alone."""
+    return scan(df, source, columns=columns, order_by=order_by, entities=False, registry=registry)
 
 
 __all__ = [
     "ScanResult", "FINDING_COLUMNS", "column_shape", "free_text", "candidate", "priority", "scan_gate",
-    "match_counts", "scan_sample", "scan", "full_counts", "full_scan", "column_list", "sample_values",
+    "match_counts", "scan_sample", "scan_cells", "scan", "full_counts", "full_shape", "full_scan", "column_list", "sample_values",
 ]

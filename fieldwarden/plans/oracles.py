@@ -11,7 +11,7 @@ from fieldwarden.operators.privacy import REGULATIONS
 from fieldwarden.operators.quality import PLACEHOLDERS
 from fieldwarden.operators.remediate import PATTERN_PRIORITY
 from fieldwarden.operators.reports import RISK_LEVELS
-from fieldwarden.plans.tables import CONTACT_COLUMNS, CONTACT_VALUES, NOTE_COLUMNS, PERSON, PLACE, TOKEN_BREAK
+from fieldwarden.plans.tables import CONTACT_COLUMNS, CONTACT_VALUES, NOTE_COLUMNS, PERSON, PLACE, TALK_TEXT, TOKEN_BREAK
 
 RULES = {name: rx for name, rx, _, _ in _RULES}
 HINTS = {name: hints for name, _, hints, _ in _RULES}
@@ -74,7 +74,7 @@ RISK = (
 def findings(cell_sql: str, views: str) -> str:
     """CTEs up to ``findings`` for the given cells."""
     return (
-        f"WITH {views}, {cell_sql}, {sampled()}, "
+        f"WITH {views}, {cell_sql}, {sampled(limit=10**12)}, "
         f"shape AS (SELECT source, \"column\", count(*) AS sample_size, "
         f"({has_hint('\"column\"', CANDIDATE_HINTS)} OR {FREE_TEXT}) AS scanned FROM sample GROUP BY source, \"column\"), "
         f"{hits('hit', 'sample')}, "
@@ -430,14 +430,14 @@ ORACLES: dict[str, str] = {
     "sample_values_contacts": f"WITH {CONTACTS}, {CONTACT_CELLS}, {sampled()} SELECT \"column\", value, cnt, cast(rn AS INTEGER) AS rn FROM sample",
     "column_shape": (
         f"WITH {CONTACTS}, {cells('c1', 'contacts', 'rid', CONTACT_VALUES, 'contacts')}, {cells('c2', 'documents', 'doc_id', ['text', 'lang', 'source'], 'documents')}, "
-        f"cells AS (SELECT source, rid, \"column\", regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS raw FROM (SELECT * FROM c1 UNION ALL SELECT * FROM c2)), {sampled()}, "
+        f"cells AS (SELECT source, rid, \"column\", regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS raw FROM (SELECT * FROM c1 UNION ALL SELECT * FROM c2)), {sampled(limit=10**12)}, "
         "shape AS (SELECT source, \"column\", count(*) AS sample_size, round(avg(length(value)), 6) AS avg_length, "
         "round(avg(CASE WHEN regexp_matches(value, '\\S\\s+\\S+\\s+\\S+\\s+\\S') THEN 1.0 ELSE 0.0 END), 6) AS wordy_share FROM sample GROUP BY ALL) "
         f"SELECT *, (avg_length > 15 OR wordy_share > 0.25) AS free_text, {has_hint('\"column\"', CANDIDATE_HINTS)} AS candidate, {has_hint('\"column\"', ENTITY_PRIORITY_HINTS)} AS priority, "
         f"{has_hint('\"column\"', CANDIDATE_HINTS)} OR avg_length > 15 OR wordy_share > 0.25 AS scanned FROM shape"
     ),
     "pattern_counts": (
-        f"WITH {CONTACTS}, {CONTACT_CELLS}, {sampled()}, {hits('hit', 'sample')}, size AS (SELECT \"column\", count(*) AS sample_size FROM sample GROUP BY ALL) "
+        f"WITH {CONTACTS}, {CONTACT_CELLS}, {sampled(limit=10**12)}, {hits('hit', 'sample')}, size AS (SELECT \"column\", count(*) AS sample_size FROM sample GROUP BY ALL) "
         "SELECT h.\"column\", pattern, count(*) AS matches, any_value(sample_size) AS sample_size, "
         "array_to_string((list(value ORDER BY rn))[1:5], '|') AS examples FROM hit h JOIN size s ON h.\"column\" = s.\"column\" GROUP BY h.\"column\", pattern"
     ),
@@ -456,11 +456,11 @@ ORACLES: dict[str, str] = {
     ),
     "entity_scan_documents": entity_rows("SELECT DISTINCT regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM documents WHERE trim(text) <> ''"),
     "entity_scan_conversations": entity_rows(
-        "SELECT value AS text FROM (SELECT regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS value, min((conv_id, turn)) AS spot FROM conversations GROUP BY 1 HAVING value <> '') ORDER BY spot LIMIT 500"
+        f"SELECT DISTINCT regexp_replace({TALK_TEXT}, '^\\s+|\\s+$', '', 'g') AS text FROM conversations"
     ),
     "entity_findings_notes": (
-        f"WITH {NOTES}, names AS (SELECT full_name AS v, min(rid) AS r FROM notes GROUP BY 1 ORDER BY r LIMIT 500), texts AS (SELECT rid AS r, note AS v, "
-        f"p AS place, full_name FROM (SELECT c.*, {PLACE} AS p, {PERSON} AS full_name, {NOTE_COLUMNS['note']} AS note, c_custkey AS rid FROM customer c) ORDER BY rid LIMIT 500), "
+        f"WITH {NOTES}, names AS (SELECT full_name AS v, min(rid) AS r FROM notes GROUP BY 1), texts AS (SELECT rid AS r, note AS v, "
+        f"p AS place, full_name FROM (SELECT c.*, {PLACE} AS p, {PERSON} AS full_name, {NOTE_COLUMNS['note']} AS note, c_custkey AS rid FROM customer c)), "
         "places AS (SELECT place, min(r) AS r FROM texts GROUP BY 1), people AS (SELECT full_name, min(r) AS r FROM texts GROUP BY 1) "
         "SELECT 'notes' AS source, 'full_name' AS \"column\", 'PERSON' AS pattern, 'AI' AS confidence, 'REVIEW' AS risk, count(*) AS matches, count(*) AS sample_size, cast(100.0 AS DOUBLE) AS match_pct, "
         "cast(0.85 AS DOUBLE) AS entity_score, coalesce((list(v ORDER BY r))[1], '') AS sample_match_1, coalesce((list(v ORDER BY r))[2], '') AS sample_match_2, coalesce((list(v ORDER BY r))[3], '') AS sample_match_3, 'ENTITY_RULE' AS detection_source FROM names "

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fieldwarden.functions.patterns import REGEX_SOURCE, contains_any
 from fieldwarden.functions.steps import context_digits
 from fieldwarden.operators import anomaly, autogen, expectations, privacy, profile, quality, reports, responses, scan
-from fieldwarden.operators.entities import entity_scan
+from fieldwarden.operators.entities import entity_scan, entity_values
 from fieldwarden.operators.expectations import Expectation
 from fieldwarden.operators.remediate import anonymise, redact_text, remediate
 from fieldwarden.operators.values import (
@@ -25,7 +25,7 @@ from fieldwarden.operators.values import (
     stripped_cells,
     value_index,
 )
-from fieldwarden.plans.tables import CONTACT_COLUMNS, CONTACT_VALUES, contacts, derived, doc_tokens, notes, shared_dir, table
+from fieldwarden.plans.tables import CONTACT_COLUMNS, CONTACT_VALUES, contacts, derived, doc_tokens, notes, shared_dir, table, talk
 from fieldwarden.sources.catalog import file_states, list_files, scan_path, scan_tables
 from fieldwarden.sources.readers import text_lines
 from fieldwarden.streaming import remediate_stream, write_remediated
@@ -52,10 +52,10 @@ def sample_values_contacts(spark, d):
 @query
 def column_shape(spark, d):
     parts = [
-        sample_values(contacts(spark, d), CONTACT_VALUES, order_by="rid", source="contacts"),
-        sample_values(table(spark, d, "documents"), ["text", "lang", "source"], order_by="doc_id", source="documents"),
+        long_form(contacts(spark, d), CONTACT_VALUES, "rid", "contacts"),
+        long_form(table(spark, d, "documents"), ["text", "lang", "source"], "doc_id", "documents"),
     ]
-    shape = scan.column_shape(parts[0].unionByName(parts[1]))
+    shape = scan.full_shape(stripped_cells(parts[0].unionByName(parts[1])))
     return shape.select(
         "source", "column", "sample_size",
         F.round("avg_length", 6).alias("avg_length"),
@@ -69,8 +69,8 @@ def column_shape(spark, d):
 
 @query
 def pattern_counts(spark, d):
-    sample = sample_values(contacts(spark, d), CONTACT_VALUES, order_by="rid")
-    return scan.match_counts(sample).select(
+    cells = stripped_cells(long_form(contacts(spark, d), CONTACT_VALUES, "rid"))
+    return scan.full_counts(cells).select(
         "column", "pattern", "matches", "sample_size", F.array_join("examples", "|").alias("examples")
     )
 
@@ -111,15 +111,14 @@ def full_scan_tokens(spark, d):
 @query
 def entity_scan_documents(spark, d):
     cells = stripped_cells(long_form(spread(table(spark, d, "documents").select("doc_id", "text")), ["text"], "doc_id"))
-    values = value_index(cells).select("source", "column", "value", F.col("first_rid").alias("rn"))
-    return entity_scan(values).select("column", "entity", "matches", "entity_score")
+    return entity_scan(entity_values(cells)).select("column", "entity", "matches", "entity_score")
 
 
 @query
 def entity_scan_conversations(spark, d):
-    talk = table(spark, d, "conversations")
-    sample = sample_values(talk, ["text"], order_by=["conv_id", "turn"])
-    return entity_scan(sample).select("column", "entity", "matches", "entity_score")
+    """Turns with personal data added by place, so that every recogniser has hits."""
+    cells = stripped_cells(long_form(talk(spark, d), ["text"], ["conv_id", "turn"]))
+    return entity_scan(entity_values(cells)).select("column", "entity", "matches", "entity_score")
 
 
 @query

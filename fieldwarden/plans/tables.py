@@ -8,9 +8,6 @@ ANSI SQL.
 
 from __future__ import annotations
 
-import tempfile
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +35,13 @@ NOTE_COLUMNS = {
     "note": f"concat({PERSON}, ' ', {VERBS}, ' from ', {PLACE}, ' about ', lower(c_mktsegment))",
 }
 
+TALK_TEXT = (
+    "concat(text, CASE turn % 5 WHEN 0 THEN concat(' Write to user', cast(conv_id AS STRING), '@example.com today.') "
+    "WHEN 1 THEN concat(' Born 0', cast(conv_id % 9 + 1 AS STRING), '/12/1990.') "
+    "WHEN 2 THEN concat(' See https://host.example.org/', cast(conv_id AS STRING), ' please.') "
+    "WHEN 3 THEN concat(' My number is 123-45-', cast(1000 + conv_id % 9000 AS STRING), '.') ELSE ' Nothing.' END)"
+)
+
 TOKEN_BREAK = "[ \\t\\n\\r\\f]+"
 
 
@@ -57,6 +61,11 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(table(spark, sf_dir, "customer"), NOTE_COLUMNS)
 
 
+def talk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of ``conversations`` with an address, a date, a link or a number added."""
+    return table(spark, sf_dir, "conversations").selectExpr("conv_id", "cast(turn AS INT) AS turn", f"{TALK_TEXT} AS text")
+
+
 def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -65,12 +74,11 @@ def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=1)
-def _scratch_dir() -> str:
-    return tempfile.mkdtemp(prefix="fieldwarden-")
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all machines see, as the cluster names it; a fresh local one only when none is named."""
+    """Folder all machines see, as the cluster names it; where none is named, one beside the warehouse of a local master."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (named or _scratch_dir()).rstrip("/")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/fieldwarden"

@@ -6,16 +6,18 @@ import io
 import zipfile
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldwarden.functions.entities import rule_spans
 from fieldwarden.functions.patterns import DEFAULT_REGISTRY, PatternRegistry
-from fieldwarden.operators.scan import ScanResult, scan_sample
-from fieldwarden.operators.values import SAMPLE_LIMIT, first_values, literal_rows, long_form, sample_values, stripped_cells, value_index
+from fieldwarden.operators.scan import ScanResult, scan_cells, scan_sample
+from fieldwarden.operators.values import first_values, literal_rows, long_form, sample_values, stripped_cells, value_index
 from fieldwarden.sources.readers import (
     SUPPORTED,
     UnsupportedSource,
@@ -26,7 +28,6 @@ from fieldwarden.sources.readers import (
     read_json,
 )
 
-DEFAULT_MAX_MB = 1024
 # Members of these kinds hold one record per line (delimited ones below a header line).
 LINE_MEMBERS = ("txt", "jsonl", "csv")
 MEMBER_BATCH = 10_000
@@ -56,7 +57,7 @@ def list_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     )
 
 
-def file_states(files: DataFrame, max_mb: float | None = DEFAULT_MAX_MB) -> DataFrame:
+def file_states(files: DataFrame, max_mb: float | None = None) -> DataFrame:
     """SRC-11: SKIPPED for unknown kinds and oversized files, PENDING for the rest."""
     too_large = F.lit(False) if max_mb is None else F.col("bytes") > F.lit(max_mb * 1024 * 1024)
     state = (
@@ -132,8 +133,8 @@ def _json_groups(spark: SparkSession, paths: Sequence[str]) -> tuple[list[list[s
 def scan_path(
     spark: SparkSession,
     path: str | Sequence[str],
-    max_mb: float | None = DEFAULT_MAX_MB,
-    sample_limit: int = SAMPLE_LIMIT,
+    max_mb: float | None = None,
+    sample_limit: int | None = None,
     entities: bool = True,
     spans=rule_spans,
     registry: PatternRegistry = DEFAULT_REGISTRY,
@@ -189,7 +190,7 @@ def scan_path(
             attempt(
                 files,
                 lambda fs: missing_tokens_to_null(
-                    tag(spark.read.csv(fs, header=True, inferSchema=False, quote='"', escape='"'))
+                    tag(spark.read.csv(fs, header=True, inferSchema=False, quote='"', escape='"', multiLine=True))
                 ),
             )
     if "parquet" in by_kind:
@@ -221,8 +222,11 @@ def scan_path(
         every = cells[0]
         for part in cells[1:]:
             every = every.unionByName(part)
-        sample = first_values(value_index(stripped_cells(every)), sample_limit)
-        result = scan_sample(sample, listing, registry, entities, spans)
+        every = stripped_cells(every)
+        if sample_limit is None:
+            result = scan_cells(every, listing, registry, entities, spans)
+        else:
+            result = scan_sample(first_values(value_index(every), sample_limit), listing, registry, entities, spans)
     else:
         raise UnsupportedSource("no readable file was found")
     reasons = literal_rows(spark, list(failed.items()), "file string, reason string")
@@ -262,22 +266,32 @@ def scan_many(results: Sequence[ScanResult]) -> ScanResult:
 def scan_tables(
     tables: dict[str, tuple[DataFrame, str | Sequence[str] | None]],
     columns: dict[str, Sequence[str]] | None = None,
-    sample_limit: int = SAMPLE_LIMIT,
+    sample_limit: int | None = None,
     entities: bool = True,
     spans=rule_spans,
     registry: PatternRegistry = DEFAULT_REGISTRY,
 ) -> ScanResult:
-    """DET-6 for tables given as ``name -> (frame, order)``: sampled one by one, rated in one plan."""
+    """DET-6 for tables given as ``name -> (frame, order)``: every distinct value, or the first of each column, in one plan.
+
+    Without a sample limit, row keys of different types are compared as text only to choose examples.
+    """
     chosen = {name: list((columns or {}).get(name) or df.columns) for name, (df, _) in tables.items()}
-    sample = None
-    for name, (df, order_by) in tables.items():
-        part = sample_values(df, chosen[name], sample_limit, order_by, name)
-        sample = part if sample is None else sample.unionByName(part)
+    parts = [
+        stripped_cells(long_form(df, chosen[name], order_by, name)) if sample_limit is None
+        else sample_values(df, chosen[name], sample_limit, order_by, name)
+        for name, (df, order_by) in tables.items()
+    ]
+    if sample_limit is None and len({p.schema["rid"].dataType.simpleString() for p in parts}) > 1:
+        numbers = all(isinstance(p.schema["rid"].dataType, T.NumericType) for p in parts)
+        kind = "decimal(38,0)" if numbers else "string"
+        parts = [p.withColumn("rid", F.col("rid").cast(kind)) for p in parts]
+    sample = reduce(DataFrame.unionByName, parts)
     spark = next(iter(tables.values()))[0].sparkSession
     listing = literal_rows(
         spark, [(name, c) for name, names in chosen.items() for c in names], "source string, column string"
     )
-    return scan_sample(sample, listing, registry, entities, spans)
+    build = scan_cells if sample_limit is None else scan_sample
+    return build(sample, listing, registry, entities, spans)
 
 
 def expand_archives(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:

@@ -37,11 +37,11 @@ def missing_tokens_to_null(df: DataFrame) -> DataFrame:
     )
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], multi_line: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | Sequence[str], multi_line: bool = True) -> DataFrame:
     """SRC-1: header row, every column text, missing tokens as null.
 
-    Files are split for parallel reading; set ``multi_line`` when quoted cells
-    hold line breaks (such a file is then read by one task).
+    Quoted cells may hold line breaks, so a file is read by one task.  Set
+    ``multi_line=False`` for files known to hold one record per line; those are split.
     """
     raw = spark.read.csv(
         path, header=True, inferSchema=False, quote='"', escape='"', multiLine=multi_line, enforceSchema=False

@@ -226,3 +226,18 @@ def test_head_middle_tail(spark):
     assert representative_sample(df.limit(1000), "k").count() == 1000
     part = rows_between(df, "k", 5000, 1234, 10, span=50)
     assert [r["k"] for r in part.collect()] == [3 * i for i in range(1234, 1244)]
+
+
+def test_scan_sees_values_after_the_first_500(spark):
+    from fieldwarden.operators.remediate import remediate
+
+    rows = [(i, f"user{i}@example.com" if i >= 4000 else f"plain{i}", f"Anna Stone called from {i}") for i in range(5000)]
+    df = spark.createDataFrame(rows, "rid long, contact_email string, note string")
+    result = S.scan(df, "people.csv", order_by="rid")
+    found = {(r["column"], r["pattern"]): r for r in result.findings.collect()}
+    assert found["contact_email", "email"]["matches"] == 1000
+    assert found["contact_email", "email"]["sample_match_1"] == "user4000@example.com"
+    assert found["note", "PERSON"]["matches"] == 5000 and found["note", "PERSON"]["sample_size"] == 5000
+    clean = remediate(df, result.findings, file_name="people.csv").data
+    assert clean.where("contact_email like '%@%'").count() == 0
+    assert S.scan(df, "people.csv", order_by="rid", sample_limit=500, entities=False).findings.where("pattern = 'email'").count() == 0
