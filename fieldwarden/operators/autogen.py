@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -71,47 +71,47 @@ def numeric_ratios(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(*aggregates).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+@dataclass(frozen=True)
+class FallbackRule:
+    """A check proposed for every column to which ``applies`` (name, share of numeric values) says yes."""
+
+    applies: Callable[[str, float], bool]
+    check: str
+    parameters: dict
+    rationale: str
+    confidence: str
+
+
+def _named(rule: re.Pattern) -> Callable[[str, float], bool]:
+    return lambda name, share: bool(rule.search(name))
+
+
+def _other(numeric: bool) -> Callable[[str, float], bool]:
+    return lambda name, share: not (IDENTIFIER_NAME.search(name) or DATE_NAME.search(name)) and (share >= 0.5) is numeric
+
+
+FALLBACK_RULES = (
+    FallbackRule(lambda name, share: True, NOT_NULL, {"mostly": 0.95}, "At most one cell in twenty may be empty.", "MEDIUM"),
+    FallbackRule(_named(IDENTIFIER_NAME), UNIQUE, {}, "The name says that a value stands for one record.", "HIGH"),
+    FallbackRule(
+        lambda name, share: bool(DATE_NAME.search(name)) and not IDENTIFIER_NAME.search(name),
+        REGEX, {"regex": DATE_VALUE}, "The name says date, so one date form is expected throughout.", "HIGH",
+    ),
+    FallbackRule(_other(True), REGEX, {"regex": NUMERIC_VALUE}, "Most cells are numbers; the others may be slips.", "MEDIUM"),
+    FallbackRule(_other(False), REGEX, {"regex": TRIMMED_TEXT}, "Blanks at either end split equal texts into two values.", "MEDIUM"),
+)
+
+
 def fallback_specs(df: DataFrame, existing: Sequence[Expectation] = ()) -> list[Expectation]:
-    """AUT-3: a fill check and one shape check per column, unless already proposed."""
-    names = list(df.columns)
-    plain = [c for c in names if not IDENTIFIER_NAME.search(c) and not DATE_NAME.search(c)]
-    ratios = {r["column"]: r["numeric_ratio"] for r in numeric_ratios(df, plain).collect()} if plain else {}
+    """AUT-3: the rules above for every column, but for checks that are already proposed."""
+    shares = {r["column"]: r["numeric_ratio"] for r in numeric_ratios(df, df.columns).collect()}
     taken = {(s.column, s.type) for s in existing}
-    out: list[Expectation] = []
-    for c in names:
-        candidates = [
-            Expectation(
-                NOT_NULL, c, {"mostly": 0.95},
-                "Baseline policy requires at least 95% populated values.", "MEDIUM", FALLBACK,
-            )
-        ]
-        if IDENTIFIER_NAME.search(c):
-            candidates.append(
-                Expectation(UNIQUE, c, {}, "Identifier columns should uniquely identify records.", "HIGH", FALLBACK)
-            )
-        elif DATE_NAME.search(c):
-            candidates.append(
-                Expectation(
-                    REGEX, c, {"regex": DATE_VALUE},
-                    "Date-like columns should use a recognizable, consistent date format.", "HIGH", FALLBACK,
-                )
-            )
-        elif ratios[c] >= 0.5:
-            candidates.append(
-                Expectation(
-                    REGEX, c, {"regex": NUMERIC_VALUE},
-                    "Numeric-like columns should not contain words or malformed numbers.", "MEDIUM", FALLBACK,
-                )
-            )
-        else:
-            candidates.append(
-                Expectation(
-                    REGEX, c, {"regex": TRIMMED_TEXT},
-                    "Text values should not contain leading or trailing whitespace.", "MEDIUM", FALLBACK,
-                )
-            )
-        out += [s for s in candidates if (c, s.type) not in taken]
-    return out
+    return [
+        Expectation(rule.check, c, dict(rule.parameters), rule.rationale, rule.confidence, FALLBACK)
+        for c in df.columns
+        for rule in FALLBACK_RULES
+        if (c, rule.check) not in taken and rule.applies(c, shares[c])
+    ]
 
 
 def specs_table(df: DataFrame, specs: Sequence[Expectation]) -> DataFrame:

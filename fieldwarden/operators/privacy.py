@@ -113,7 +113,7 @@ def embedded_hits(df: DataFrame, columns: Sequence[str] | None = None, entities:
     return df.agg(*aggregates).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def semantic_pii(df: DataFrame, known_columns: Sequence[str] = (), max_columns: int = 30) -> DataFrame:
+def semantic_pii(df: DataFrame, known_columns: Sequence[str] = (), max_columns: int | None = None) -> DataFrame:
     """PRV-1: unflagged columns whose values embed personal data or whose name says so.
 
     Risk: HIGH from half of the values, MEDIUM from a tenth, LOW below; a
@@ -214,7 +214,15 @@ def quasi_columns(df: DataFrame, columns: Sequence[str] | None = None, max_disti
         F.count(F.lit(1)).alias("n"),
         *[F.approx_count_distinct(as_text(q(c), types[c])).alias(f"d{i}") for i, c in enumerate(names)],
     ).first()
-    return [c for i, c in enumerate(names) if 1 < seen[f"d{i}"] <= max_distinct_share * seen["n"]]
+    limit = max_distinct_share * seen["n"]
+    # The estimate is off by a few per cent; columns that near the limit are counted exactly.
+    near = [i for i in range(len(names)) if seen[f"d{i}"] <= 2 or abs(seen[f"d{i}"] - limit) <= 0.2 * limit]
+    exact = (
+        df.agg(*[F.count_distinct(as_text(q(names[i]), types[names[i]])).alias(f"d{i}") for i in near]).first().asDict()
+        if near else {}
+    )
+    count = lambda i: exact.get(f"d{i}", seen[f"d{i}"])
+    return [c for i, c in enumerate(names) if 1 < count(i) <= limit]
 
 
 def quasi_identifiers(

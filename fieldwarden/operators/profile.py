@@ -347,7 +347,7 @@ def profile(
 def dataset_profile(
     df: DataFrame,
     order_by: str | None = None,
-    max_columns: int = 25,
+    max_columns: int | None = None,
     representative: bool = False,
     batch_size: int | None = None,
     samples: int = 5,
@@ -355,7 +355,7 @@ def dataset_profile(
 ) -> DataFrame:
     """PRF-5: table header fields repeated on the column rows.
 
-    The first ``max_columns`` columns by default; with ``batch_size`` every
+    Every column, or the first ``max_columns``; with ``batch_size`` every
     column, numbered by batch.  ``representative`` profiles the head, middle and
     tail rows only (needs a unique ``order_by``).
     """

@@ -15,13 +15,11 @@ from fieldwarden.operators.expectations import BETWEEN, IN_SET, LENGTHS, NOT_NUL
 from fieldwarden.operators.values import first_cells, literal_rows, long_form
 
 # Payload sizes, wrapper keys, accepted expectation types, clamps.
-MAX_COLUMNS = 30
 PRIVACY_ROWS = 5
 QUALITY_ROWS = 8
 WRAPPER_KEYS = ("expectations", "items", "results", "data", "checks")
 ALLOWED_TYPES = (NOT_NULL, UNIQUE, BETWEEN, IN_SET, REGEX, LENGTHS)
 MIN_MOSTLY = 0.95
-MAX_SET_VALUES = 25
 
 
 def sample_payload(
@@ -29,9 +27,12 @@ def sample_payload(
     rows: int = PRIVACY_ROWS,
     skip: Sequence[str] = (),
     order_by: str | Sequence[str] | None = None,
-    max_columns: int = MAX_COLUMNS,
+    max_columns: int | None = None,
 ) -> DataFrame:
-    """QLT-4: first non-null texts per column as one JSON object (PRD-11: known columns skipped)."""
+    """QLT-4: first non-null texts per column as one JSON object (PRD-11: known columns skipped).
+
+    All other columns, or the first ``max_columns`` where a reviewer takes no more.
+    """
     names = [c for c in df.columns if c not in set(skip)][:max_columns]
     listed = literal_rows(df.sparkSession, [(i, c) for i, c in enumerate(names)], "position int, column string")
     firsts = first_cells(long_form(df, names, order_by), rows)
@@ -155,9 +156,7 @@ def sanitised_specs(items: DataFrame, allowed_columns: Sequence[str]) -> DataFra
     part = lambda key: F.try_variant_get(F.col("kw"), f"$.{key}", "variant")
     raw = lambda key: F.when(part(key).isNotNull() & (_kind(part(key)) != "VOID"), F.to_json(part(key)))
     kind = F.col("expectation_type")
-    members = F.transform(
-        F.slice(F.try_variant_get(F.col("kw"), "$.value_set", "array<variant>"), 1, MAX_SET_VALUES), _member_text
-    )
+    members = F.transform(F.try_variant_get(F.col("kw"), "$.value_set", "array<variant>"), _member_text)
     mostly = F.coalesce(F.try_variant_get(F.col("kw"), "$.mostly", "double"), F.lit(1.0))
     typed = (
         items.select(

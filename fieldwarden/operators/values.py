@@ -19,9 +19,6 @@ from fieldwarden.functions.text import as_text, strip
 SAMPLE_LIMIT = 500
 # Fan-out of the first of two top-n levels: no task ever ranks a whole column.
 SALT_BUCKETS = 16
-# Inputs larger than this first try to fill the sample from a leading slice of rows.
-PROBE_BYTES = 20 << 30
-PROBE_ROWS = 200_000
 COLUMNS_PER_BATCH = 50
 
 
@@ -133,58 +130,19 @@ def spread(df: DataFrame) -> DataFrame:
     Meant for plain reads: asking a plan with shuffles for its splits would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    splits = df.rdd.getNumPartitions()
     return df.repartition(cores) if splits < cores else df
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Optimizer's size estimate of a plan (file sizes for scans)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def sample_values(
     df: DataFrame,
     columns: Sequence[str] | None = None,
     limit: int = SAMPLE_LIMIT,
     order_by: str | Sequence[str] | None = None,
     source: str | Column = "",
-    probe_bytes: int = PROBE_BYTES,
-    probe_rows: int = PROBE_ROWS,
 ) -> DataFrame:
-    """PRD-3: first ``limit`` distinct non-blank values per column.
-
-    Small inputs go straight through the value index.  On large inputs with a
-    single numeric or time key, a leading slice of rows is indexed first: a
-    column that already shows ``limit`` distinct values there is finished, as
-    no later row can come earlier.  Only the remaining (low-cardinality or
-    sparse) columns are indexed in full, and those collapse before the shuffle.
-    """
-    names = list(columns) if columns is not None else list(df.columns)
-    plain = lambda frame, cols: first_values(
-        value_index(stripped_cells(long_form(frame, cols, order_by, source))), limit
-    )
-    key = order_by if isinstance(order_by, str) else (order_by[0] if order_by and len(order_by) == 1 else None)
-    if key is None or not isinstance(source, str) or estimated_bytes(df) < probe_bytes:
-        return plain(df, names)
-    if not isinstance(df.schema[key].dataType, (T.NumericType, T.TimestampType, T.DateType)):
-        return plain(df, names)
-    stats = df.agg(F.count(q(key)).alias("n"), F.percentile_approx(q(key), F.lit(0.0), F.lit(10)).alias("p")).first()
-    if not stats["n"] or stats["n"] <= probe_rows:
-        return plain(df, names)
-    share = float(probe_rows) / float(stats["n"])
-    accuracy = int(min(1_000_000, max(10_000, 10 / share)))
-    bound = df.agg(F.percentile_approx(q(key), F.lit(share), F.lit(accuracy)).alias("b")).first()["b"]
-    head = df.where((q(key) <= F.lit(bound)) & q(key).isNotNull())
-    filled = {
-        r["column"]
-        for r in plain(head, names).groupBy("column").agg(F.max("rn").alias("n")).where(F.col("n") >= limit).collect()
-    }
-    done = [n for n in names if n in filled]
-    rest = [n for n in names if n not in filled]
-    if not done:
-        return plain(df, names)
-    sampled = plain(head, done)
-    return sampled.unionByName(plain(df, rest)) if rest else sampled
+    """PRD-3: first ``limit`` distinct non-blank values per column, with all their rows counted."""
+    return first_values(value_index(stripped_cells(long_form(df, columns, order_by, source))), limit)
 
 
 def first_cells(cells: DataFrame, n: int) -> DataFrame:
@@ -204,7 +162,8 @@ def hash_sample(df: DataFrame, key: str, n: int = 1000, seed: int = 42) -> DataF
     own best ``n`` and a cut on the digest's leading bits, derived from the row
     count, drops nearly all rows before any ranking.
     """
-    n = max(100, min(10_000, n))
+    if n < 1:
+        raise ValueError("n must be positive")
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), q(key).cast("string")))
     total = df.count()
     if total > 100 * n:

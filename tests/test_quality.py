@@ -277,9 +277,7 @@ def test_planted_outliers(spark):
     assert 20 <= x["anomalous_row_count"] <= 50 and x["total_rows"] == 1000
     assert x["anomaly_pct"] == round(100 * x["anomalous_row_count"] / 1000, 1)
     assert "standard deviations above" in x["explanation"]
-    flagged = A.detect_anomalies(df.where("rid >= 900"), columns=["x"], order_by="rid", max_sample_values=200)
-    assert "t" not in got or got["t"]["anomalous_row_count"] <= 50
-    assert flagged.count() <= 1
+    assert got["t"]["anomalous_row_count"] == 20
 
 
 def test_rare_text(spark):

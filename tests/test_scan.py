@@ -141,12 +141,10 @@ def test_findings_do_not_depend_on_partitioning(people, parts):
     )
 
 
-def test_probe_of_leading_rows_gives_the_same_sample(spark):
-    data = [(i, f"user{i}", "ab"[i % 2], f"late{i}" if i > 4500 else None) for i in range(5000)]
-    df = spark.createDataFrame(data, "rid long, name string, flag string, note string").repartition(8)
-    plain = rows(sample_values(df, ["name", "flag", "note"], 50, "rid"), "column", "value", "rn")
-    probed = sample_values(df, ["name", "flag", "note"], 50, "rid", probe_bytes=0, probe_rows=200)
-    assert rows(probed, "column", "value", "rn") == plain
+def test_sample_counts_all_rows_of_a_value(spark):
+    df = spark.range(5000).selectExpr("id AS rid", "concat('v', id % 250) AS name").repartition(8)
+    got = rows(sample_values(df, ["name"], 50, "rid"), "rn", "value", "cnt")
+    assert got == [(i + 1, f"v{i}", 20) for i in range(50)]
 
 
 def test_top_n_equals_single_ranking(spark):
@@ -162,7 +160,7 @@ def test_top_n_equals_single_ranking(spark):
 def test_full_scan_sees_values_beyond_the_sample(spark):
     data = [(i, f"plain{i}") for i in range(600)] + [(600 + i, f"u{i % 2}@example.com") for i in range(10)]
     df = spark.createDataFrame(data, "rid long, name string")
-    assert S.scan(df, "t", order_by="rid", columns=["name"], entities=False).findings.where("pattern='email'").count() == 0
+    assert S.scan(df, "t", order_by="rid", columns=["name"], entities=False, sample_limit=500).findings.where("pattern='email'").count() == 0
     full = S.scan(df, "t", order_by="rid", columns=["name"], sample_limit=None).findings.where("pattern='email'").first()
     assert (full["matches"], full["sample_size"], full["sample_match_1"]) == (2, 602, "u0@example.com")
 
@@ -195,17 +193,19 @@ def test_entity_hook(spark):
 
         return model
 
-    values = spark.createDataFrame(
-        [("s", "c", "ACME met ACME", 1), ("s", "c", "boom", 2), ("s", "c", "NASA", 3)],
-        "source string, column string, value string, rn int",
-    )
+    schema = "source string, column string, value string, rn int"
+    values = spark.createDataFrame([("s", "c", "ACME met ACME", 1), ("s", "c", "", 2), ("s", "c", "NASA", 3)], schema)
     got = entity_scan(values, entity_udf(factory)).first()
     assert (got["entity"], got["matches"], got["entity_score"], got["examples"]) == ("ORG", 2, 0.623, ["ACME", "NASA"])
 
     def broken():
         raise RuntimeError("no model")
 
-    assert entity_scan(values, entity_udf(broken)).count() == 0
+    # texts that nobody read are no texts without entities
+    with pytest.raises(Exception, match="no model"):
+        entity_scan(values, entity_udf(broken)).count()
+    with pytest.raises(Exception, match="boom"):
+        entity_scan(values.withColumn("value", F.lit("boom")), entity_udf(factory)).count()
 
 
 def test_hash_sample_is_stable_and_uniform(spark):
