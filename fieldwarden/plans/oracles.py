@@ -6,16 +6,20 @@ look-around are restated with explicit boundary characters.
 
 from __future__ import annotations
 
-from fieldwarden.functions.patterns import _RULES, CANDIDATE_HINTS, ENTITY_PRIORITY_HINTS
-from fieldwarden.operators.privacy import REGULATIONS
-from fieldwarden.operators.quality import PLACEHOLDERS
-from fieldwarden.operators.remediate import PATTERN_PRIORITY
-from fieldwarden.operators.reports import RISK_LEVELS
-from fieldwarden.plans.tables import CONTACT_COLUMNS, CONTACT_VALUES, NOTE_COLUMNS, PERSON, PLACE, TALK_TEXT, TOKEN_BREAK
+from fieldwarden.plans.fixed import (
+    CANDIDATE_HINTS,
+    ENTITY_PRIORITY_HINTS,
+    PATTERN_PRIORITY,
+    PLACEHOLDERS,
+    REGULATIONS,
+    RISK_LEVELS,
+    RULE_ROWS,
+)
+from fieldwarden.plans.tables import CONTACT_COLUMNS, CONTACT_VALUES, IDENTITY_COLUMNS, IDENTITY_VALUES, NOTE_COLUMNS, PERSON, PLACE, TALK_TEXT, TOKEN_BREAK
 
-RULES = {name: rx for name, rx, _, _ in _RULES}
-HINTS = {name: hints for name, _, hints, _ in _RULES}
-RISKY = [name for name, _, _, risky in _RULES if risky]
+RULES = {name: rx for name, rx, _, _ in RULE_ROWS}
+HINTS = {name: hints for name, _, hints, _ in RULE_ROWS}
+RISKY = [name for name, _, _, risky in RULE_ROWS if risky]
 
 
 def sql_text(value: str) -> str:
@@ -26,6 +30,7 @@ def select_list(columns: dict[str, str]) -> str:
     return ", ".join(f"{e} AS {n}" for n, e in columns.items())
 
 
+IDENTITIES = f"identities AS (SELECT {select_list(IDENTITY_COLUMNS)} FROM customer)"
 CONTACTS = f"contacts AS (SELECT {select_list(CONTACT_COLUMNS)} FROM customer)"
 NOTES = f"notes AS (SELECT {select_list(NOTE_COLUMNS)} FROM customer)"
 
@@ -91,6 +96,7 @@ def findings(cell_sql: str, views: str) -> str:
 
 CONTACT_CELLS = cells("cells", "contacts", "rid", CONTACT_VALUES, "contacts")
 CONTACT_FINDINGS = findings(CONTACT_CELLS, CONTACTS)
+IDENTITY_FINDINGS = findings(cells("cells", "identities", "rid", IDENTITY_VALUES, "identities"), IDENTITIES)
 
 STOCK = {
     "region": ("r_regionkey", ["r_regionkey", "r_name"]),
@@ -467,6 +473,15 @@ ORACLES: dict[str, str] = {
         "UNION ALL SELECT 'notes', 'note', 'PERSON', 'AI', 'REVIEW', (SELECT count(*) FROM texts), (SELECT count(*) FROM texts), 100.0, 0.85, coalesce((list(full_name ORDER BY r))[1], ''), coalesce((list(full_name ORDER BY r))[2], ''), coalesce((list(full_name ORDER BY r))[3], ''), 'ENTITY_RULE' FROM people "
         "UNION ALL SELECT 'notes', 'note', 'LOCATION', 'AI', 'REVIEW', (SELECT count(*) FROM texts), (SELECT count(*) FROM texts), 100.0, 0.85, coalesce((list(place ORDER BY r))[1], ''), coalesce((list(place ORDER BY r))[2], ''), coalesce((list(place ORDER BY r))[3], ''), 'ENTITY_RULE' FROM places"
     ),
+    "scan_identities": IDENTITY_FINDINGS + "SELECT * FROM findings",
+    "redact_identities": (
+        "SELECT c_custkey AS rid, '<PII_REDACT:dob>' AS birth_dob, '<PII_REDACT:passport>' AS passport_no, "
+        "'<PII_REDACT:routing_number>' AS routing_no, '<PII_REDACT:ein>' AS tax_ein FROM customer"
+    ),
+    "planted_anomalies": (
+        "SELECT 'l_quantity' AS \"column\", count(*) AS total_rows, true AS found, true AS within_share, true AS above FROM lineitem"
+    ),
+    "planted_rare_text": "SELECT 'label' AS \"column\", count(*) AS total_rows, true AS found, true AS within_share FROM orders",
     "rule_findings_only": CONTACT_FINDINGS + "SELECT \"column\", pattern, risk FROM findings",
     "risk_summary": CONTACT_FINDINGS + "SELECT " + ", ".join(
         f"count(CASE WHEN risk = '{r}' THEN 1 END) AS {r}" for r in RISK_LEVELS

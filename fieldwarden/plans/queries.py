@@ -25,7 +25,7 @@ from fieldwarden.operators.values import (
     stripped_cells,
     value_index,
 )
-from fieldwarden.plans.tables import CONTACT_COLUMNS, CONTACT_VALUES, contacts, derived, doc_tokens, notes, shared_dir, table, talk
+from fieldwarden.plans.tables import CONTACT_COLUMNS, CONTACT_VALUES, IDENTITY_VALUES, contacts, derived, doc_tokens, identities, notes, shared_dir, table, talk
 from fieldwarden.sources.catalog import file_states, list_files, scan_path, scan_tables
 from fieldwarden.sources.readers import text_lines
 from fieldwarden.streaming import remediate_stream, write_remediated
@@ -127,6 +127,20 @@ def entity_findings_notes(spark, d):
     return found.drop("detection_timestamp", "sample_match_4", "sample_match_5")
 
 
+@query
+def scan_identities(spark, d):
+    """Dates of birth, passports, routing and tax numbers: the rules that no other table has hits for."""
+    found = scan.scan(identities(spark, d), "identities", columns=IDENTITY_VALUES, order_by="rid", entities=False).findings
+    return found.drop("detection_timestamp", "entity_score")
+
+
+@query
+def redact_identities(spark, d):
+    found = scan.scan(identities(spark, d), "identities", columns=IDENTITY_VALUES, order_by="rid", entities=False).findings
+    best = found.where("confidence = 'HIGH'")
+    return remediate(identities(spark, d), best, common=False, file_name="identities").data
+
+
 @query
 def rule_findings_only(spark, d):
     found = scan.scan(contacts(spark, d), "contacts", columns=CONTACT_VALUES, order_by="rid").findings
@@ -666,6 +680,34 @@ def anomalies_text(spark, d):
     return anomaly.detect_anomalies(source, columns=["label", "n_chars", "source"], order_by="doc_id")
 
 
+@query
+def planted_anomalies(spark, d):
+    """Rows whose key leaves no remainder get values far above the rest; all are flagged, and few others."""
+    planted = F.col("l_orderkey") % 401 == 0
+    rows = table(spark, d, "lineitem").withColumn("l_quantity", F.when(planted, F.lit(1.0e6) + F.col("l_linenumber")).otherwise(F.col("l_quantity")))
+    many = rows.where(planted).count()
+    found = anomaly.detect_anomalies(rows, columns=["l_quantity"], order_by=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    return found.select(
+        "column", "total_rows",
+        (F.col("anomalous_row_count") >= many).alias("found"),
+        (F.col("anomaly_pct") <= 5.0).alias("within_share"),
+        F.col("explanation").contains("above").alias("above"),
+    )
+
+
+@query
+def planted_rare_text(spark, d):
+    planted = F.col("o_orderkey") % 211 == 0
+    label = F.when(planted, F.concat(F.lit("odd"), F.col("o_orderkey").cast("string"))).otherwise(F.col("o_orderpriority"))
+    rows = table(spark, d, "orders").select("o_orderkey", label.alias("label"))
+    many = rows.where(planted).count()
+    found = anomaly.detect_anomalies(rows, columns=["label"], order_by="o_orderkey")
+    return found.select(
+        "column", "total_rows", (F.col("anomalous_row_count") == many).alias("found"),
+        (F.col("anomaly_pct") <= 5.0).alias("within_share"),
+    )
+
+
 # --- samples, sources, combined runs ----------------------------------------------
 
 

@@ -24,6 +24,15 @@ CONTACT_COLUMNS = {
 }
 CONTACT_VALUES = [c for c in CONTACT_COLUMNS if c != "rid"]
 
+IDENTITY_COLUMNS = {
+    "rid": "c_custkey",
+    "birth_dob": "concat(lpad(cast(c_custkey % 12 + 1 AS STRING), 2, '0'), '/', lpad(cast(c_custkey % 28 + 1 AS STRING), 2, '0'), '/', cast(1950 + c_custkey % 50 AS STRING))",
+    "passport_no": "concat('P', lpad(cast(c_custkey AS STRING), 7, '0'))",
+    "routing_no": "lpad(cast(c_custkey AS STRING), 9, '0')",
+    "tax_ein": "concat(lpad(cast(c_custkey % 100 AS STRING), 2, '0'), '-', lpad(cast(c_custkey AS STRING), 7, '0'))",
+}
+IDENTITY_VALUES = [c for c in IDENTITY_COLUMNS if c != "rid"]
+
 FIRST_NAMES = "CASE c_custkey % 5 WHEN 0 THEN 'Alice' WHEN 1 THEN 'Bruno' WHEN 2 THEN 'Carla' WHEN 3 THEN 'Deren' ELSE 'Elena' END"
 LAST_NAMES = "CASE c_nationkey % 3 WHEN 0 THEN 'Stone' WHEN 1 THEN 'Rivers' ELSE 'Marsh' END"
 VERBS = "CASE c_custkey % 3 WHEN 0 THEN 'called' WHEN 1 THEN 'emailed' ELSE 'reported' END"
@@ -57,6 +66,10 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(table(spark, sf_dir, "customer"), CONTACT_COLUMNS)
 
 
+def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(table(spark, sf_dir, "customer"), IDENTITY_COLUMNS)
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(table(spark, sf_dir, "customer"), NOTE_COLUMNS)
 
