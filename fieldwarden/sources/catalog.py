@@ -102,6 +102,21 @@ def _csv_groups(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str
     return groups
 
 
+def _damaged(spark: SparkSession, files: Sequence[str]) -> list[str]:
+    """Parquet files whose rows cannot all be read although their footer can; one list entry for each such file."""
+    path = F.col("_metadata.file_path").alias("file")
+    read = spark.read.option("ignoreCorruptFiles", "true").parquet(*files)
+    promised = read.groupBy(path).agg(F.count(F.lit(1)).alias("promised"))
+    body = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in read.columns])
+    # the greatest hash is asked for so that every column is really read
+    found = read.groupBy(path).agg(F.count(F.lit(1)).alias("found"), F.max(body).alias("top"))
+    missing = (F.col("promised") > 0) & (F.col("top").isNull() | (F.col("found") < F.col("promised")))
+    short = promised.join(found, "file", "left").where(missing)
+    plain = lambda f: unquote(f).replace("file:///", "file:/")
+    known = {plain(f): f for f in files}
+    return [known[plain(r["file"])] for r in short.select("file").collect()]
+
+
 def _json_groups(spark: SparkSession, paths: Sequence[str]) -> tuple[list[list[str]], list[str]]:
     """JSON Lines files by common shape, and files holding one document each.
 
@@ -138,9 +153,13 @@ def scan_path(
     entities: bool = True,
     spans=rule_spans,
     registry: PatternRegistry = DEFAULT_REGISTRY,
+    verify: bool = True,
 ) -> PathScan:
     """SRC-9: scan every readable file below a path, one source per file.
 
+    ``verify`` reads Parquet bodies once beforehand, so that a damaged file is reported as failed and the rest is
+    scanned; without it such a file fails the scan.
+
     Files of one format and shape are read by one scan and told apart by their
     path column, so the number of plans follows the number of layouts, not of
     files.  The file list itself is metadata and is read on the driver.
@@ -201,7 +220,11 @@ def scan_path(
             except Exception as error:
                 failed[f] = str(error).splitlines()[0][:200]
         for files in shapes.values():
-            attempt(files, lambda fs: tag(spark.read.parquet(*fs)))
+            damaged = set(_damaged(spark, files)) if verify else set()
+            failed.update({f: "File body cannot be read" for f in damaged})
+            whole = [f for f in files if f not in damaged]
+            if whole:
+                attempt(whole, lambda fs: tag(spark.read.parquet(*fs)))
     texts = by_kind.get("json", []) + by_kind.get("jsonl", [])
     if texts:
         grouped, documents = _json_groups(spark, texts)

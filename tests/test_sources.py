@@ -153,3 +153,24 @@ def test_plans(spark, people):
     scanned = plan(scan(people, "p", columns=["email"], order_by="rid").findings)
     assert "WindowGroupLimit" in scanned and "Python" not in scanned
     assert "Cartesian" not in scanned and "BroadcastNestedLoop" not in scanned
+
+
+def test_damaged_body_fails_alone(spark, tmp_path):
+    for name, first in (("good", 0), ("bad", 50_000)):
+        spark.range(first, first + 50_000).selectExpr("concat('user', id, '@example.com') AS email").coalesce(1).write.parquet(str(tmp_path / name))
+    part = next((tmp_path / "bad").glob("part-*.parquet"))
+    raw = bytearray(part.read_bytes())
+    raw[200:4000] = bytes(3800)
+    part.write_bytes(bytes(raw))
+    for crc in (tmp_path / "bad").glob(".*.crc"):
+        crc.unlink()
+    result = catalog.scan_path(spark, str(tmp_path), entities=False)
+    states = {r["file"].split("/")[-2]: (r["state"], r["details"]) for r in result.status.collect() if r["file"].endswith(".parquet")}
+    assert states["bad"] == ("FAILED", "File body cannot be read") and states["good"][0] == "SUCCESS"
+    assert [(r["pattern"], r["matches"]) for r in result.findings.collect()] == [("email", 50_000)]
+
+
+def test_quoted_line_break_is_one_record(spark, tmp_path):
+    (tmp_path / "notes.csv").write_text('email,note\na@b.co,"two\nlines"\nc@d.co,one\n')
+    found = catalog.scan_path(spark, str(tmp_path), entities=False).findings.where("pattern = 'email'").first()
+    assert (found["matches"], found["sample_size"]) == (2, 2)
