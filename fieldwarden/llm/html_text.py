@@ -34,7 +34,7 @@ MIXED_COST = 1.0
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-label)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _WORD = re.compile(r"[a-z]+")
-_RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "svg", "template", "object", "math"}
+_RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "svg", "template"}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
 _GROUPS = (
     {"p"},
