@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldwarden.llm.shared import slices_by_bytes
+from fieldwarden.llm.shared import bound_text_batches, slices_by_bytes
 
 #: Pieces kept per task between batches; the table starts anew beyond it, which costs time but changes no result.
 PIECE_CACHE = 200_000
@@ -212,6 +212,7 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "t
                     [part.column("key"), own.encode_batch(part.column("body").to_pylist())], ["doc_id", "ids"]
                 )
 
+    bound_text_batches(docs.sparkSession)
     given = docs.select(F.col(id_column).cast("long").alias("key"), F.col(text).cast("string").alias("body"))
     return given.mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -244,5 +245,6 @@ def round_trip(docs: DataFrame, path: str, id_column: str = "doc_id", text: str
                     [part.column("key"), ids, own.decode_batch(ids)], ["doc_id", "ids", "decoded"]
                 )
 
+    bound_text_batches(docs.sparkSession)
     given = docs.select(F.col(id_column).cast("long").alias("key"), F.col(text).cast("string").alias("body"))
     return given.mapInArrow(run, "doc_id long, ids array<int>, decoded string")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldwarden.llm import wordhash
-from fieldwarden.llm.shared import broadcast_if_small, carrying, record_batch, slices_by_bytes, stored, text_buffer, with_carried
+from fieldwarden.llm.shared import bound_text_batches, broadcast_if_small, carrying, record_batch, slices_by_bytes, stored, text_buffer, with_carried
 
 WINDOW = 13
 SEED_WORDS = 6
@@ -202,6 +202,7 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text
 
     Exact copies of a text are represented by the smallest id; see ``copies``. Null ids are left out.
     """
+    bound_text_batches(docs.sparkSession)
     given = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("body"))
     given = given.filter("doc_id is not null and body is not null")
     counts = given.mapInArrow(_minimizers, "seed long").groupBy("seed").agg(F.count("*").alias("n"))
@@ -252,6 +253,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
 
     Columns named in ``carry`` come back in the struct ``carried``.
     """
+    bound_text_batches(docs.sparkSession)
     whole = docs.select(
         F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("body"), *carrying(docs, carry)
     )

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldwarden.llm.shared import slices_by_bytes
+from fieldwarden.llm.shared import bound_text_batches, slices_by_bytes
 
 #: Bound of the pages that teach the trees.
 PAGES = 1500
@@ -372,6 +372,7 @@ def fit(pages: DataFrame, bound: int = PAGES) -> BoostedTrees:
 
 def main_text(pages: DataFrame, id_column: str = "page_id", url: str = "url", source: str = "html", bound: int = PAGES) -> DataFrame:
     """``page_id, url, text`` for every row of ``pages``."""
+    bound_text_batches(pages.sparkSession)
     given = pages.select(
         F.col(id_column).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(source).cast("string").alias("body")
     )

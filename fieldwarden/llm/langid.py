@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldwarden.llm.shared import slices_by_bytes
+from fieldwarden.llm.shared import bound_text_batches, slices_by_bytes
 
 #: Bound of the training texts; with more, those with the smallest hash share are used.
 EXAMPLES = 30_000
@@ -142,6 +142,7 @@ def prototypes(docs: DataFrame, bound: int = EXAMPLES) -> tuple[list[str], np.nd
 
 def identify(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang", bound: int = EXAMPLES) -> DataFrame:
     """``doc_id, lang_pred, score`` for every row of ``docs``."""
+    bound_text_batches(docs.sparkSession)
     given = docs.select(
         F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("body"), F.col(lang).cast("string").alias("lang")
     )

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from fieldwarden.llm import wordhash
 from fieldwarden.llm.components import components
-from fieldwarden.llm.shared import broadcast_if_small, carrying, record_batch, slices_by_bytes, stored, text_buffer, with_carried
+from fieldwarden.llm.shared import bound_text_batches, broadcast_if_small, carrying, record_batch, slices_by_bytes, stored, text_buffer, with_carried
 
 SHINGLE = 5
 BINS, BANDS = 128, 32
@@ -256,6 +256,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 
     Columns named in ``carry`` (they should be narrow) come back in the struct ``carried``.
     """
+    bound_text_batches(docs.sparkSession)
     given = docs.select(
         F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("body"), *carrying(docs, carry)
     )

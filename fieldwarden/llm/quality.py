@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldwarden.llm import calibrate, wordhash
-from fieldwarden.llm.shared import slices_by_bytes, stored, text_buffer
+from fieldwarden.llm.shared import bound_text_batches, slices_by_bytes, stored, text_buffer
 
 #: Bound of the labelled rows used for the fit and the calibration.
 EXAMPLES = 100_000
@@ -107,6 +107,7 @@ def document_statistics(docs: DataFrame, id_column: str = "doc_id", text: str =
                 lists = pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "stats"])
 
+    bound_text_batches(docs.sparkSession)
     given = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("body"))
     return given.mapInArrow(run, "doc_id long, stats array<float>")
 

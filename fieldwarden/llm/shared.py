@@ -16,6 +16,17 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 1_000_000
 
 
+#: Rows of text that Spark hands to Python at a time; its own default of 10,000 takes much memory with long texts.
+TEXT_ROWS = 1000
+
+
+def bound_text_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size to ``TEXT_ROWS`` where it is larger; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 

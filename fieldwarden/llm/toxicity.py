@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldwarden.llm import calibrate, wordhash
-from fieldwarden.llm.shared import carrying, record_batch, slices_by_bytes, stored, text_buffer, with_carried
+from fieldwarden.llm.shared import bound_text_batches, carrying, record_batch, slices_by_bytes, stored, text_buffer, with_carried
 
 #: Bound of the labelled examples; with more labelled rows, those with the smallest hash share are used.
 EXAMPLES = 20_000
@@ -251,6 +251,7 @@ def score(
 
     Columns named in ``carry`` come back in the struct ``carried``. Examples come from ``learn_from`` (``docs`` if none).
     """
+    bound_text_batches(docs.sparkSession)
     named = [F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("body")]
     given = docs.select(*named, *carrying(docs, carry))
     taught = given.select("doc_id", "body") if learn_from is None else learn_from.select(*named)
