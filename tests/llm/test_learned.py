@@ -94,6 +94,35 @@ def test_search_recall(spark):
     assert found / total >= 0.9
 
 
+def recall(spark, x):
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = nn_descent.neighbours(table, table.filter("vec_id % 20 = 0").select("vec_id")).collect()
+    found = {(r["query_id"], r["vec_id"]) for r in got}
+    asked = range(0, len(x), 20)
+    return np.mean([(q, int(i)) in found for q in asked for i in [j for j in np.argsort(-(x @ x[q]), kind="stable")[:21] if j != q][:20]])
+
+
+def unit_vectors(seed, n=2000, width=24):
+    x = np.random.default_rng(seed).normal(size=(n, width))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("times", [50, 1000, 1e6])
+def test_search_recall_beside_one_long_vector(spark, times):
+    x = unit_vectors(5)
+    x[77] *= times
+    assert recall(spark, x) >= 0.95
+
+
+@pytest.mark.parametrize("noise", [1e-4, 1e-9])
+def test_search_recall_with_near_copies(spark, noise):
+    x = unit_vectors(6)
+    copies = np.random.default_rng(7).permutation(2000)[:667]
+    x[copies] = x[copies[0]] + noise * np.random.default_rng(9).normal(size=(667, 24))
+    assert recall(spark, x) >= 0.9
+
+
 PAGE = (
     "<html><head><title>no</title><style>p{}</style><script>var a='</p>';</script></head><body>"
     "<header class='site-header'>Site name <a href=/>Home</a></header><div id='cookie-notice'>We use cookies.</div>"
