@@ -123,6 +123,35 @@ def test_search_recall_with_near_copies(spark, noise):
     assert recall(spark, x) >= 0.9
 
 
+def test_crowded_leaves_are_dealt_by_pivots(spark):
+    x = unit_vectors(11, 4000, 8)
+    form = nn_descent.Codes(8, 1.0, False)
+    codes = spark.createDataFrame([(i, bytearray(c), 1, 4001) for i, c in enumerate(form.pack(x).to_pylist())], "node long, code binary, leaf long, was long")
+    got = nn_descent._fitting(codes, form).select("group", "node").toPandas()
+    assert sorted(got["node"]) == list(range(4000))
+    assert got.groupby("group").size().max() <= 2 * nn_descent.LEAF
+    group = got.sort_values("node")["group"].to_numpy()
+    near = np.argsort(-(x @ x.T), axis=1)[:, 1:6]
+    assert (group[near] == group[:, None]).mean() >= 0.4  # at random: about the share of a group
+
+
+def test_search_runs_until_nothing_better_is_found(spark):
+    # a ring: neighbours of neighbours lead on only step by step
+    n = 1200
+    turn = 2 * np.pi * np.arange(n) / n
+    ring = [(i, [float(np.cos(t)), float(np.sin(t))]) for i, t in enumerate(turn)]
+    form = nn_descent.Codes(2, 1.0, False)
+    vectors = np.array([v for _, v in ring])
+    codes = spark.createDataFrame([(i, bytearray(c)) for i, c in enumerate(form.pack(vectors).to_pylist())], "node long, code binary")
+    steps = [(i, (i + d) % n, 0.0) for i in range(n) for d in (1, 2, 3, -1, -2, -3)]
+    graph = spark.createDataFrame(steps, "u long, w long, sim double")
+    asked = spark.createDataFrame([(0,), (600,)], "node long")
+    got = nn_descent._search(graph, codes, asked, [300], form).toPandas()
+    for q in (0, 600):
+        # the 40 nearest on each side are the 80 best of the whole ring
+        assert {(q + d) % n for d in range(-40, 41) if d} <= set(got[got["q"] == q]["node"])
+
+
 PAGE = (
     "<html><head><title>no</title><style>p{}</style><script>var a='</p>';</script></head><body>"
     "<header class='site-header'>Site name <a href=/>Home</a></header><div id='cookie-notice'>We use cookies.</div>"
