@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldwarden.llm import bpe, chat_format, debruijn, decontaminate, html_text, langid, minhash, nn_descent, quality, toxicity
+from fieldwarden.llm import bpe, chat_format, debruijn, decontaminate, html_text, langid, merkle, minhash, nn_descent, quality, toxicity
 from fieldwarden.llm.shared import is_held_out
 
 
@@ -208,6 +208,70 @@ from d left join l using (doc_id)
 """
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+_FIELD = "case when {0} is null then '-' else strlen({0}::varchar)::varchar || ':' || {0}::varchar end"
+_LEAF = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_FOLDED_TEXT = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# crc32 is not a function of DuckDB: it is worked out bit by bit over the digits of the id.
+OP11_SQL = f"""
+with recursive crc as (
+  select doc_id, doc_id::varchar as s, 0 as i, 4294967295::bigint as c
+  from (select distinct doc_id from documents where doc_id is not null)
+  union all
+  select doc_id, s, i + 1, list_reduce(
+           list_concat([xor(c, ascii(s[i + 1])::bigint)], range(8)),
+           lambda v, k: case when v & 1 = 1 then xor(v >> 1, 3988292384::bigint) else v >> 1 end)
+  from crc where i < length(s)),
+third as (select doc_id from crc where i = length(s) and xor(c, 4294967295::bigint) % 3 = 0),
+d as (
+  select doc_id, case when lang is null then '' else '=' || lang end as tree,
+         sha256({_LEAF} || {_FIELD.format("text")}) as leaf,
+         case when doc_id in (select doc_id from third) then sha256({_LEAF} || {_FIELD.format(_FOLDED_TEXT)}) end as tampered
+  from documents),
+l as (
+  select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as idx, count(*) over (partition by tree) as n
+  from d),
+up as (
+  select tree, 0 as h, idx, leaf as digest, n from l
+  union all
+  select tree, h + 1, idx // 8, sha256(string_agg(digest, '' order by idx)), (max(n) + 7) // 8
+  from up where n > 1 group by tree, h, idx // 8),
+subroots as (
+  select tree, digest, row_number() over (order by encode(tree)) - 1 as idx, count(*) over () as n from up where n = 1),
+top as (
+  select 0 as h, idx, digest, n from subroots
+  union all
+  select h + 1, idx // 8, sha256(string_agg(digest, '' order by idx)), (max(n) + 7) // 8 from top where n > 1 group by h, idx // 8),
+runs as (
+  select tree, h, idx // 8 as run, list(digest order by idx) as ds from up where n > 1 group by all
+  union all
+  select '#' as tree, h, idx // 8 as run, list(digest order by idx) as ds from top where n > 1 group by all),
+inner_fold as (
+  select doc_id, leaf, tree, 0 as h, idx, coalesce(tampered, leaf) as digest, '' as proof from l
+  union all
+  select doc_id, leaf, f.tree, f.h + 1, idx // 8,
+         sha256(array_to_string(list_concat(list_concat(ds[:idx % 8], [digest]), ds[idx % 8 + 2:]), '')),
+         proof || array_to_string(list_concat(ds[:idx % 8], ds[idx % 8 + 2:]), '')
+  from inner_fold f join runs r on r.tree = f.tree and r.h = f.h and r.run = f.idx // 8),
+outer_fold as (
+  select doc_id, leaf, f.tree, s.digest as subroot, 0 as h, s.idx, f.digest, proof
+  from inner_fold f join subroots s on s.tree = f.tree
+  where f.h = (select max(h) from up where up.tree = f.tree)
+  union all
+  select doc_id, leaf, f.tree, subroot, f.h + 1, idx // 8,
+         sha256(array_to_string(list_concat(list_concat(ds[:idx % 8], [digest]), ds[idx % 8 + 2:]), '')),
+         proof || array_to_string(list_concat(ds[:idx % 8], ds[idx % 8 + 2:]), '')
+  from outer_fold f join runs r on r.tree = '#' and r.h = f.h and r.run = f.idx // 8),
+root as (select digest from top where n = 1)
+select doc_id, leaf, subroot, root.digest as root, sha256(proof) as proof_sha256, f.digest as folded_root, f.digest = root.digest as verified
+from outer_fold f, root where f.h = (select max(h) from top)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_preference_format": op1_preference_format,
     "op2_quality": op2_quality,
@@ -219,6 +283,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_nn_descent": op9_nn_descent,
     "op10_debruijn": op10_debruijn,
+    "op11_merkle": op11_merkle,
 }
 
 ORACLES: dict[str, str] = {
@@ -226,4 +291,5 @@ ORACLES: dict[str, str] = {
     "op5_decontaminate": OP5_SQL,
     "op7_minhash": OP7_SQL,
     "op10_debruijn": OP10_SQL,
+    "op11_merkle": OP11_SQL,
 }

@@ -71,3 +71,43 @@ def contaminated(docs, items, size=10):
                     found |= held
         out[i] = (len(ws), len(hit), sorted(found))
     return out
+
+
+def merkle(docs, arity=8):
+    """doc_id -> (leaf, subroot, root, proof digest, folded root) for rows of unique ids."""
+    import hashlib
+    import zlib
+
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    part = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+
+    def tree(level):
+        levels = [level]
+        while len(levels[-1]) > 1:
+            row = levels[-1]
+            levels.append([sha("".join(row[i : i + arity])) for i in range(0, len(row), arity)])
+        return levels
+
+    def path(levels, at):
+        found = []
+        for row in levels[:-1]:
+            run = at // arity * arity
+            found.append((row[run : run + arity], at - run))
+            at //= arity
+        return found
+
+    langs = sorted({d[2] for d in docs}, key=lambda v: (v is not None, (v or "").encode()))
+    of = {v: sorted((d for d in docs if d[2] == v), key=lambda d: d[0]) for v in langs}
+    trees = {v: tree([sha("".join(map(part, d))) for d in of[v]]) for v in langs}
+    top = tree([trees[v][-1][0] for v in langs])
+    out = {}
+    for k, v in enumerate(langs):
+        for i, d in enumerate(of[v]):
+            way = path(trees[v], i) + path(top, k)
+            proof = "".join(x for run, at in way for j, x in enumerate(run) if j != at)
+            text = d[4].translate(FOLD) if d[4] is not None and zlib.crc32(str(d[0]).encode()) % 3 == 0 else d[4]
+            now = sha("".join(map(part, (*d[:4], text))))
+            for run, at in way:
+                now = sha("".join(now if j == at else x for j, x in enumerate(run)))
+            out[d[0]] = (trees[v][0][i], trees[v][-1][0], top[-1][0], sha(proof), now)
+    return out
