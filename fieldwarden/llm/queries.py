@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldwarden.llm import bpe, chat_format, debruijn, decontaminate, html_text, langid, merkle, minhash, nn_descent, quality, toxicity
+from fieldwarden.llm import bpe, chat_format, debruijn, decontaminate, hard_negatives, html_text, langid, merkle, minhash, nn_descent, quality, toxicity, url_filter
 from fieldwarden.llm.shared import is_held_out
 
 
@@ -272,6 +272,52 @@ from outer_fold f, root where f.h = (select max(h) from top)
 """
 
 
+# The verdicts and rules that come before mined ones.
+URL_RULES = (
+    ("block", "net/"),
+    ("allow", "example.net/en/"),
+    ("block", "example.com/de/"),
+    ("allow", "org/fr/"),
+)
+
+
+def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages have no labels of their own: those that a fixed rule fits teach the mined rules."""
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, URL_RULES, carry=["page_id"]).select(
+        "carried.page_id", "host", "path", "rule", "verdict", "mined_rule"
+    )
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+OP13_SQL = """
+with r as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as alike,
+         list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::bigint as score
+  from r a join r b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+p as (
+  select anchor_id, vec_id as positive_id, score as positive_score from s where alike
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+n as (
+  select anchor_id, positive_id, vec_id as negative_id, positive_score, score as negative_score,
+         row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::int as rank
+  from p join s using (anchor_id)
+  where not alike and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 10
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_preference_format": op1_preference_format,
     "op2_quality": op2_quality,
@@ -284,6 +330,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nn_descent": op9_nn_descent,
     "op10_debruijn": op10_debruijn,
     "op11_merkle": op11_merkle,
+    "op12_url_rules": op12_url_rules,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -292,4 +340,5 @@ ORACLES: dict[str, str] = {
     "op7_minhash": OP7_SQL,
     "op10_debruijn": OP10_SQL,
     "op11_merkle": OP11_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
