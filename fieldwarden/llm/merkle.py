@@ -271,6 +271,7 @@ def manifest(docs: DataFrame, climb: int = CLIMB) -> DataFrame:
         F.unhex(leaf_digest(*fields)).alias("digest"),
         F.when(chosen, F.unhex(leaf_digest(*fields[:-1], F.translate("text", UPPER, LOWER)))).alias("tampered"),
     )
+    leaves = stored(leaves, "digests")  # a range partitioning reads its input twice
     base = stored(_ranked(leaves, "lang", "doc_id", "digest"), "leaves")
     rounds = _grown(base, climb)
     subroots = _roots(rounds).select(F.lit(0).alias("forest"), F.col("tree").alias("child"), "digest")
