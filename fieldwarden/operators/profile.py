@@ -22,7 +22,9 @@ from fieldwarden.operators.values import (
 
 NUMERIC_TEXT = r"[+-]?(?:\d+(?:\.\d*)?|\.\d+)"
 # Exact quantiles rank a bracket of at most this many rows in the final step.
-EXACT_ROWS = 5_000_000
+EXACT_ROWS = 100_000
+# Steps in each power of two of the first grid, and the place of the number 1 in it.
+OCTAVE_STEPS, OCTAVE_ZERO = 64, 70_000
 
 
 def _numeric_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
@@ -42,174 +44,159 @@ def _number(df: DataFrame, column: str) -> Column:
     return F.when(~is_missing(q(column), dtype), value)
 
 
-def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], max_rows: int = EXACT_ROWS
-) -> dict[str, list[float | None]]:
-    """Exact linear-interpolated quantiles without sorting the table.
-
-    Every wanted rank is narrowed in the same few passes: while its bracket is
-    large, an approximate percentile brackets it closer from both sides and
-    exact counts carry the rank over.  The values left in a bracket are counted
-    as runs and the rank is read off their running sum.
-    """
-    ends = df.agg(
-        *[
-            f.alias(f"{name}{i}")
-            for i, c in enumerate(columns)
-            for name, f in (
-                ("n", F.count(_number(df, c))),
-                ("low", F.count_if(_number(df, c) == float("-inf"))),
-                ("high", F.count_if(_number(df, c) == float("inf"))),
-            )
-        ]
-    ).first()
-    sizes = {c: (ends[f"n{i}"], ends[f"low{i}"], ends[f"high{i}"]) for i, c in enumerate(columns)}
-    wanted = set()
-    for c in columns:
-        n = sizes[c][0]
-        wanted |= {(c, min(int(p * (n - 1)) + extra, n - 1)) for p in probs for extra in (0, 1) if n}
-    found = _values_at(df, wanted, sizes, max_rows)
-    out: dict[str, list[float | None]] = {}
-    for c in columns:
-        n = sizes[c][0]
-        out[c] = []
-        for p in probs:
-            if not n:
-                out[c].append(None)
-                continue
-            place = p * (n - 1)
-            low = int(place)
-            a, b = found[(c, low)], found[(c, min(low + 1, n - 1))]
-            out[c].append(a if a == b else a + (b - a) * (place - low))
-    return out
-
-
 @dataclass
 class _Bracket:
-    """Open interval still holding a wanted rank, with exact row counts below and inside."""
+    """Closed interval that holds a wanted rank, with exact row counts below and inside."""
 
+    column: int
     low: float
     high: float
     below: int
     inside: int
 
 
-def _values_at(df: DataFrame, wanted: set[tuple[str, int]], sizes: dict[str, tuple], max_rows: int) -> dict:
-    """Values of 0-based ranks in sorted order, all ranks narrowed together."""
-    accuracy = 10_000
-    margin = 2.0 / accuracy
-    found: dict[tuple[str, int], float] = {}
-    open_: dict[tuple[str, int], _Bracket] = {}
-    for t in sorted(wanted):
-        # Infinite cells lie outside every open interval; their ranks are settled by the counts.
-        n, low, high = sizes[t[0]]
-        if t[1] < low:
-            found[t] = float("-inf")
-        elif t[1] >= n - high:
-            found[t] = float("inf")
+def _numeric_cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``c, x``: every number of every column, the column by its place."""
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), _number(df, c).alias("x")) for i, c in enumerate(columns)])
+    return df.select(F.explode(cells).alias("r")).select("r.c", "r.x").where("x is not null")
+
+
+def _octave_bucket(x: Column) -> Column:
+    """A number that never falls while ``x`` grows, at most 270,000 in all: sign and 64 steps in each power of two."""
+    size = F.lit(OCTAVE_ZERO) + F.floor(F.log2(F.abs(x)) * OCTAVE_STEPS)
+    ends = F.when(x == float("inf"), 2 * OCTAVE_ZERO).when(x == float("-inf"), -2 * OCTAVE_ZERO)
+    return ends.when(x == 0, 0).when(x > 0, size).otherwise(-size).cast("long")
+
+
+def _hit_buckets(buckets: DataFrame, ranks: Column) -> DataFrame:
+    """Buckets ``g, b, n, low, high`` in which some rank falls, with ``below``; the running sum is over buckets, not rows.
+
+    ``ranks`` may use ``g`` and ``total``, the rows of ``g``.
+    """
+    order = Window.partitionBy("g").orderBy("b")
+    counted = buckets.withColumn("below", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    counted = counted.withColumn("total", F.sum("n").over(Window.partitionBy("g")))
+    inside = lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("n"))
+    return counted.where(F.exists(ranks, inside))
+
+
+def _steps_in(x: Column, low: float, high: float) -> Column:
+    """Which of 65,537 even steps from ``low`` to ``high``; never falls while ``x`` grows."""
+    return F.floor((x - F.lit(low)) / F.lit(high - low) * 65_536).cast("long")
+
+
+def number_ranges(df: DataFrame, columns: Sequence[str], probs: Sequence[float], max_rows: int = EXACT_ROWS) -> list[dict]:
+    """``n, low, high, quantiles`` of each numeric column: exact, linearly interpolated, without sorting the table.
+
+    1. One pass counts the numbers of all columns in buckets of a fixed grid (:func:`_octave_bucket`), each with its least
+       and greatest number. Running sums over the buckets show which of them hold the wanted ranks.
+    2. Buckets with several numbers and more than ``max_rows`` rows are counted again, in even steps between their ends,
+       until the step that holds a rank has one number or few rows: once, unless most of the numbers lie in 1 / 65,536 of
+       a bucket.
+    3. The numbers of the remaining steps are counted by value, and the ranks read off.
+
+    The plan of a pass does not grow with the ranks, no task sorts more than the buckets or ``max_rows`` numbers, and only
+    the buckets that were hit reach the driver.
+    """
+    if not columns:
+        return []
+    cells = _numeric_cells(df, columns)
+    first = cells.groupBy(F.col("c").alias("g"), _octave_bucket(F.col("x")).alias("b")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high")
+    )
+    place = lambda p: F.lit(p) * (F.col("total") - 1)
+    wanted = [F.least(F.floor(place(p)) + extra, F.col("total") - 1) for p in probs for extra in (0, 1)]
+    # the first and last bucket give the ends
+    hits = _hit_buckets(first, F.array(*wanted, F.lit(0).cast("long"), F.col("total") - 1)).collect()
+    out = [{"n": 0, "low": None, "high": None, "quantiles": [None] * len(probs)} for _ in columns]
+    found: dict[tuple[int, int], float] = {}
+    open_: dict[tuple[int, int], _Bracket] = {}
+    for r in hits:
+        own = out[r["g"]]
+        own["n"] = r["total"]
+        own["low"] = r["low"] if own["low"] is None else min(own["low"], r["low"])
+        own["high"] = r["high"] if own["high"] is None else max(own["high"], r["high"])
+    ranks = {
+        (i, min(int(p * (own["n"] - 1)) + extra, own["n"] - 1)) for i, own in enumerate(out) if own["n"] for p in probs for extra in (0, 1)
+    }
+
+    def settle(tag: tuple[int, int], bracket: _Bracket) -> None:
+        if bracket.low == bracket.high:
+            found[tag] = bracket.low
+            open_.pop(tag, None)
         else:
-            open_[t] = _Bracket(float("-inf"), float("inf"), low, n - low - high)
+            open_[tag] = bracket
+
+    for r in hits:
+        for tag in ranks:
+            if tag[0] == r["g"] and r["below"] <= tag[1] < r["below"] + r["n"]:
+                settle(tag, _Bracket(r["g"], r["low"], r["high"], r["below"], r["n"]))
+
+    def narrowed(chosen: list[tuple[int, int]], by_value: bool) -> None:
+        """One more pass over the numbers of the chosen ranks' brackets."""
+        brackets = list({(b.column, b.low, b.high, b.below): None for b in map(open_.get, chosen)})
+        of = {key: [t for t in chosen if (open_[t].column, open_[t].low, open_[t].high, open_[t].below) == key] for key in brackets}
+        parts = []
+        for g, (c, low, high, _) in enumerate(brackets):
+            x = _number(df, columns[c])
+            step = F.lit(0).cast("long") if by_value else _steps_in(x, low, high)
+            own = F.struct(F.lit(g).alias("g"), step.alias("step"), x.alias("x"))
+            parts.append(F.when((x >= F.lit(low)) & (x <= F.lit(high)), own))
+        inside = df.select(F.explode(F.array_compact(F.array(*parts))).alias("r")).select("r.*")
+        keys = [F.col("g"), F.col("x" if by_value else "step").alias("b")]
+        counted = inside.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+        asked = F.array(*[F.array(*[F.lit(t[1] - key[3]).cast("long") for t in of[key]]) for key in brackets])
+        for r in _hit_buckets(counted, F.get(asked, F.col("g"))).collect():
+            key = brackets[r["g"]]
+            for t in of[key]:
+                if r["below"] <= t[1] - key[3] < r["below"] + r["n"]:
+                    settle(t, _Bracket(key[0], r["low"], r["high"], key[3] + r["below"], r["n"]))
+
     while wide := [t for t, b in open_.items() if b.inside > max_rows]:
-        # Ranks in one bracket share a sketch; neighbouring ranks share a guess, counted once.
-        sketches: dict[tuple, dict[float, list]] = {}
-        for t in wide:
-            b = open_[t]
-            share = round((t[1] - b.below) / b.inside, 6)
-            sketches.setdefault((t[0], b.low, b.high), {}).setdefault(share, []).append(t)
-        marks = {k: [m for s in shares for m in (max(0.0, s - margin), min(1.0, s + margin))] for k, shares in sketches.items()}
-        drawn = df.agg(
-            *[
-                F.percentile_approx(
-                    F.when((_number(df, c) > low) & (_number(df, c) < high), _number(df, c)),
-                    F.lit(marks[(c, low, high)]),
-                    F.lit(accuracy),
-                ).alias(f"g{i}")
-                for i, (c, low, high) in enumerate(sketches)
-            ]
-        ).first()
-        guesses = [
-            (k[0], drawn[i][2 * j], drawn[i][2 * j + 1], ranks)
-            for i, (k, shares) in enumerate(sketches.items())
-            for j, ranks in enumerate(shares.values())
-        ]
-        tallies = df.agg(
-            *[
-                F.count_if(condition).alias(f"{name}{i}")
-                for i, (c, low, high, _) in enumerate(guesses)
-                for name, condition in (
-                    ("below", _number(df, c) < low),
-                    ("at_low", _number(df, c) == low),
-                    ("upto", _number(df, c) < high),
-                )
-            ]
-        ).first()
-        for i, (_, low, high, ranks) in enumerate(guesses):
-            after_low = tallies[f"below{i}"] + tallies[f"at_low{i}"]
-            for t in ranks:
-                # Repeated end values are settled here, so the open bracket always shrinks.
-                if t[1] < after_low:
-                    found[t] = low
-                elif t[1] >= tallies[f"upto{i}"]:
-                    found[t] = high
-                else:
-                    open_[t] = _Bracket(low, high, after_low, tallies[f"upto{i}"] - after_low)
-                if t in found:
-                    del open_[t]
-    if not open_:
-        return found
-    groups: dict[tuple, list] = {}
-    for t, b in open_.items():
-        groups.setdefault((t[0], b.low, b.high, b.below), []).append(t)
-    runs = None
-    for g, (c, low, high, _) in enumerate(groups):
-        # Each branch reads one column and collapses repeated values before the shuffle.
-        part = (
-            df.select(_number(df, c).alias("x"))
-            .where((F.col("x") > low) & (F.col("x") < high))
-            .groupBy("x")
-            .agg(F.count(F.lit(1)).alias("cnt"))
-            .select(F.lit(g).alias("g"), "x", "cnt")
-        )
-        runs = part if runs is None else runs.unionByName(part)
-    # At most ``max_rows`` rows per bracket reach this running sum.
-    running = F.sum("cnt").over(Window.partitionBy("g").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
-    places = F.array(
-        *[F.array(*[F.lit(t[1] - below).cast("long") for t in ranks]) for (_, _, _, below), ranks in groups.items()]
-    )
-    rows = runs.withColumn("upto", running).where(
-        F.exists(F.get(places, F.col("g")), lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("cnt")))
-    )
-    keys = list(groups)
-    for r in rows.collect():
-        below = keys[r["g"]][3]
-        for t in groups[keys[r["g"]]]:
-            if r["upto"] - r["cnt"] <= t[1] - below < r["upto"]:
-                found[t] = r["x"]
-    return found
+        narrowed(wide, by_value=False)
+    if open_:
+        narrowed(list(open_), by_value=True)
+    for i, own in enumerate(out):
+        if not own["n"]:
+            continue
+        own["quantiles"] = []
+        for p in probs:
+            place_ = p * (own["n"] - 1)
+            low = int(place_)
+            a, b = found[(i, low)], found[(i, min(low + 1, own["n"] - 1))]
+            own["quantiles"].append(a if a == b else a + (b - a) * (place_ - low))
+    return out
+
+
+def exact_quantiles(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], max_rows: int = EXACT_ROWS
+) -> dict[str, list[float | None]]:
+    """Exact linear-interpolated quantiles of numeric columns, see :func:`number_ranges`."""
+    return {c: own["quantiles"] for c, own in zip(columns, number_ranges(df, columns, probs, max_rows), strict=True)}
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
     """PRF-2: count, min, max and the 1st / 99th percentile per numeric column."""
     names = _numeric_columns(df, columns if columns is not None else df.columns)
-    fields = []
-    aggregates = []
-    quantiles = {} if approximate else exact_quantiles(df, names, [0.01, 0.99])
+    schema = "column string, non_null long, numeric_min double, numeric_max double, p01 double, p99 double"
+    if not approximate:
+        found = zip(names, number_ranges(df, names, [0.01, 0.99]), strict=True)
+        return literal_rows(df.sparkSession, [(c, own["n"], own["low"], own["high"], *own["quantiles"]) for c, own in found if own["n"]], schema)
+    fields, aggregates = [], []
     for i, c in enumerate(names):
         x = _number(df, c)
-        aggregates += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-        if approximate:
-            aggregates.append(F.percentile_approx(x, F.lit([0.01, 0.99]), F.lit(10_000)).alias(f"p{i}"))
-            p01, p99 = F.col(f"p{i}")[0], F.col(f"p{i}")[1]
-        else:
-            p01, p99 = (F.lit(v).cast("double") for v in quantiles[c])
+        aggregates += [
+            F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
+            F.percentile_approx(x, F.lit([0.01, 0.99]), F.lit(10_000)).alias(f"p{i}"),
+        ]
         fields.append(
             F.struct(
                 F.lit(c).alias("column"),
                 F.col(f"n{i}").alias("non_null"),
                 F.col(f"lo{i}").alias("numeric_min"),
                 F.col(f"hi{i}").alias("numeric_max"),
-                p01.alias("p01"),
-                p99.alias("p99"),
+                F.col(f"p{i}")[0].alias("p01"),
+                F.col(f"p{i}")[1].alias("p99"),
             )
         )
     return df.agg(*aggregates).select(F.explode(F.array(*fields)).alias("r")).select("r.*").where("non_null > 0")
@@ -304,9 +291,26 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def few_valued(df: DataFrame, columns: Sequence[str], most: int) -> list[str]:
+    """Columns that may have at most ``most`` distinct texts; those that surely have more than twice as many are left out.
+
+    While few of its 512 registers are hit, the estimate is a count of those that are not: d values hit at most d of them,
+    so up to 200 values it comes out at most at 512 * ln(512 / (512 - d)), less than twice their number.
+    """
+    if not columns or most > 200:
+        return list(columns)
+    seen = df.agg(*[F.approx_count_distinct(q(c), 0.05).alias(f"d{i}") for i, c in enumerate(columns)]).first()
+    return [c for i, c in enumerate(columns) if seen[f"d{i}"] <= 2 * most]
+
+
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, n: int = 8, max_distinct: int = 50) -> DataFrame:
-    """PRF-4: most frequent values of columns with few distinct ones: ``column, value, cnt, rank``."""
-    names = _text_columns(df, columns if columns is not None else df.columns)
+    """PRF-4: most frequent values of columns with few distinct ones: ``column, value, cnt, rank``.
+
+    Columns with many values drop out after one pass of sketches; of the others a task sends a few values each.
+    """
+    names = few_valued(df, _text_columns(df, columns if columns is not None else df.columns), max_distinct)
+    if not names:
+        return literal_rows(df.sparkSession, [], "column string, value string, cnt long, rank int")
     index = value_index(long_form(df, names)).select("column", "value", "cnt")
     # One bounded ranking decides both questions: who leads, and is there a 51st value.
     ranked = top_n(index, ["column"], [F.desc("cnt"), F.col("value")], max_distinct + 1, ["value"], "rank")

@@ -21,6 +21,7 @@ from fieldwarden.functions.patterns import (
 from fieldwarden.functions.steps import Flag, Step, common_steps, entity_steps, sample_step, whole_cell_step
 from fieldwarden.functions.text import as_text
 from fieldwarden.functions.tokens import strategy_label
+from fieldwarden.operators.scan import ScanResult
 from fieldwarden.operators.values import literal_rows, q
 
 DEFAULT_SALT = "api-remediation-salt"
@@ -78,11 +79,26 @@ class RemediationResult:
         return literal_rows(self.data.sparkSession, rows, AUDIT_SCHEMA)
 
 
-def _collect_findings(findings: DataFrame, source: str | None) -> list[dict]:
-    if source is not None and "source" in findings.columns:
-        findings = findings.where(F.col("source") == source)
-    wanted = [c for c in ["column", "pattern", "risk", "detection_source", *SAMPLE_COLUMNS] if c in findings.columns]
-    return [r.asDict() for r in findings.select(*wanted).collect()]
+def _collect_findings(findings: DataFrame | ScanResult, source: str | None, registry: PatternRegistry) -> list[dict]:
+    """Findings of one source as plain rows; a table of several needs ``source``.
+
+    The kinds of findings are asked for first; examples only where some finding is neither of a rule nor of a recogniser.
+    """
+    kinds = findings.kinds if isinstance(findings, ScanResult) else findings
+    table = findings.findings if isinstance(findings, ScanResult) else findings
+
+    def read(df: DataFrame, names: Iterable[str]) -> list[dict]:
+        own = df.where(F.col("source") == source) if source is not None and "source" in df.columns else df
+        return [r.asDict() for r in own.select(*[c for c in names if c in df.columns]).collect()]
+
+    names = ["column", "pattern", "risk", "detection_source"]
+    if source is None and "source" in kinds.columns:
+        names.append("source")
+    rows = read(kinds, names)
+    if len({r.get("source") for r in rows}) > 1:
+        raise ValueError("findings of several sources: name the one to apply, or use remediate_files")
+    known = lambda r: r.get("detection_source") in ENTITY_SOURCES or (r.get("detection_source") == REGEX_SOURCE and r["pattern"] in registry)
+    return rows if all(known(r) for r in rows) else read(table, [*names, *SAMPLE_COLUMNS])
 
 
 def plan_steps(
@@ -211,7 +227,7 @@ def _result(df: DataFrame, steps: dict[str, list[Step]], mode: str, file_name: s
 
 def remediate(
     df: DataFrame,
-    findings: DataFrame,
+    findings: DataFrame | ScanResult,
     mode: str = "redact",
     salt: str = DEFAULT_SALT,
     include_review: bool = True,
@@ -227,12 +243,13 @@ def remediate(
 ) -> RemediationResult:
     """REM-15: apply findings to all rows, then the free-text fallbacks on touched columns.
 
-    ``findings`` may cover many tables; ``source`` picks the rows of this one.
+    ``findings`` is a table or, without a ranking of examples, the result of a scan. If it covers several tables,
+    ``source`` picks the rows of this one.
     Null cells stay null, and every column with a step is returned as text.
     ``patterns`` limits the rules (empty or ``None`` means all).
     """
     selected = set(patterns) if patterns else None
-    rows = _collect_findings(findings, source)
+    rows = _collect_findings(findings, source, registry)
     steps = plan_steps(
         df.columns, rows, mode, salt, include_review, person, location, common, dates, selected, registry,
         protect_tokens,
@@ -256,11 +273,13 @@ def redact_text(
     return _result(df, steps, mode, file_name)
 
 
-def anonymise(df: DataFrame, findings: DataFrame, source: str | None = None,
+def anonymise(df: DataFrame, findings: DataFrame | ScanResult, source: str | None = None,
               registry: PatternRegistry = DEFAULT_REGISTRY) -> DataFrame:
-    """REM-16: plain ``<PII:pattern>`` tags; whole cells by rule, examples by literal."""
+    """REM-16: plain ``<PII:pattern>`` tags; whole cells by rule, examples by literal, in the order of the registry."""
     steps: dict[str, list[Step]] = {}
-    for finding in _collect_findings(findings, source):
+    place = {name: i for i, name in enumerate(registry.names)}
+    rows = _collect_findings(findings, source, registry)
+    for finding in sorted(rows, key=lambda f: (str(f.get("column")), place.get(f.get("pattern"), len(place)), str(f.get("pattern")))):
         column, pattern = finding.get("column"), finding.get("pattern")
         if column not in df.columns or not pattern:
             continue

@@ -20,10 +20,11 @@ from fieldwarden.functions.patterns import (
     contains_any,
 )
 from fieldwarden.functions.text import has_more_than_three_words, lit_strings
-from fieldwarden.operators.entities import entity_scan, entity_values
+from fieldwarden.operators.entities import entity_hits, entity_scan, entity_values
 from fieldwarden.operators.values import (
     literal_rows,
     long_form,
+    q,
     sample_values,
     stripped_cells,
     top_n,
@@ -32,6 +33,7 @@ from fieldwarden.operators.values import (
 KEYS = ["source", "column"]
 EXAMPLES = 5
 DOMINANT_SHARE = 0.8
+KIND_COLUMNS = ["source", "column", "pattern", "risk", "detection_source"]
 FINDING_COLUMNS = [
     "source", "column", "pattern", "confidence", "risk", "matches", "sample_size", "match_pct",
     "entity_score", "sample_match_1", "sample_match_2", "sample_match_3", "sample_match_4",
@@ -41,14 +43,23 @@ FINDING_COLUMNS = [
 
 @dataclass
 class ScanResult:
-    """Findings, and per-source statistics that are only planned when asked for."""
+    """Findings, and what is only planned when asked for: per-source statistics, and the kinds of findings alone.
+
+    ``kinds`` has source, column, pattern, risk and detection source of every finding; without examples and shares it needs
+    no ranking, which is all that a rewriting by rules and recognisers asks for.
+    """
 
     findings: DataFrame
-    build_stats: Callable[[], DataFrame]
+    build_stats: Callable[[DataFrame], DataFrame]
+    build_kinds: Callable[[], DataFrame] | None = None
+
+    @cached_property
+    def kinds(self) -> DataFrame:
+        return self.build_kinds() if self.build_kinds else self.findings.select(*KIND_COLUMNS)
 
     @cached_property
     def stats(self) -> DataFrame:
-        return self.build_stats()
+        return self.build_stats(self.findings)
 
 
 def column_shape(sample: DataFrame) -> DataFrame:
@@ -169,7 +180,7 @@ def scan_sample(
         allowed = gated.where("scanned AND entity_gate").select(*KEYS, "sample_size")
         hits = entity_scan(sample.join(allowed, KEYS, "left_semi"), spans)
         findings = findings.unionByName(_entity_findings(hits, allowed))
-    return ScanResult(findings, lambda: _stats(columns, gated.select(*KEYS, "scanned"), findings))
+    return ScanResult(findings, lambda found: _stats(columns, gated.select(*KEYS, "scanned"), found))
 
 
 def _rated(rows: DataFrame, registry: PatternRegistry) -> DataFrame:
@@ -234,7 +245,7 @@ def scan(
     return scan_sample(sample, column_list(df, source, columns), registry, entities, spans)
 
 
-def _tallied(cells: DataFrame, registry: PatternRegistry) -> tuple[DataFrame, DataFrame]:
+def tallied(cells: DataFrame, registry: PatternRegistry) -> tuple[DataFrame, DataFrame]:
     """One row per column with its shape and tallies, and the first matching values per column and rule.
 
     Every step aggregates partially per task; examples come from a two-level
@@ -264,7 +275,10 @@ def _tallied(cells: DataFrame, registry: PatternRegistry) -> tuple[DataFrame, Da
     entries = F.concat(F.array(F.lit(-1)), registry.rules_of(F.col("mask")))
     exploded = masked.select(*KEYS, "value", "cnt", "first_rid", "chars", "wordy", F.explode(entries).alias("rule_order"))
     tallies = exploded.groupBy(*KEYS, "rule_order").agg(
-        F.count(F.lit(1)).alias("matches"), F.sum("cnt").alias("rows"), F.sum("chars").alias("chars"), F.sum("wordy").alias("wordy")
+        F.count(F.lit(1)).alias("matches"),
+        # both branches read every column of the index; that keeps their plans below the exchange equal, and the exchange shared
+        F.sum(F.when(F.col("first_rid").isNotNull(), F.col("cnt"))).alias("rows"),
+        F.sum("chars").alias("chars"), F.sum("wordy").alias("wordy"),
     )
     # At most one entry per rule and column; the totals entry is read beside the others.
     grouped = tallies.groupBy(*KEYS).agg(F.collect_list(F.struct("rule_order", "matches", "rows", "chars", "wordy")).alias("t"))
@@ -281,7 +295,7 @@ def _tallied(cells: DataFrame, registry: PatternRegistry) -> tuple[DataFrame, Da
     )
     firsts = (
         top_n(
-            exploded.where("rule_order >= 0"), [*KEYS, "rule_order"], [F.col("first_rid"), F.col("value")],
+            exploded.where("rule_order >= 0 AND cnt > 0 AND chars >= 0 AND wordy >= 0"), [*KEYS, "rule_order"], [F.col("first_rid"), F.col("value")],
             EXAMPLES, ["value"], "k",
         )
         .groupBy(*KEYS, "rule_order")
@@ -291,22 +305,23 @@ def _tallied(cells: DataFrame, registry: PatternRegistry) -> tuple[DataFrame, Da
     return per_column, firsts
 
 
-def _rule_rows(per_column: DataFrame, firsts: DataFrame, registry: PatternRegistry) -> DataFrame:
-    counts = per_column.select(*KEYS, "sample_size", "total_rows", F.explode("t").alias("x")).select(
-        *KEYS, "sample_size", "total_rows", "x.rule_order", "x.matches", "x.rows"
+def _rule_rows(per_column: DataFrame, firsts: DataFrame | None, registry: PatternRegistry) -> DataFrame:
+    own = [*KEYS, *(["name"] if "name" in per_column.columns else [])]
+    counts = per_column.select(*own, "sample_size", "total_rows", F.explode("t").alias("x")).select(
+        *own, "sample_size", "total_rows", "x.rule_order", "x.matches", "x.rows"
     )
     named = F.get(lit_strings(registry.names), F.col("rule_order"))
-    return counts.join(firsts, [*KEYS, "rule_order"]).withColumn("pattern", named)
+    return (counts if firsts is None else counts.join(firsts, [*KEYS, "rule_order"])).withColumn("pattern", named)
 
 
 def full_counts(cells: DataFrame, registry: PatternRegistry = DEFAULT_REGISTRY) -> DataFrame:
     """DET-7 counts over all distinct values: ``matches`` (distinct) and ``rows`` (weighted)."""
-    return _rule_rows(*_tallied(cells, registry), registry)
+    return _rule_rows(*tallied(cells, registry), registry)
 
 
 def full_shape(cells: DataFrame, registry: PatternRegistry = DEFAULT_REGISTRY) -> DataFrame:
     """PRD-4 over every distinct value of a column."""
-    per_column, _ = _tallied(cells, registry)
+    per_column, _ = tallied(cells, registry)
     return per_column.select(
         *KEYS, "sample_size", "avg_length", "wordy_share", free_text(F.col("avg_length"), F.col("wordy_share")).alias("free_text")
     )
@@ -320,26 +335,60 @@ def scan_cells(
     spans: Callable[[Column], Column] = rule_spans,
 ) -> ScanResult:
     """DET-5..7 over every distinct value of any number of sources (stripped ``source, column, value, rid``)."""
-    per_column, firsts = _tallied(cells, registry)
+    per_column, firsts = tallied(cells, registry)
+    return scan_tallies(per_column.withColumn("name", F.col("column")), firsts, cells, columns, registry, entities, spans)
+
+
+def scan_tallies(
+    per_column: DataFrame,
+    firsts: DataFrame,
+    cells: DataFrame,
+    columns: DataFrame,
+    registry: PatternRegistry = DEFAULT_REGISTRY,
+    entities: bool = True,
+    spans: Callable[[Column], Column] = rule_spans,
+) -> ScanResult:
+    """Findings and statistics from tallies; ``name`` is how a column is shown, ``column`` how its cells are keyed."""
     is_free = free_text(F.col("avg_length"), F.col("wordy_share"))
-    wanted = priority(F.col("column"))
+    wanted = priority(F.col("name"))
     ruled = F.col("most") / F.col("sample_size") >= DOMINANT_SHARE
     gated = per_column.select(
         "*",
-        scan_gate(F.col("source"), F.col("column"), is_free).alias("scanned"),
+        scan_gate(F.col("source"), F.col("name"), is_free).alias("scanned"),
         ((is_free | wanted) & (wanted | ~ruled)).alias("entity_gate"),
     )
-    findings = _as_findings(_rated(_rule_rows(gated.where("scanned"), firsts, registry), registry))
-    if entities:
-        allowed = gated.where("scanned AND entity_gate").select(*KEYS, "sample_size")
+    scanned = gated.where("scanned")
+    rules = _rule_rows(scanned, firsts, registry).drop("column").withColumnRenamed("name", "column")
+    findings = _as_findings(_rated(rules, registry))
+    allowed = gated.where("scanned AND entity_gate").select(*KEYS, "name", "sample_size")
+
+    def values() -> DataFrame:
         # one row per column
-        own = cells.join(F.broadcast(allowed.select(*KEYS)), KEYS, "left_semi")
-        findings = findings.unionByName(_entity_findings(entity_scan(entity_values(own, spans), spans), allowed))
-    return ScanResult(findings, lambda: _stats(columns, gated.select(*KEYS, "scanned"), findings))
+        return entity_values(cells.join(F.broadcast(allowed.select(*KEYS)), KEYS, "left_semi"), spans)
+
+    if entities:
+        findings = findings.unionByName(_entity_findings(entity_scan(values(), spans), allowed))
+
+    def kinds() -> DataFrame:
+        plain = _rule_rows(scanned, None, registry).drop("column").withColumnRenamed("name", "column")
+        found = _rated(plain, registry).select(*KIND_COLUMNS)
+        if not entities:
+            return found
+        named = entity_hits(values(), spans).select(*KEYS, "entity").distinct().join(allowed, KEYS)
+        return found.unionByName(
+            named.select("source", F.col("name").alias("column"), F.col("entity").alias("pattern"), F.lit("REVIEW").alias("risk"), F.lit(ENTITY_SOURCE).alias("detection_source"))
+        )
+
+    shape = gated.select("source", F.col("name").alias("column"), "scanned")
+    return ScanResult(findings, lambda found: _stats(columns, shape, found), kinds)
 
 
 def _entity_findings(hits: DataFrame, allowed: DataFrame) -> DataFrame:
-    found = hits.join(allowed, KEYS).select(
+    if "name" in allowed.columns:
+        hits = hits.join(allowed, KEYS).drop("column").withColumnRenamed("name", "column")
+    else:
+        hits = hits.join(allowed, KEYS)
+    found = hits.select(
         *KEYS, "matches", "sample_size", "entity_score", "examples",
         F.col("entity").alias("pattern"),
         F.lit("AI").alias("confidence"),
@@ -350,6 +399,25 @@ def _entity_findings(hits: DataFrame, allowed: DataFrame) -> DataFrame:
     return _as_findings(found)
 
 
+def scan_files(
+    df: DataFrame,
+    source: str,
+    *,
+    columns: Sequence[str] | None = None,
+    order_by: str | Sequence[str] | None = None,
+    entities: bool = True,
+    spans: Callable[[Column], Column] = rule_spans,
+    registry: PatternRegistry = DEFAULT_REGISTRY,
+) -> ScanResult:
+    """DET-6 for rows of many files of one layout: ``df[source]`` names a row's file, rows without a name are left out."""
+    names = list(columns) if columns is not None else [c for c in df.columns if c != source]
+    named = df.where(q(source).isNotNull())
+    cells = stripped_cells(long_form(named, names, order_by, q(source).cast("string")))
+    listing = named.select(q(source).cast("string").alias("source")).distinct()
+    listing = listing.select("source", F.explode(F.array(*[F.lit(n) for n in names])).alias("column"))
+    return scan_cells(cells, listing, registry, entities, spans)
+
+
 def full_scan(
     df: DataFrame,
     source: str,
@@ -364,5 +432,5 @@ def full_scan(
 
 __all__ = [
     "ScanResult", "FINDING_COLUMNS", "column_shape", "free_text", "candidate", "priority", "scan_gate",
-    "match_counts", "scan_sample", "scan_cells", "scan", "full_counts", "full_shape", "full_scan", "column_list", "sample_values",
+    "match_counts", "scan_sample", "scan_cells", "scan_tallies", "tallied", "scan", "scan_files", "full_counts", "full_shape", "full_scan", "column_list", "sample_values",
 ]

@@ -110,6 +110,16 @@ MANY_CELLS = ", ".join(_PARTS) + ", cells AS (" + " UNION ALL ".join(
     f"SELECT * FROM {n}_cells" for n in ("contact", *STOCK)
 ) + ")"
 MANY_FINDINGS = findings(MANY_CELLS, CONTACTS)
+STOCK_TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+    "benchmark", "labels", "conversations",
+)
+DIRECTORY_CELLS = "cells AS (" + " UNION ALL ".join(
+    f"SELECT '{t}.parquet' AS source, 0 AS rid, \"column\", regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS raw "
+    f"FROM (UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM {t}) ON COLUMNS(*) INTO NAME \"column\" VALUE raw)"
+    for t in STOCK_TABLES
+) + ")"
+DIRECTORY_FINDINGS = findings(DIRECTORY_CELLS, CONTACTS)
 MANY_COLUMNS = " UNION ALL ".join(
     f"SELECT {sql_text(t)} AS source, {sql_text(c)} AS \"column\""
     for t, cols in [("contacts", CONTACT_VALUES), *[(t, c) for t, (_, c) in STOCK.items()]]
@@ -448,6 +458,13 @@ ORACLES: dict[str, str] = {
         "array_to_string((list(value ORDER BY rn))[1:5], '|') AS examples FROM hit h JOIN size s ON h.\"column\" = s.\"column\" GROUP BY h.\"column\", pattern"
     ),
     "scan_findings": MANY_FINDINGS + "SELECT * FROM findings",
+    "scan_directory_rules": DIRECTORY_FINDINGS
+    + "SELECT source, \"column\", pattern, confidence, risk, matches, sample_size, match_pct, detection_source FROM findings",
+    "scan_directory_states": DIRECTORY_FINDINGS + (
+        "SELECT s.source AS file, 'SUCCESS' AS state, count(CASE WHEN scanned THEN 1 END) AS columns_scanned, "
+        "cast(coalesce(any_value(f.n), 0) AS BIGINT) AS findings FROM shape s "
+        "LEFT JOIN (SELECT source, count(*) AS n FROM findings GROUP BY ALL) f ON s.source = f.source GROUP BY s.source"
+    ),
     "scan_stats": MANY_FINDINGS + (
         f", listed AS ({MANY_COLUMNS}) SELECT l.source, count(CASE WHEN coalesce(s.scanned, {has_hint('l.\"column\"', CANDIDATE_HINTS)}) THEN 1 END) AS columns_scanned, "
         "cast(coalesce(sum(f.n), 0) AS BIGINT) AS findings FROM listed l LEFT JOIN shape s ON l.source = s.source AND l.\"column\" = s.\"column\" "
@@ -461,6 +478,13 @@ ORACLES: dict[str, str] = {
         "SELECT pattern, count(*) AS matches, cast(sum(cnt) AS BIGINT) AS rows, (SELECT count(*) FROM idx) AS sample_size, (SELECT cast(sum(cnt) AS BIGINT) FROM idx) AS total_rows FROM hit GROUP BY pattern"
     ),
     "entity_scan_documents": entity_rows("SELECT DISTINCT regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM documents WHERE trim(text) <> ''"),
+    "scan_entities_many": " UNION ALL ".join(
+        f"SELECT '{name}' AS source, entity, matches, entity_score FROM ({entity_rows(texts)})"
+        for name, texts in (
+            ("documents", "SELECT DISTINCT regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM documents WHERE trim(text) <> ''"),
+            ("talk", f"SELECT DISTINCT regexp_replace({TALK_TEXT}, '^\\s+|\\s+$', '', 'g') AS text FROM conversations"),
+        )
+    ),
     "entity_scan_conversations": entity_rows(
         f"SELECT DISTINCT regexp_replace({TALK_TEXT}, '^\\s+|\\s+$', '', 'g') AS text FROM conversations"
     ),
@@ -508,6 +532,14 @@ ORACLES: dict[str, str] = {
         ", lits AS (SELECT sample_match_1 AS a, sample_match_2 AS b, sample_match_3 AS c, sample_match_4 AS d, sample_match_5 AS e FROM findings WHERE \"column\" = 'email' AND pattern = 'email') "
         "SELECT rid, " + "replace(" * 5 + "email, a, '<PII_REDACT:email>'), b, '<PII_REDACT:email>'), c, '<PII_REDACT:email>'), d, '<PII_REDACT:email>'), e, '<PII_REDACT:email>') AS email FROM contacts, lits"
     ),
+    "remediate_many_files": "SELECT c_custkey AS rid, concat('part', c_custkey % 3, '.csv') AS file, "
+    "CASE WHEN c_custkey % 3 = 1 THEN concat('write to user', c_custkey, '@example.com') "
+    "WHEN c_custkey % 10 = 0 THEN 'write to <PII_REDACT:email>' ELSE '<PII_REDACT:email>' END AS email, "
+    "CASE WHEN c_custkey % 3 <> 2 THEN '<PII_REDACT:ssn>' END AS ssn FROM customer",
+    "remediate_many_audit": "SELECT concat('part', c_custkey % 3, '.csv') AS file_name, 'email' AS \"column\", 'email' AS pattern, "
+    "CASE WHEN c_custkey % 10 = 0 THEN 'STRICT_FALLBACK' ELSE 'REGEX_RULE' END AS detection_source, 'REDACT' AS strategy, count(*) AS cells_changed "
+    "FROM customer WHERE c_custkey % 3 <> 1 GROUP BY ALL UNION ALL "
+    "SELECT concat('part', c_custkey % 3, '.csv'), 'ssn', 'ssn', 'REGEX_RULE', 'REDACT', count(*) FROM customer WHERE c_custkey % 3 <> 2 GROUP BY ALL",
     "redact_documents": redaction_stages("SELECT doc_id, text FROM {last}"),
     "redact_documents_audit": redaction_stages(
         "SELECT * FROM (" + " UNION ALL ".join(
@@ -561,6 +593,14 @@ ORACLES: dict[str, str] = {
         f"SELECT '{c}' AS \"column\", count(*) AS rows, count({c}) AS non_null, round_even((count(*) - count({c})) / count(*) * 100, 2) AS null_pct, count(DISTINCT {c}) AS \"distinct\", round_even(count(DISTINCT {c}) / count({c}) * 100, 2) AS distinct_pct FROM contacts"
         for c in AUTO_COLUMNS
     ),
+    "profile_merged": f"WITH {CONTACTS} SELECT 'rid' AS \"column\", count(*) AS rows, count(rid) AS non_null, "
+    "round_even((count(*) - count(rid)) / count(*) * 100, 2) AS null_pct, cast(min(rid) AS DOUBLE) AS numeric_min, cast(max(rid) AS DOUBLE) AS numeric_max, "
+    "cast(NULL AS INTEGER) AS len_min, cast(NULL AS INTEGER) AS len_max, cast(NULL AS DOUBLE) AS trimmed_pct, true AS distinct_within FROM contacts UNION ALL "
+    + " UNION ALL ".join(
+        f"SELECT '{c}', count(*), count({c}), round_even((count(*) - count({c})) / count(*) * 100, 2), NULL, NULL, "
+        f"cast(min(length({c})) AS INTEGER), cast(max(length({c})) AS INTEGER), 100.0, {within} FROM contacts"
+        for c, within in (("email", "true"), ("phone", "abs(count(DISTINCT phone) / count(phone) - 1) <= 0.05"))
+    ),
     "profile_numeric": " UNION ALL ".join(_numeric(t, c) for t, cols in NUMERIC.items() for c in cols),
     "profile_text": " UNION ALL ".join(_text(t, c) for t, cols in TEXT.items() for c in cols),
     "top_values": "SELECT \"column\", value, cnt, cast(rank AS INTEGER) AS rank FROM (" + " UNION ALL ".join(

@@ -13,7 +13,9 @@ from fieldwarden.functions.steps import context_digits
 from fieldwarden.operators import anomaly, autogen, expectations, privacy, profile, quality, reports, responses, scan
 from fieldwarden.operators.entities import entity_scan, entity_values
 from fieldwarden.operators.expectations import Expectation
+from fieldwarden.operators.profile_state import merged_state, profile_of, profile_state
 from fieldwarden.operators.remediate import anonymise, redact_text, remediate
+from fieldwarden.operators.remediate_files import remediate_files
 from fieldwarden.operators.values import (
     first_cells,
     first_values,
@@ -25,7 +27,7 @@ from fieldwarden.operators.values import (
     stripped_cells,
     value_index,
 )
-from fieldwarden.plans.tables import CONTACT_COLUMNS, CONTACT_VALUES, IDENTITY_VALUES, contacts, derived, doc_tokens, identities, notes, shared_dir, table, talk
+from fieldwarden.plans.tables import CONTACT_COLUMNS, CONTACT_VALUES, IDENTITY_VALUES, contacts, derived, doc_tokens, files, identities, notes, shared_dir, table, talk
 from fieldwarden.sources.catalog import file_states, list_files, scan_path, scan_tables
 from fieldwarden.sources.readers import text_lines
 from fieldwarden.streaming import remediate_stream, write_remediated
@@ -75,8 +77,12 @@ def pattern_counts(spark, d):
     )
 
 
+def _contact_scan(spark, d) -> scan.ScanResult:
+    return scan.scan(contacts(spark, d), "contacts", columns=CONTACT_VALUES, order_by="rid", entities=False)
+
+
 def _contact_findings(spark, d) -> DataFrame:
-    return scan.scan(contacts(spark, d), "contacts", columns=CONTACT_VALUES, order_by="rid", entities=False).findings
+    return _contact_scan(spark, d).findings
 
 
 def _many(spark, d):
@@ -195,7 +201,7 @@ def findings_without_samples(spark, d):
 
 def _remediated(spark, d, mode):
     return remediate(
-        contacts(spark, d), _contact_findings(spark, d), mode=mode, salt="s", common=False, file_name="contacts.csv"
+        contacts(spark, d), _contact_scan(spark, d), mode=mode, salt="s", common=False, file_name="contacts.csv"
     )
 
 
@@ -235,7 +241,24 @@ def total_cells(spark, d):
 
 @query
 def anonymised_cells(spark, d):
-    return _long(anonymise(contacts(spark, d), _contact_findings(spark, d)), CONTACT_VALUES)
+    return _long(anonymise(contacts(spark, d), _contact_scan(spark, d)), CONTACT_VALUES)
+
+
+def _files(spark, d):
+    """Three files of one layout whose columns hold different things, rewritten in one plan."""
+    rows = files(spark, d)
+    found = scan.scan_files(rows, "file", columns=["email", "ssn"], order_by="rid", entities=False).findings
+    return remediate_files(rows, found, "file")
+
+
+@query
+def remediate_many_files(spark, d):
+    return _files(spark, d).data
+
+
+@query
+def remediate_many_audit(spark, d):
+    return _files(spark, d).audit
 
 
 @query
@@ -427,6 +450,17 @@ def profile_numeric(spark, d):
     return out.select("column", "non_null", *rounded)
 
 
+@query
+def profile_merged(spark, d):
+    """States of four parts of a table, merged; the exact fields."""
+    rows = contacts(spark, d).withColumn("part", F.pmod("rid", F.lit(4)))
+    states = profile_state(rows, ["rid", "email", "phone"], ["part"])
+    return profile_of(merged_state(states)).select(
+        "column", "rows", "non_null", "null_pct", "numeric_min", "numeric_max", "len_min", "len_max", "trimmed_pct",
+        (F.abs(F.col("approx_distinct") / F.col("non_null") - 1) <= 0.05).alias("distinct_within"),
+    )
+
+
 @query
 def profile_text(spark, d):
     out = None
@@ -733,12 +767,38 @@ def file_catalog(spark, d):
     )
 
 
+def _by_table(found: DataFrame) -> DataFrame:
+    """Findings by the table that a file is, or is a part of."""
+    return found.select(
+        F.regexp_extract("source", r"([^/]+\.parquet)(?:/[^/]+)?$", 1).alias("source"), "column", "pattern", "confidence", "risk",
+        "matches", "sample_size", "match_pct", "detection_source",
+    )
+
+
 @query
 def scan_directory(spark, d):
-    return scan_path(spark, d, entities=False).findings.select(
-        F.element_at(F.split("source", "/"), -1).alias("source"), "column", "pattern", "confidence", "risk",
-        "matches", "sample_size", "match_pct",
-    )
+    return _by_table(scan_path(spark, d).findings)
+
+
+@query
+def scan_directory_rules(spark, d):
+    return _by_table(scan_path(spark, d, entities=False).findings)
+
+
+@query
+def scan_directory_states(spark, d):
+    """Files that were read, with the columns that a scan looked into."""
+    done = scan_path(spark, d, entities=False)
+    own = done.status.join(done.stats.withColumnRenamed("source", "file"), "file")
+    return own.select(F.regexp_extract("file", r"([^/]+\.parquet)(?:/[^/]+)?$", 1).alias("file"), "state", "columns_scanned", "findings")
+
+
+@query
+def scan_entities_many(spark, d):
+    """Entities over several tables at once."""
+    tables = {"documents": (_documents(spark, d), "doc_id"), "talk": (talk(spark, d), ["conv_id", "turn"])}
+    found = scan_tables(tables, {"documents": ["text"], "talk": ["text"]}).findings.where("confidence = 'AI'")
+    return found.select("source", F.col("pattern").alias("entity"), "matches", "entity_score")
 
 
 @query

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldwarden.operators.values import spread
+from fieldwarden.sources.scratch import shared_dir
 
 CONTACT_COLUMNS = {
     "rid": "c_custkey",
@@ -33,6 +34,14 @@ IDENTITY_COLUMNS = {
 }
 IDENTITY_VALUES = [c for c in IDENTITY_COLUMNS if c != "rid"]
 
+FILE_COLUMNS = {
+    "rid": "c_custkey",
+    "file": "concat('part', cast(c_custkey % 3 AS STRING), '.csv')",
+    "email": "CASE WHEN c_custkey % 3 = 1 OR c_custkey % 10 = 0 THEN concat('write to user', cast(c_custkey AS STRING), '@example.com') "
+    "ELSE concat('user', cast(c_custkey AS STRING), '@example.com') END",
+    "ssn": f"CASE WHEN c_custkey % 3 <> 2 THEN {CONTACT_COLUMNS['ssn']} END",
+}
+
 FIRST_NAMES = "CASE c_custkey % 5 WHEN 0 THEN 'Alice' WHEN 1 THEN 'Bruno' WHEN 2 THEN 'Carla' WHEN 3 THEN 'Deren' ELSE 'Elena' END"
 LAST_NAMES = "CASE c_nationkey % 3 WHEN 0 THEN 'Stone' WHEN 1 THEN 'Rivers' ELSE 'Marsh' END"
 VERBS = "CASE c_custkey % 3 WHEN 0 THEN 'called' WHEN 1 THEN 'emailed' ELSE 'reported' END"
@@ -74,6 +83,11 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(table(spark, sf_dir, "customer"), NOTE_COLUMNS)
 
 
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of three files: in one no cell is an address as a whole, in one a column is empty."""
+    return derived(table(spark, sf_dir, "customer"), FILE_COLUMNS)
+
+
 def talk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of ``conversations`` with an address, a date, a link or a number added."""
     return table(spark, sf_dir, "conversations").selectExpr("conv_id", "cast(turn AS INT) AS turn", f"{TALK_TEXT} AS text")
@@ -87,11 +101,4 @@ def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder all machines see, as the cluster names it; where none is named, one beside the warehouse of a local master."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/fieldwarden"
+__all__ = ["CONTACT_COLUMNS", "CONTACT_VALUES", "IDENTITY_VALUES", "contacts", "derived", "doc_tokens", "files", "identities", "notes", "shared_dir", "table", "talk"]

@@ -7,7 +7,6 @@ import zipfile
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,17 +15,11 @@ from pyspark.sql import types as T
 
 from fieldwarden.functions.entities import rule_spans
 from fieldwarden.functions.patterns import DEFAULT_REGISTRY, PatternRegistry
-from fieldwarden.operators.scan import ScanResult, scan_cells, scan_sample
+from fieldwarden.operators.scan import ScanResult, scan_cells, scan_sample, scan_tallies, tallied
 from fieldwarden.operators.values import first_values, literal_rows, long_form, sample_values, stripped_cells, value_index
-from fieldwarden.sources.readers import (
-    SUPPORTED,
-    UnsupportedSource,
-    extension_of,
-    flatten,
-    has_avro,
-    missing_tokens_to_null,
-    read_json,
-)
+from fieldwarden.sources.manifest import empty_files, file_states, held, list_files
+from fieldwarden.sources.readers import SUPPORTED, UnsupportedSource
+from fieldwarden.sources.scratch import kept
 
 # Members of these kinds hold one record per line (delimited ones below a header line).
 LINE_MEMBERS = ("txt", "jsonl", "csv")
@@ -40,111 +33,6 @@ class PathScan:
     status: DataFrame
 
 
-def list_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Every file below ``path``: ``file, extension, bytes, size_mb``.  Contents are never read."""
-    listed = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .select("path", "length")
-    )
-    name = F.element_at(F.split(F.lower("path"), "/"), -1)
-    return listed.select(
-        F.col("path").alias("file"),
-        F.when(name.contains("."), F.element_at(F.split(name, r"\."), -1)).otherwise("").alias("extension"),
-        F.col("length").alias("bytes"),
-        F.bround(F.col("length") / (1024 * 1024), 2).alias("size_mb"),
-    )
-
-
-def file_states(files: DataFrame, max_mb: float | None = None) -> DataFrame:
-    """SRC-11: SKIPPED for unknown kinds and oversized files, PENDING for the rest."""
-    too_large = F.lit(False) if max_mb is None else F.col("bytes") > F.lit(max_mb * 1024 * 1024)
-    state = (
-        F.when(~F.col("extension").isin(*SUPPORTED), "SKIPPED").when(too_large, "SKIPPED").otherwise("PENDING")
-    )
-    detail = (
-        F.when(~F.col("extension").isin(*SUPPORTED), "Unsupported file type")
-        .when(too_large, F.format_string(f"File is larger than {max_mb} MB"))
-        .otherwise("")
-    )
-    return files.select("file", "extension", "bytes", "size_mb", state.alias("state"), detail.alias("detail"))
-
-
-def _empty_files(spark: SparkSession, path: str | Sequence[str], listed: set[str]) -> list[str]:
-    """Supported files without a byte; a scan has nothing to read in them, so they are found by name."""
-    named = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).inputFiles()
-    known = {unquote(f).replace("file:///", "file:/") for f in named}
-    return sorted(f for f in known - listed if extension_of(f) in SUPPORTED)
-
-
-def _csv_groups(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
-    """Delimited files with the same header line, read together later.
-
-    The header is the first line of the first block of each file; the grouped
-    minimum returns one line per file.
-    """
-    rows = (
-        spark.read.text(list(paths))
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("at"),
-            F.monotonically_increasing_id().alias("rid"),
-            "value",
-        )
-        .where("at = 0")
-        .groupBy("file")
-        .agg(F.min_by("value", "rid").alias("header"))
-    )
-    groups: dict[str, list[str]] = {}
-    for r in rows.collect():
-        groups.setdefault(r["header"], []).append(r["file"])
-    return groups
-
-
-def _damaged(spark: SparkSession, files: Sequence[str]) -> list[str]:
-    """Parquet files whose rows cannot all be read although their footer can; one list entry for each such file."""
-    path = F.col("_metadata.file_path").alias("file")
-    read = spark.read.option("ignoreCorruptFiles", "true").parquet(*files)
-    promised = read.groupBy(path).agg(F.count(F.lit(1)).alias("promised"))
-    body = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in read.columns])
-    # the greatest hash is asked for so that every column is really read
-    found = read.groupBy(path).agg(F.count(F.lit(1)).alias("found"), F.max(body).alias("top"))
-    missing = (F.col("promised") > 0) & (F.col("top").isNull() | (F.col("found") < F.col("promised")))
-    short = promised.join(found, "file", "left").where(missing)
-    plain = lambda f: unquote(f).replace("file:///", "file:/")
-    known = {plain(f): f for f in files}
-    return [known[plain(r["file"])] for r in short.select("file").collect()]
-
-
-def _json_groups(spark: SparkSession, paths: Sequence[str]) -> tuple[list[list[str]], list[str]]:
-    """JSON Lines files by common shape, and files holding one document each.
-
-    One pass over the lines; per file it returns two counts and a type text.
-    """
-    lines = spark.read.text(list(paths)).select(
-        F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\ufeff", "").alias("line")
-    )
-    rows = (
-        lines.where(F.trim("line") != "")
-        .withColumn("parsed", F.try_parse_json("line"))
-        .groupBy("file")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(F.col("parsed").isNotNull() & F.trim("line").startswith("{")).alias("objects"),
-            F.schema_of_variant_agg("parsed").alias("shape"),
-        )
-    )
-    grouped: dict[str, list[str]] = {}
-    documents = []
-    for r in rows.collect():
-        if r["n"] > 1 and r["objects"] == r["n"]:
-            grouped.setdefault(r["shape"], []).append(r["file"])
-        else:
-            documents.append(r["file"])
-    return list(grouped.values()), documents
-
-
 def scan_path(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -153,109 +41,74 @@ def scan_path(
     entities: bool = True,
     spans=rule_spans,
     registry: PatternRegistry = DEFAULT_REGISTRY,
-    verify: bool = True,
 ) -> PathScan:
     """SRC-9: scan every readable file below a path, one source per file.
 
-    ``verify`` reads Parquet bodies once beforehand, so that a damaged file is reported as failed and the rest is
-    scanned; without it such a file fails the scan.
+    The names of files, their columns and the reasons of failures are tables from end to end (see
+    :mod:`fieldwarden.sources.manifest`); the number of jobs follows the number of formats and Parquet layouts. Values are
+    read once for the rules, and the columns that the entity gate lets through once more for the entities. The tallies, a
+    row for each file, column and rule, are kept in the shared folder: findings, statistics and status read them.
 
-    Files of one format and shape are read by one scan and told apart by their
-    path column, so the number of plans follows the number of layouts, not of
-    files.  The file list itself is metadata and is read on the driver.
+    A file that turns out to be damaged while it is scanned is reported as failed and gives no findings. Files that are
+    empty, blank or of no known layout fail with the reason; a path without any readable file gives empty findings.
     """
-    states = file_states(list_files(spark, path), max_mb)
-    listed = states.collect()
-    empty = _empty_files(spark, path, {r["file"] for r in listed})
-    states = states.unionByName(
-        literal_rows(
-            spark, [(f, extension_of(f), 0, 0.0, "PENDING", "") for f in empty],
-            "file string, extension string, bytes long, size_mb double, state string, detail string",
+    states = kept(file_states(list_files(spark, path), max_mb), "files")
+    empty = empty_files(spark, path, states)
+    if empty is not None:
+        blank = empty.where(F.col("extension").isin(*SUPPORTED)).select(
+            "file", "extension", F.lit(0).cast("long").alias("bytes"), F.lit(0.0).alias("size_mb"), F.lit("PENDING").alias("state"), F.lit("").alias("detail")
         )
-    )
-    todo = [r for r in listed if r["state"] == "PENDING"]
-    by_kind: dict[str, list[str]] = {}
-    for r in todo:
-        by_kind.setdefault(r["extension"], []).append(r["file"])
-    cells: list[DataFrame] = []
-    columns: list[tuple[str, str]] = []
-    failed: dict[str, str] = {}
-    file_path = F.col("_metadata.file_path")
+        states = kept(states.unionByName(blank), "files")
+    parts = held(spark, path, max_mb, states.where("bytes > 0"))
+    if not parts:
+        raise UnsupportedSource("no readable file was found")
 
-    def add(df: DataFrame, files: Sequence[str]) -> None:
-        names = [c for c in df.columns if c != "__file"]
-        cells.append(long_form(df, names, source=F.col("__file")))
-        columns.extend((f, n) for f in files for n in names)
+    def stacked(name: str, schema: str) -> DataFrame:
+        frames = [getattr(p, name) for p in parts if getattr(p, name) is not None]
+        return reduce(DataFrame.unionByName, frames, spark.createDataFrame([], schema))
 
-    def attempt(files: Sequence[str], build) -> None:
-        """Read files together; when that fails, one by one, so one bad file fails alone."""
-        try:
-            add(build(list(files)), files)
-        except Exception as error:
-            if len(files) == 1:
-                failed[files[0]] = str(error).splitlines()[0][:200]
-                return
-            for f in files:
-                attempt([f], build)
+    cells = stripped_cells(reduce(DataFrame.unionByName, [p.cells for p in parts]))
+    tags = stacked("tags", "file string, tag string").select(F.col("file").alias("source"), "tag")
+    names = stacked("names", "file string, raw string, column string").select(F.col("file").alias("source"), "raw", F.col("column").alias("given"))
+    sign, raw = F.substring("column", 2, 1), F.expr("substring(column, 3)")
 
-    def tag(raw: DataFrame) -> DataFrame:
-        return raw.select("*", file_path.alias("__file"))
+    def named(rows: DataFrame) -> DataFrame:
+        """Cells' keys by the reading that counts for their file, with the column's ``name``."""
+        own = rows.withColumn("tag", F.substring("column", 1, 1)).withColumn("raw", raw).join(tags, ["source", "tag"], "left_semi")
+        shown = own.join(names, ["source", "raw"], "left").where(F.col("given").isNotNull() | ~F.col("tag").isin("s", "m"))
+        return shown.withColumn("name", F.coalesce("given", "raw")).drop("tag", "raw", "given")
 
-    if "txt" in by_kind:
-        attempt(by_kind["txt"], lambda fs: tag(spark.read.text(fs)))
-    failed.update({f: "File is empty" for f in empty})
-    if "csv" in by_kind:
-        for files in _csv_groups(spark, by_kind["csv"]).values():
-            attempt(
-                files,
-                lambda fs: missing_tokens_to_null(
-                    tag(spark.read.csv(fs, header=True, inferSchema=False, quote='"', escape='"', multiLine=True))
-                ),
-            )
-    if "parquet" in by_kind:
-        shapes: dict[str, list[str]] = {}
-        for f in by_kind["parquet"]:
-            try:
-                shapes.setdefault(spark.read.parquet(f).schema.json(), []).append(f)
-            except Exception as error:
-                failed[f] = str(error).splitlines()[0][:200]
-        for files in shapes.values():
-            damaged = set(_damaged(spark, files)) if verify else set()
-            failed.update({f: "File body cannot be read" for f in damaged})
-            whole = [f for f in files if f not in damaged]
-            if whole:
-                attempt(whole, lambda fs: tag(spark.read.parquet(*fs)))
-    texts = by_kind.get("json", []) + by_kind.get("jsonl", [])
-    if texts:
-        grouped, documents = _json_groups(spark, texts)
-        for f in set(texts) - {f for files in grouped for f in files} - set(documents):
-            failed[f] = "empty JSON file"
-        for files in grouped:
-            attempt(files, lambda fs: flatten(tag(spark.read.json(fs))))
-        for f in documents:
-            attempt([f], lambda fs: read_json(spark, fs[0]).withColumn("__file", F.lit(fs[0])))
-    if "avro" in by_kind:
-        if has_avro(spark):
-            attempt(by_kind["avro"], lambda fs: tag(spark.read.format("avro").load(fs)))
-        else:
-            failed.update({f: "Avro needs the spark-avro module on the classpath" for f in by_kind["avro"]})
-
-    listing = literal_rows(spark, columns, "source string, column string")
-    if cells:
-        every = cells[0]
-        for part in cells[1:]:
-            every = every.unionByName(part)
-        every = stripped_cells(every)
-        if sample_limit is None:
-            result = scan_cells(every, listing, registry, entities, spans)
-        else:
-            result = scan_sample(first_values(value_index(every), sample_limit), listing, registry, entities, spans)
+    if sample_limit is None:
+        per_column, firsts = tallied(cells, registry)
+        per_column, firsts = kept(per_column, "tallies"), kept(firsts, "examples")
     else:
-        raise UnsupportedSource("no readable file was found")
-    reasons = literal_rows(spark, list(failed.items()), "file string, reason string")
+        first = kept(first_values(value_index(cells), sample_limit), "samples")
+        per_column, firsts = first.groupBy("source", "column").agg(F.sum("cnt").alias("total_rows")), None
+    signs = named(per_column.where(sign != ":"))
+    rows = stacked("rows", "file string, promised long, batches int")
+    read = signs.where(F.substring("column", 2, 1) == "=").groupBy(F.col("source").alias("file")).agg(F.min("total_rows").alias("found"), F.count("*").alias("seen"))
+    damaged = rows.join(read, "file", "left").where(
+        (F.col("promised") > 0) & (F.col("found").isNull() | (F.col("found") < F.col("promised")) | (F.col("seen") < F.col("batches")))
+    )
+    none = states.where("state = 'PENDING' and bytes = 0").select("file", F.lit("File is empty").alias("reason"))
+    failed = stacked("failed", "file string, reason string").unionByName(damaged.select("file", F.lit("File body cannot be read").alias("reason"))).unionByName(none)
+    failed = kept(failed.groupBy("file").agg(F.min("reason").alias("reason")), "failed")
+    gone = failed.select(F.col("file").alias("source"))
+    own = named(per_column.where(sign == ":")).join(gone, "source", "left_anti")
+    listing = stacked("listing", "file string, column string").select(F.col("file").alias("source"), "column")
+    listing = listing.unionByName(own.select("source", F.col("name").alias("column")))
+    listing = listing.unionByName(signs.where(F.substring("column", 2, 1) == "!").select("source", F.col("name").alias("column")))
+    listing = listing.distinct().join(gone, "source", "left_anti")
+    if sample_limit is None:
+        result = scan_tallies(own, firsts, cells, listing, registry, entities, spans)
+    else:
+        sample = named(first.where(sign == ":")).join(gone, "source", "left_anti").drop("column").withColumnRenamed("name", "column")
+        result = scan_sample(sample, listing, registry, entities, spans)
+    findings = kept(result.findings, "findings")
+    stats = kept(result.build_stats(findings), "stats")
     status = (
-        states.join(F.broadcast(reasons), "file", "left")
-        .join(result.stats.withColumnRenamed("source", "file"), "file", "left")
+        states.join(failed, "file", "left")
+        .join(stats.withColumnRenamed("source", "file"), "file", "left")
         .select(
             "file",
             F.when(F.col("reason").isNotNull(), "FAILED").when(F.col("state") == "PENDING", "SUCCESS")
@@ -271,7 +124,7 @@ def scan_path(
             ).alias("details"),
         )
     )
-    return PathScan(result.findings, result.stats, status)
+    return PathScan(findings, stats, status)
 
 
 def scan_many(results: Sequence[ScanResult]) -> ScanResult:
@@ -283,7 +136,7 @@ def scan_many(results: Sequence[ScanResult]) -> ScanResult:
             out = out.unionByName(f)
         return out
 
-    return ScanResult(stacked([r.findings for r in results]), lambda: stacked([r.stats for r in results]))
+    return ScanResult(stacked([r.findings for r in results]), lambda _: stacked([r.stats for r in results]))
 
 
 def scan_tables(

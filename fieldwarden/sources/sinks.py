@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from fieldwarden.functions.text import as_text
 from fieldwarden.functions.tokens import strategy_label
 from fieldwarden.operators.remediate import RemediationResult
+from fieldwarden.operators.remediate_files import FilesResult
 from fieldwarden.operators.values import q
 from fieldwarden.sources.readers import UnsupportedSource, has_avro
+from fieldwarden.sources.scratch import kept
 
 
 def as_text_table(df: DataFrame) -> DataFrame:
@@ -100,3 +102,50 @@ def write_bundle(
         f"{out_dir}/anonymization_manifest"
     )
     return report
+
+
+def write_files(
+    result: FilesResult,
+    out_dir: str,
+    extension: str = "csv",
+    include_review: bool = True,
+    mode: str = "errorifexists",
+) -> DataFrame:
+    """SNK-6 for many files in one job: their rows under ``files/file=<name>_cloud_ready.<extension>``, report and manifest.
+
+    Rows are dealt by file before they are written, large files over several tasks, so a file is not one part for each
+    task that holds some of its rows. Names keep their folders; the manifest counts the files, ``anonymized_files`` lists
+    them. Rows without a file name are in the partition that Spark names after nulls. Returns the remediation report.
+    """
+    if extension not in ("csv", "json", "jsonl", "parquet"):
+        raise UnsupportedSource(f"unsupported output type: {extension}")
+    spark = result.data.sparkSession
+    name = q(result.source).cast("string")
+    shown = F.when(name.isNotNull(), F.concat(F.regexp_replace(name, r"\.[^./]*$", ""), F.lit(f"_cloud_ready.{extension}")))
+    own = result.data.drop(result.source)
+    if "file" in own.columns:
+        raise ValueError("a column named 'file' would clash with the folders' names")
+    table = result.data.withColumn(result.source, shown).withColumnRenamed(result.source, "file").hint("rebalance", "file")
+    table = as_text_table(table) if extension == "csv" else table
+    writer = table.write.mode(mode).partitionBy("file")
+    if extension == "csv":
+        writer.csv(f"{out_dir}/files", header=True, escape='"')
+    elif extension == "parquet":
+        writer.parquet(f"{out_dir}/files")
+    else:
+        writer.option("ignoreNullFields", "false").json(f"{out_dir}/files")
+    report = kept(result.audit, "files-report")
+    write_csv(report, f"{out_dir}/remediation_report", mode)
+    files = result.data.select(name.alias("value")).where("value is not null").distinct()
+    files.write.mode(mode).text(f"{out_dir}/anonymized_files")
+    manifest = F.to_json(
+        F.struct(
+            F.lit("Tables rewritten by the findings of a scan.").alias("note"),
+            F.lit(result.strategy).alias("strategy"),
+            F.lit(include_review).alias("include_review_findings"),
+            F.col("files"),
+        )
+    )
+    counted = spark.read.text(f"{out_dir}/anonymized_files").agg(F.count("*").alias("files"))
+    counted.select(manifest.alias("value")).write.mode(mode).text(f"{out_dir}/anonymization_manifest")
+    return report
