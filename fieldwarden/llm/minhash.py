@@ -4,15 +4,18 @@ Words are runs outside ASCII white space with A-Z folded; a document's set holds
 fewer words, the whole sequence is the only one). Documents are linked where 100 * intersection >= 75 * union; the
 component of a document is named by the smallest id reachable over links.
 
-1. Equal sets collapse to the smallest id, so copies never become pairs.
+1. Rows with equal sets are one class, so copies never become pairs. A class is known by a number of its own and by the
+   text of its row with the smallest id; rows that share an id with other texts are in other classes.
 2. One hash of each shingle fills 128 bins with their least value; an empty bin borrows from the bin that its own
    fixed random sequence meets first. 32 bands of 4 bins give bucket keys: a pair at similarity 0.75 shares no bucket
-   with a chance of 5e-6, and less above.
-3. A bucket yields edges from its smallest id to the others only. Edges are confirmed on full sets: first one edge for
+   with a chance of 5e-6 (5e-5 for sets of four shingles), and less above.
+3. A bucket yields edges from its smallest class to the others only. Edges are confirmed on full sets: first one edge for
    each document, then those that would still join two components.
 4. Members of a bucket that still lie in several components were not all compared with each other. Such buckets are
    cut into tiles of bounded size; in a tile, members of different components whose signatures agree in 74 of 128 bins
-   (4.4 standard deviations below what similarity 0.75 gives) are compared on full sets. Only links leave a tile.
+   (4.4 standard deviations below what similarity 0.75 gives) are compared on full sets; where one of them has at most
+   64 shingles, whose bins depend on each other, they are compared in any case. Only links leave a tile.
+5. A row finds its class over a join that is salted by the row's place, so a class with a third of all rows is spread.
 
 Null text, empty text and text without words have an empty set and link with nothing. Rows without id link with
 nothing, have no component and are kept. Repeated rows get equal results; rows that repeat an id with another text are
@@ -41,6 +44,10 @@ GROUP = 1000
 TILE = 500
 #: Bins in which two signatures must agree before full sets are compared: 0.75 less 4.4 standard deviations.
 ALIKE_BINS = 74
+#: Sets up to this size are compared without a look at the signatures.
+SMALL_SET = 64
+#: Parts of the rows of one class in the join that names its component.
+SALTS = 64
 _TRIES = np.random.default_rng(7).integers(0, BINS, (BINS, 4 * BINS))
 
 
@@ -108,6 +115,8 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "d1": pa.array(one, pa.int64()),
                 "d2": pa.array(two, pa.int64()),
                 "keys": pa.array(keys, pa.list_(pa.int64())),
+                "tag": part.column("tag"),
+                "salt": pa.array([i % SALTS for i in range(len(sets))], pa.int32()),
             }
             yield record_batch(part, found)
 
@@ -117,7 +126,7 @@ def _sets_for_roles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         for part in slices_by_bytes(batch, "body"):
             sets = [s.tobytes() for s in shingle_sets(part.column("body"))]
-            ids, roles = part.column("doc_id").to_pylist(), part.column("roles").to_pylist()
+            ids, roles = part.column("node").to_pylist(), part.column("roles").to_pylist()
             rows = [(r["a"], r["salt"], r["centre"], i, s) for i, s, own in zip(ids, sets, roles, strict=True) for r in own]
             columns = list(zip(*rows, strict=True)) if rows else [(), (), (), (), ()]
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
@@ -129,7 +138,7 @@ def _sets_for_roles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _near(one: np.ndarray, two: np.ndarray) -> bool:
-    if min(len(one), len(two)) * 100 < PERCENT * max(len(one), len(two)):
+    if not len(one) or not len(two) or min(len(one), len(two)) * 100 < PERCENT * max(len(one), len(two)):
         return False
     at = np.searchsorted(one, two)
     both = int((one[np.minimum(at, len(one) - 1)] == two).sum())
@@ -156,17 +165,23 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def confirmed(docs: DataFrame, edges: DataFrame) -> DataFrame:
+def _with_roles(docs: DataFrame, classes: DataFrame, roles: DataFrame, name: str) -> DataFrame:
+    """The text of each class that has a role, with its number and its roles."""
+    known = roles.groupBy("node").agg(F.collect_list("role").alias("roles"))
+    known = stored(known.join(classes.select("node", F.col("first_id").alias("doc_id"), "tag"), "node"), name)
+    return docs.join(broadcast_if_small(known, weight=F.size("roles") + 2), ["doc_id", "tag"])
+
+
+def confirmed(docs: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
     """Those of ``edges`` (``a, b``) whose full sets are near. Only documents on an edge are read into Python."""
     per = edges.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
     members = edges.join(per, "a").select(
-        F.col("b").alias("doc_id"), F.struct("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("centre")).alias("role")
+        F.col("b").alias("node"), F.struct("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("centre")).alias("role")
     )
     centres = per.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select(
-        F.col("a").alias("doc_id"), F.struct("a", "salt", F.lit(0).alias("centre")).alias("role")
+        F.col("a").alias("node"), F.struct("a", "salt", F.lit(0).alias("centre")).alias("role")
     )
-    roles = stored(members.union(centres).groupBy("doc_id").agg(F.collect_list("role").alias("roles")), "roles")
-    sets = docs.join(broadcast_if_small(roles), "doc_id").mapInArrow(
+    sets = _with_roles(docs, classes, members.union(centres), "roles").mapInArrow(
         _sets_for_roles, "a long, salt int, centre int, b long, held binary"
     )
     groups = sets.repartition("a", "salt").sortWithinPartitions("a", "salt", "centre")
@@ -187,7 +202,7 @@ def _tile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices_by_bytes(batch, "body"):
             sets = shingle_sets(part.column("body"))
             sketches = signatures(sets).astype(np.uint8)
-            ids, roles = part.column("doc_id").to_pylist(), part.column("roles").to_pylist()
+            ids, roles = part.column("node").to_pylist(), part.column("roles").to_pylist()
             rows = [
                 (r["key"], min(r["part"], o), max(r["part"], o), r["part"], r["component"], ids[k], own.tobytes(), sketches[k].tobytes())
                 for k, own in enumerate(sets)
@@ -212,7 +227,8 @@ def _tile_links(tile: list[tuple]) -> list[tuple[int, int]]:
         rest = np.arange(x + 1, len(tile))
         rest = rest[(component[rest] != component[x]) & (whole | (part[rest] != part[x]))]
         rest = rest[np.minimum(size[rest], size[x]) * 100 >= np.maximum(size[rest], size[x]) * PERCENT]
-        for y in rest[(sketch[rest] == sketch[x]).sum(1) >= ALIKE_BINS].tolist():
+        alike = (sketch[rest] == sketch[x]).sum(1) >= ALIKE_BINS
+        for y in rest[alike | (np.minimum(size[rest], size[x]) <= SMALL_SET)].tolist():
             if _near(sets[x], sets[y]):
                 found.append((min(tile[x][5], tile[y][5]), max(tile[x][5], tile[y][5])))
     return found
@@ -236,15 +252,14 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(tile)
 
 
-def _left_out(docs: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
+def _left_out(docs: DataFrame, classes: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
     """Links between different components among members of one bucket, found tile by tile; no pair is a row."""
     seen = _labelled(links, "doc", labels)
     mixed = seen.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"))
     several = mixed.filter("x < y and n > 2").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("part")
-    members = seen.join(several, "key").select(F.col("doc").alias("doc_id"), F.struct("key", part, "parts", "component").alias("role"))
-    roles = stored(members.groupBy("doc_id").agg(F.collect_list("role").alias("roles")), "members")
-    rows = docs.join(broadcast_if_small(roles), "doc_id").mapInArrow(
+    members = seen.join(several, "key").select(F.col("doc").alias("node"), F.struct("key", part, "parts", "component").alias("role"))
+    rows = _with_roles(docs, classes, members, "members").mapInArrow(
         _tile_rows, "key long, i int, j int, part int, component long, doc long, held binary, sketch binary"
     )
     tiles = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
@@ -257,39 +272,42 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     Columns named in ``carry`` (they should be narrow) come back in the struct ``carried``.
     """
     bound_text_batches(docs.sparkSession)
-    given = docs.select(
-        F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("body"), *carrying(docs, carry)
-    )
-    schema = with_carried("doc_id long, n_shingles long, d1 long, d2 long, keys array<long>", given)
+    body = F.col(text).cast("string")
+    given = docs.select(F.col(id_column).cast("long").alias("doc_id"), body.alias("body"), F.xxhash64(body).alias("tag"), *carrying(docs, carry))
+    schema = with_carried("doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, tag long, salt int", given)
     described = stored(given.mapInArrow(_described, schema), "signatures")
-    given = given.select("doc_id", "body")
     held = ["carried"] if carry else []
     linkable = described.filter("n_shingles > 0 and doc_id is not null")
     digest = ["n_shingles", "d1", "d2"]
-    classes = linkable.groupBy(*digest).agg(F.min("doc_id").alias("first_id"))
-    first = linkable.join(classes, digest).filter("doc_id = first_id").dropDuplicates(["doc_id", *digest])
-    bands = first.select(F.col("doc_id").alias("doc"), F.explode("keys").alias("key"))
+    classes = linkable.groupBy(*digest).agg(F.min(F.struct("doc_id", "tag")).alias("first"), F.any_value("keys").alias("keys"))
+    classes = classes.select(*digest, F.col("first.doc_id").alias("first_id"), F.col("first.tag").alias("tag"), "keys")
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    bands = classes.select(F.col("node").alias("doc"), F.explode("keys").alias("key"))
     buckets = bands.groupBy("key").agg(F.min("doc").alias("centre"), F.count("*").alias("n")).filter("n > 1").drop("n")
     links = stored(bands.join(buckets, "key"), "buckets")
     stars = links.filter("doc <> centre").groupBy(F.col("centre").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("n"))
     stars = stored(stars, "stars")
-    full = given.filter("doc_id is not null")
+    full = given.select("doc_id", "body", "tag").filter("doc_id is not null")
     best = stars.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
-    near = confirmed(full, best)
+    near = confirmed(full, classes, best)
     labels = stored(components(near), "labels")
     apart = _labelled(stars.select("b", F.col("a")), "a", labels).withColumnRenamed("component", "ca")
     apart = _labelled(apart, "b", labels).filter("component <> ca").select("a", "b")
-    near = near.union(confirmed(full, apart.join(best, ["a", "b"], "left_anti")))
+    near = near.union(confirmed(full, classes, apart.join(best, ["a", "b"], "left_anti")))
     labels = stored(components(near), "labels")
-    near = near.union(_left_out(full, links, labels))
+    near = near.union(_left_out(full, classes, links, labels))
     labels = stored(components(near), "labels")
-    named = described.join(classes, digest, "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("first_id", "doc_id")).alias("first_id"), *held
+    named = _labelled(classes.select(*digest, "node", "first_id"), "node", labels)
+    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = named.join(least, "component").select(*digest, "component_id")
+    parts = linkable.select(*digest, "salt").distinct().join(named, digest)
+    of_row = described.join(parts, [*digest, "salt"], "left").withColumn(
+        "component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     )
-    return _labelled(named, "first_id", labels).select(
+    return of_row.select(
         "doc_id",
         "n_shingles",
-        F.col("component").alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"),
+        "component_id",
+        F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"),
         *held,
     )

@@ -51,9 +51,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (already stored) with a broadcast hint if its counted rows are within ``limit``."""
-    return F.broadcast(df) if df.count() <= limit else df
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """``df`` (already stored) with a broadcast hint if its counted rows are within ``limit``.
+
+    ``weight`` says for how many narrow rows a row with lists counts.
+    """
+    size = df.count() if weight is None else df.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
 
 
 def with_carried(schema: str, given: DataFrame) -> str | T.StructType:

@@ -34,6 +34,29 @@ def test_minhash_finds_every_component(spark, monkeypatch):
     assert all(r["n_shingles"] == len(plain.shingles(docs[i])) and r["kept"] == (want[i] == i) for i, r in got.items())
 
 
+@pytest.mark.parametrize("others", [(None,), (None, "", " \t"), ("one of a kind {} and nothing like it anywhere", None)])
+def test_repeated_ids_lend_each_other_nothing(spark, monkeypatch, others):
+    monkeypatch.setattr(minhash, "TILE", 40)
+    draw = random.Random(3)
+    passage = [f"p{i}" for i in range(60)]
+    docs = {i: " ".join([*passage, *(f"w{draw.randrange(10**6)}" for _ in range(20))]) for i in range(80)}
+    docs |= {100 + i: docs[i] + " end" for i in range(0, 80, 4)}
+    want = plain.near_components(docs)
+    more = [(i, o.format(i) if o else o) for i in docs for o in others]
+    table = spark.createDataFrame(list(docs.items()) + more, "doc_id long, text string").repartition(4)
+    got = minhash.near_duplicates(table).collect()
+    assert len(got) == len(docs) + len(more)
+    sizes = {i: len(plain.shingles(t)) for i, t in docs.items()}
+    assert {r["doc_id"]: r["component_id"] for r in got if r["n_shingles"] == sizes[r["doc_id"]]} == want
+    assert all(r["component_id"] == r["doc_id"] and r["kept"] for r in got if r["n_shingles"] != sizes[r["doc_id"]])
+
+
+def test_one_id_with_a_third_of_the_rows(spark):
+    rows = [(7, f"text number {i} says {i * 31} things about {i * 17} others") for i in range(200)] + [(7, "same words in the same order again")] * 200
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == 400 and {r["component_id"] for r in got} == {7} and all(r["kept"] for r in got)
+
+
 def repeating(seed, n=120, kinds=40):
     draw = random.Random(seed)
     word = lambda: f"v{draw.randrange(kinds)}"
