@@ -8,8 +8,11 @@
 4. Decoding chooses for every node to keep its subtree, to drop it, or to let its children decide, by the largest sum of
    log-likelihoods. A dropped ancestor thus never has a kept descendant, and the other way round.
 
-Null and empty pages give the empty text. Broken markup is read as far as it goes. With no page to learn from, all
-blocks are kept. Repeated rows get equal results; extra columns are ignored; empty tables are fine; nothing is capped.
+Null and empty pages give the empty text. Broken markup is read as far as it goes: a script or style without its end
+takes the rest of the page, other elements without theirs do not; a tag without ">" is left out with what follows it.
+Very long pages are read in one pass; a page is held by one task. With no page to learn from, the markup alone decides:
+blocks that say what else they are (and those inside them) go, the others stay. Ties between keeping and dropping keep.
+Repeated rows get equal results; extra columns are ignored; empty tables are fine; nothing is capped.
 """
 
 from __future__ import annotations
@@ -31,10 +34,17 @@ TREES, DEPTH, RATE, LEVELS = 40, 3, 0.3, 32
 #: What letting the children decide costs, in log-likelihood.
 MIXED_COST = 1.0
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# Quotation marks hold a ">" only after "="; what was read is not tried in another way, so that reading stays linear.
+_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>\"'=]+|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[=\"'])*+)>",
+    re.S,
+)
+_UNENDED = re.compile(r"<[a-zA-Z/!?]")
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-label)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 _RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "svg", "template"}
+_ENDLESS = {"script", "style"}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
 _GROUPS = (
     {"p"},
@@ -103,15 +113,19 @@ class Page:
                 held.clear()
             linked = 0
 
-        at = 0
+        at, last = 0, source.rfind(">") + 1  # no tag ends behind it
+        unclosed: set[str] = set()
         while at < len(source):
-            found = _TAG.search(source, at)
-            text = source[at : found.start() if found else len(source)]
+            found = _TAG.search(source, at, last) if at < last else None
+            if found:
+                text = source[at : found.start()]
+            else:
+                text = _UNENDED.split(source[at:], maxsplit=1)[0]
             if text:
                 held.append(text)
                 if links:
                     linked += len(text)
-            if not found:
+            if not found or found.group().startswith("<!--") and not found.group().endswith("-->"):
                 break
             at = found.end()
             closing, name, attributes = found.group(1), found.group(2), found.group(3)
@@ -119,9 +133,14 @@ class Page:
                 continue
             tag = name.lower()
             if tag in _RAW:
-                if not closing and not attributes.endswith("/"):
+                if not closing and not attributes.endswith("/") and tag not in unclosed:
                     end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-                    at = end.end() if end else len(source)
+                    if end:
+                        at = end.end()
+                    elif tag in _ENDLESS:
+                        break
+                    else:
+                        unclosed.add(tag)
                 continue
             if tag in _VOID:
                 if tag == "hr":
@@ -258,6 +277,15 @@ class Page:
             label[i] = 0 if bad or above == 0 else 1 if good and self.tag[i] in _ARTICLE_TAGS else above
         return label
 
+    def told(self) -> np.ndarray:
+        """Chances of being article as far as the markup alone tells."""
+        chance = np.full(len(self.tag), 0.8)
+        for i in range(1, len(self.tag)):
+            good, bad = self.hints(i)
+            above = chance[self.parent[i]]
+            chance[i] = 0.02 if bad or above < 0.5 else 0.95 if good else above
+        return chance
+
     def decoded(self, chance: np.ndarray) -> str:
         """The text of the kept segments for the nodes' chances of being article."""
         p = np.clip(chance, 1e-4, 1 - 1e-4)
@@ -329,8 +357,6 @@ class BoostedTrees:
         return value[node]
 
     def chance(self, x: np.ndarray) -> np.ndarray:
-        if not self.trees:
-            return np.ones(len(x))
         binned = self._binned(x)
         return 1 / (1 + np.exp(-(self.base + sum(self._leaf(t, binned) for t in self.trees))))
 
@@ -383,8 +409,11 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url: str = "url", so
         for batch in batches:
             for part in slices_by_bytes(batch, "body"):
                 read = [Page(s or "") for s in part.column("body").to_pylist()]
-                x = np.concatenate([p.features() for p in read])
-                chance = np.split(model.chance(x), np.cumsum([len(p.tag) for p in read])[:-1])
+                if model.trees:
+                    x = np.concatenate([p.features() for p in read])
+                    chance = np.split(model.chance(x), np.cumsum([len(p.tag) for p in read])[:-1])
+                else:
+                    chance = [p.told() for p in read]
                 texts = [p.decoded(c) for p, c in zip(read, chance, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"]

@@ -1,5 +1,7 @@
 """Learned operators: held-out accuracy, exact searches, recall."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -172,3 +174,32 @@ def test_main_text_of_planted_pages(spark):
     pages = [(i, f"u{i}", PAGE.replace("{tag}", "article" if i % 2 else "main")) for i in range(40)]
     frame = spark.createDataFrame(pages, "page_id long, url string, html string")
     assert {r["text"] for r in html_text.main_text(frame).collect()} == {TEXT}
+
+
+@pytest.mark.parametrize("tag", ["svg", "noscript", "template", "iframe", "textarea", "title"])
+def test_an_unclosed_element_does_not_take_the_page(tag):
+    page = html_text.Page(f"<div class='icon'><{tag}></div><article><p>Words of the article stay.</p></article><{tag}>")
+    assert "Words of the article stay." in [text for _, text, _ in page.segments]
+    assert not [s for s in html_text.Page("<p>a</p><script>var x = '<p>b</p>'").segments if "b" in s[1]]
+
+
+def test_stray_quotes_and_unended_tags():
+    read = lambda source: [text for _, text, _ in html_text.Page(source).segments]
+    assert read('<div title="it"s"><p>one</p></div><p>two</p>') == ["one", "two"]
+    assert read("<p class='a>b' id=\"c>d\">one</p>") == ["one"]
+    assert read("<p>one</p><a href=") == ["one"]
+    assert read("<p>one</p><!-- two <p>three</p>") == ["one"]
+    assert read("<p>1 < 2 and 3</p>tail") == ["1 < 2 and 3", "tail"]
+
+
+@pytest.mark.parametrize("part", ["<a ", "<svg>", "<a href=\"x", "<!--", "<p>x", "<b", "< ", "</", "<a =\"x\">", "&amp;"])
+def test_very_long_broken_pages_are_read_in_one_pass(part):
+    begun = time.perf_counter()
+    html_text.Page("<p>one</p>" + part * (2_000_000 // len(part)))
+    assert time.perf_counter() - begun < 20
+
+
+def test_without_articles_the_markup_decides(spark):
+    body = "<body><nav><a href=1>One</a></nav><div class=story><p>The text of the page.</p></div><div class=comments><p>Nice.</p></div><footer>(c)</footer></body>"
+    frame = spark.createDataFrame([(1, "u", body)], "page_id long, url string, html string")
+    assert html_text.main_text(frame).first()["text"] == "The text of the page."
