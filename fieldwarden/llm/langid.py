@@ -107,11 +107,17 @@ class Profiles:
 
 
 def prototypes(docs: DataFrame, bound: int = EXAMPLES) -> tuple[list[str], np.ndarray]:
-    """Languages in order of name and their centred unit prototypes, from ``doc_id, body, lang``."""
+    """Languages in order of name and their centred unit prototypes, from ``doc_id, body, lang``.
+
+    The rows that teach are at most about ``bound``, shared out by language, so that a rare language keeps all of its rows.
+    """
     wanted = docs.filter("doc_id is not null and lang is not null")
     wanted = wanted.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
-    share = int(1_000_000 * min(1.0, bound / max(wanted.count(), 1)))
-    wanted = wanted.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).select("body", "lang")
+    shares = wanted.groupBy("lang").agg(F.count("*").alias("n"))
+    own = bound / max(shares.count(), 1)
+    shares = shares.select(F.col("lang").alias("_lang"), F.least(F.lit(1.0), F.lit(own) / F.col("n")).alias("_share"))
+    wanted = wanted.join(shares, F.col("lang") == F.col("_lang"))
+    wanted = wanted.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * F.col("_share")).select("body", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sums = Profiles(), {}

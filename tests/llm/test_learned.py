@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldwarden.llm import calibrate, html_text, nn_descent, quality, queries, toxicity
+from fieldwarden.llm import calibrate, html_text, langid, nn_descent, quality, queries, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -33,6 +33,14 @@ def test_language_held_out(spark):
     assert right / n >= 0.97
 
 
+def test_a_rare_language_is_learned_from_all_its_rows(spark):
+    common = [(i, f"the committee will decide on the matter number {i} and the others after that", "en") for i in range(0, 8000, 2)]
+    rare = [(100_001 + i, f"qwx zzyq vvok plurx number {i} qwxa zzyqa vvoka", "xx") for i in range(12)]
+    table = spark.createDataFrame(common + rare, "doc_id long, text string, lang string")
+    got = langid.identify(table, bound=60).filter("doc_id > 100000")
+    assert {r["lang_pred"] for r in got.collect()} == {"xx"}
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_block_max_search_is_exact(seed):
     draw = np.random.default_rng(seed)
