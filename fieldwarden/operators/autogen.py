@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fieldwarden.functions.text import as_text
 from fieldwarden.operators.expectations import (
+    Prepared,
     NOT_NULL,
     REGEX,
     UNIQUE,
@@ -102,9 +103,12 @@ FALLBACK_RULES = (
 )
 
 
-def fallback_specs(df: DataFrame, existing: Sequence[Expectation] = ()) -> list[Expectation]:
+def fallback_specs(
+    df: DataFrame, existing: Sequence[Expectation] = (), shares: dict[str, float] | None = None
+) -> list[Expectation]:
     """AUT-3: the rules above for every column, but for checks that are already proposed."""
-    shares = {r["column"]: r["numeric_ratio"] for r in numeric_ratios(df, df.columns).collect()}
+    if shares is None:
+        shares = {r["column"]: r["numeric_ratio"] for r in numeric_ratios(df, df.columns).collect()}
     taken = {(s.column, s.type) for s in existing}
     return [
         Expectation(rule.check, c, dict(rule.parameters), rule.rationale, rule.confidence, FALLBACK)
@@ -161,17 +165,23 @@ def auto_expectations(
     order: Sequence[str] = (),
     order_by: str | Sequence[str] | None = None,
     file_name: str = "",
+    shares: dict[str, float] | None = None,
+    prepare: Callable[[list[Expectation]], Prepared] | None = None,
 ) -> AutoRun:
-    """Proposals (optional JSON answers) plus fallbacks, executed over the whole table."""
+    """Proposals (optional JSON answers) plus fallbacks, executed over the whole table.
+
+    ``shares`` of numeric texts and ``prepare``, the counts of a suite, stand for passes over the table where given.
+    """
     suite: list[Expectation] = []
     diagnostics = None
     if proposed is not None:
         items = proposal_items(proposed, text)
         accepted = deduplicated_specs(sanitised_specs(items, df.columns), order)
         suite = _accepted(accepted, order)
-    extra = fallback_specs(df, suite)
+    extra = fallback_specs(df, suite, shares)
     if proposed is not None:
         diagnostics = proposal_diagnostics(proposed, text, items, accepted, df.columns, len(extra))
     suite += extra
-    result = build_report(run_expectations(df, suite, order_by), file_name)
+    outcomes = run_expectations(df, suite, order_by, prepared=prepare(suite) if prepare else None)
+    result = build_report(outcomes, file_name)
     return AutoRun(specs_table(df, suite), outcome_rows(result), result.report, result.failures, diagnostics)

@@ -251,6 +251,73 @@ def quasi_identifiers(
     )
 
 
+def class_sizes(df: DataFrame, groups: Sequence[Sequence[str]], k: int = 5) -> DataFrame:
+    """``place, rows, classes, min_class_size, rows_below_k`` of each column group, the group by its place in ``groups``.
+
+    A row sends two hashes of its values for each group; they are counted in each task before the shuffle, whatever the
+    other groups and columns hold. Null is a value of its own.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    columns = sorted({c for g in groups for c in g})
+    texts = {c: f"__t{i}" for i, c in enumerate(columns)}
+    wide = df.select(*[as_text(q(c), types[c]).alias(texts[c]) for c in columns])
+    keys = []
+    for i, group in enumerate(groups):
+        parts = [x for c in group for x in (F.col(texts[c]).isNull(), F.col(texts[c]))]
+        keys.append(F.struct(F.lit(i).alias("place"), F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit("second"), *parts).alias("b")))
+    counted = wide.select(F.explode(F.array(*keys)).alias("r")).groupBy("r.place", "r.a", "r.b").agg(F.count(F.lit(1)).alias("size"))
+    return counted.groupBy("place").agg(
+        F.sum("size").alias("rows"),
+        F.count(F.lit(1)).alias("classes"),
+        F.min("size").alias("min_class_size"),
+        F.sum(F.when(F.col("size") < k, F.col("size")).otherwise(0)).alias("rows_below_k"),
+    )
+
+
+def _next_level(groups: Sequence[tuple[str, ...]]) -> list[tuple[str, ...]]:
+    """Groups one column larger all of whose parts are among ``groups`` (sorted tuples of one size)."""
+    known = set(groups)
+    heads: dict[tuple[str, ...], list[str]] = {}
+    for g in sorted(groups):
+        heads.setdefault(g[:-1], []).append(g[-1])
+    joined = (head + pair for head, tails in heads.items() for pair in combinations(tails, 2))
+    return [g for g in joined if all(g[:i] + g[i + 1 :] in known for i in range(len(g)))]
+
+
+def minimal_quasi_identifiers(
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    k: int = 5,
+    threshold: float = 0.05,
+    max_size: int | None = None,
+    sets_per_job: int = 64,
+) -> DataFrame:
+    """PRV-3 for groups of any size: the smallest column groups that leave ``threshold`` of the rows in classes below ``k``.
+
+    A class of a group lies within a class of each of its parts, so what identifies goes on to identify with more columns.
+    The search goes up level by level and measures a group only if none of its parts identifies. The levels end with the
+    groups; ``max_size`` ends them before. The driver holds the groups of a level, which are names, never classes.
+    """
+    spark = df.sparkSession
+    names = sorted(columns if columns is not None else df.columns)
+    level = [(c,) for c in names]
+    found: list[tuple] = []
+    while level and (max_size is None or len(level[0]) <= max_size):
+        left = []
+        for at in range(0, len(level), sets_per_job):
+            some = level[at : at + sets_per_job]
+            for r in class_sizes(df, some, k).orderBy("place").collect():
+                group, share = some[r["place"]], r["rows_below_k"] / r["rows"]
+                if share >= threshold:
+                    risk = "HIGH" if share >= 0.2 else "MEDIUM" if share >= 0.05 else "LOW"
+                    found.append((list(group), len(group), risk, r["rows"], r["classes"], r["min_class_size"], r["rows_below_k"]))
+                else:
+                    left.append(group)
+        level = _next_level(left)
+    schema = "columns array<string>, size int, risk string, rows long, classes long, min_class_size long, rows_below_k long"
+    return spark.createDataFrame(found, schema)
+
+
 def expected_formats(columns: Sequence[str], registry: PatternRegistry = DEFAULT_REGISTRY) -> dict[str, list[str]]:
     """Rules whose hint is a whole word of the column name."""
     out = {}

@@ -346,12 +346,14 @@ def missing_companions(columns: Sequence[str], companions=COMPANIONS) -> list[tu
     return out
 
 
-def completeness(df: DataFrame, companions=COMPANIONS, threshold: float = 0.05) -> DataFrame:
+def completeness(
+    df: DataFrame, companions=COMPANIONS, threshold: float = 0.05, rates: DataFrame | None = None
+) -> DataFrame:
     """QLT-3: columns with more than ``threshold`` unusable cells, and absent companions."""
     gaps = F.col("nulls") + F.col("blanks") + F.col("placeholders")
     share = gaps / F.col("rows")
     cells = (
-        completeness_rates(df)
+        (completeness_rates(df) if rates is None else rates)
         .where((F.col("rows") > 0) & (share > threshold))
         .select(
             "column",

@@ -268,6 +268,12 @@ def tallied(cells: DataFrame, registry: PatternRegistry) -> tuple[DataFrame, Dat
         F.count(F.lit(1)).alias("cnt"), F.min("rid").alias("first_rid"), F.max("early").alias("early"),
         F.max("chars").alias("chars"), F.max("wordy").alias("wordy"),
     )
+    return value_tallies(index, registry)
+
+
+def value_tallies(index: DataFrame, registry: PatternRegistry) -> tuple[DataFrame, DataFrame]:
+    """The tallies of distinct stripped values: ``source, column, value, digest, cnt, first_rid, early, chars, wordy``."""
+    value = F.col("value")
     masked = index.select(
         *KEYS, "value", "cnt", "first_rid", "chars", "wordy", F.coalesce("early", registry.mask(value)).alias("mask")
     )
@@ -432,5 +438,5 @@ def full_scan(
 
 __all__ = [
     "ScanResult", "FINDING_COLUMNS", "column_shape", "free_text", "candidate", "priority", "scan_gate",
-    "match_counts", "scan_sample", "scan_cells", "scan_tallies", "tallied", "scan", "scan_files", "full_counts", "full_shape", "full_scan", "column_list", "sample_values",
+    "match_counts", "scan_sample", "scan_cells", "scan_tallies", "tallied", "value_tallies", "scan", "scan_files", "full_counts", "full_shape", "full_scan", "column_list", "sample_values",
 ]

@@ -15,7 +15,7 @@ from fieldwarden.plans.fixed import (
     RISK_LEVELS,
     RULE_ROWS,
 )
-from fieldwarden.plans.tables import CONTACT_COLUMNS, CONTACT_VALUES, IDENTITY_COLUMNS, IDENTITY_VALUES, NOTE_COLUMNS, PERSON, PLACE, TALK_TEXT, TOKEN_BREAK
+from fieldwarden.plans.tables import CONTACT_COLUMNS, CONTACT_VALUES, IDENTITY_COLUMNS, KEY_PARTS, IDENTITY_VALUES, NOTE_COLUMNS, PERSON, PLACE, TALK_TEXT, TOKEN_BREAK
 
 RULES = {name: rx for name, rx, _, _ in RULE_ROWS}
 HINTS = {name: hints for name, _, hints, _ in RULE_ROWS}
@@ -663,6 +663,14 @@ ORACLES: dict[str, str] = {
     "k_anonymity_customer": "SELECT *, round(rows_below_k / rows, 6) AS share_below_k FROM (" + " UNION ALL ".join(
         _classes(c, "customer", 10) for c in ("c_mktsegment,c_nationkey", "c_nationkey", "c_mktsegment")
     ) + ")",
+    "minimal_identifiers": f"WITH t AS (SELECT {select_list(KEY_PARTS)} FROM customer), measured AS (" + " UNION ALL ".join(
+        f"SELECT {m} AS mask, '{','.join(g)}' AS columns, {len(g)} AS size, cast(sum(n) AS BIGINT) AS rows, count(*) AS classes, min(n) AS min_class_size, "
+        f"cast(coalesce(sum(n) FILTER (n < 5), 0) AS BIGINT) AS rows_below_k FROM (SELECT count(*) AS n FROM t GROUP BY {', '.join(g)})"
+        for m in range(1, 1 << len(KEY_PARTS))
+        for g in [sorted(c for i, c in enumerate(KEY_PARTS) if m >> i & 1)]
+    ) + "), found AS (SELECT * FROM measured WHERE rows_below_k / rows >= 0.05) "
+    "SELECT columns, size, CASE WHEN rows_below_k / rows >= 0.2 THEN 'HIGH' ELSE 'MEDIUM' END AS risk, rows, classes, min_class_size, rows_below_k "
+    "FROM found f WHERE NOT EXISTS (SELECT 1 FROM found o WHERE o.mask <> f.mask AND (o.mask & f.mask) = o.mask)",
     "quasi_identifiers_part": "SELECT columns, CASE WHEN rows_below_k / rows >= 0.2 THEN 'HIGH' WHEN rows_below_k / rows >= 0.05 THEN 'MEDIUM' ELSE 'LOW' END AS risk, "
     "concat(cast(rows_below_k AS VARCHAR), ' of ', cast(rows AS VARCHAR), ' rows share their values with fewer than 5 rows.') AS reason FROM (" + " UNION ALL ".join(
         _classes(c, "part", 5) for c in ("p_brand,p_type", "p_brand,p_size", "p_size,p_type", "p_brand,p_size,p_type")
@@ -736,3 +744,5 @@ ORACLES: dict[str, str] = {
 # One pattern per column wins in the order findings are listed, not in remediation order.
 _TAG_RANK = "CASE h.pattern " + " ".join(f"WHEN {sql_text(p)} THEN {i}" for i, p in enumerate(RULES)) + " END"
 ORACLES["anonymised_cells"] = remediated("concat('<PII:', pattern, '>')", CELL_ROWS).replace(RANK_CASE, _TAG_RANK)
+ORACLES["analyze_outcomes"] = ORACLES["auto_outcomes"]
+ORACLES["analyze_completeness"] = ORACLES["completeness_contacts"]

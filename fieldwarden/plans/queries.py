@@ -27,7 +27,8 @@ from fieldwarden.operators.values import (
     stripped_cells,
     value_index,
 )
-from fieldwarden.plans.tables import CONTACT_COLUMNS, CONTACT_VALUES, IDENTITY_VALUES, contacts, derived, doc_tokens, files, identities, notes, shared_dir, table, talk
+from fieldwarden.plans.analyze import SHARED, analyze
+from fieldwarden.plans.tables import CONTACT_COLUMNS, CONTACT_VALUES, IDENTITY_VALUES, KEY_PARTS, contacts, derived, doc_tokens, files, identities, notes, shared_dir, table, talk
 from fieldwarden.sources.catalog import file_states, list_files, scan_path, scan_tables
 from fieldwarden.sources.readers import text_lines
 from fieldwarden.streaming import remediate_stream, write_remediated
@@ -617,6 +618,13 @@ def quasi_identifiers_part(spark, d):
     ).select(F.array_join("columns", ",").alias("columns"), "risk", "reason")
 
 
+@query
+def minimal_identifiers(spark, d):
+    """Columns cut out of a key: no one and no two of them identify where there are rows enough, some three do."""
+    rows = derived(table(spark, d, "customer"), KEY_PARTS)
+    return privacy.minimal_quasi_identifiers(rows).withColumn("columns", F.array_join("columns", ","))
+
+
 @query
 def format_rates(spark, d):
     return privacy.format_rates(contacts(spark, d)).withColumn("rate", F.round("rate", 6))
@@ -692,6 +700,21 @@ def completeness_contacts(spark, d):
     return quality.completeness(contacts(spark, d).drop("rid"))
 
 
+def _shared(spark, d):
+    """Suite, generated checks, completeness and scan of one table from one stored index of its cells."""
+    return analyze(contacts(spark, d), SHARED, "contacts", order_by="rid", entities=False)
+
+
+@query
+def analyze_outcomes(spark, d):
+    return _shared(spark, d).results["auto_expectations"].select("index", "expectation", "column", "passed", "status")
+
+
+@query
+def analyze_completeness(spark, d):
+    return analyze(contacts(spark, d).drop("rid"), ["completeness", "regulatory"], entities=False).results["completeness"]
+
+
 # --- anomalies ------------------------------------------------------------------
 
 

@@ -42,6 +42,13 @@ FILE_COLUMNS = {
     "ssn": f"CASE WHEN c_custkey % 3 <> 2 THEN {CONTACT_COLUMNS['ssn']} END",
 }
 
+KEY_PARTS = {
+    "low": "c_custkey % 11",
+    "middle": "cast(floor(c_custkey / 11) AS BIGINT) % 11",
+    "high": "cast(floor(c_custkey / 121) AS BIGINT) % 11",
+    "segment": "c_mktsegment",
+}
+
 FIRST_NAMES = "CASE c_custkey % 5 WHEN 0 THEN 'Alice' WHEN 1 THEN 'Bruno' WHEN 2 THEN 'Carla' WHEN 3 THEN 'Deren' ELSE 'Elena' END"
 LAST_NAMES = "CASE c_nationkey % 3 WHEN 0 THEN 'Stone' WHEN 1 THEN 'Rivers' ELSE 'Marsh' END"
 VERBS = "CASE c_custkey % 3 WHEN 0 THEN 'called' WHEN 1 THEN 'emailed' ELSE 'reported' END"
@@ -101,4 +108,4 @@ def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-__all__ = ["CONTACT_COLUMNS", "CONTACT_VALUES", "IDENTITY_VALUES", "contacts", "derived", "doc_tokens", "files", "identities", "notes", "shared_dir", "table", "talk"]
+__all__ = ["CONTACT_COLUMNS", "KEY_PARTS", "CONTACT_VALUES", "IDENTITY_VALUES", "contacts", "derived", "doc_tokens", "files", "identities", "notes", "shared_dir", "table", "talk"]
