@@ -79,10 +79,13 @@ class RemediationResult:
         return literal_rows(self.data.sparkSession, rows, AUDIT_SCHEMA)
 
 
-def _collect_findings(findings: DataFrame | ScanResult, source: str | None, registry: PatternRegistry) -> list[dict]:
+def _collect_findings(
+    findings: DataFrame | ScanResult, source: str | None, registry: PatternRegistry, recognisers: bool = True
+) -> list[dict]:
     """Findings of one source as plain rows; a table of several needs ``source``.
 
-    The kinds of findings are asked for first; examples only where some finding is neither of a rule nor of a recogniser.
+    The kinds of findings are asked for first; examples only where some finding is not applied by a rule, nor by a
+    recogniser where ``recognisers`` apply.
     """
     kinds = findings.kinds if isinstance(findings, ScanResult) else findings
     table = findings.findings if isinstance(findings, ScanResult) else findings
@@ -97,8 +100,13 @@ def _collect_findings(findings: DataFrame | ScanResult, source: str | None, regi
     rows = read(kinds, names)
     if len({r.get("source") for r in rows}) > 1:
         raise ValueError("findings of several sources: name the one to apply, or use remediate_files")
-    known = lambda r: r.get("detection_source") in ENTITY_SOURCES or (r.get("detection_source") == REGEX_SOURCE and r["pattern"] in registry)
-    return rows if all(known(r) for r in rows) else read(table, [*names, *SAMPLE_COLUMNS])
+
+    def applied(r: dict) -> bool:
+        if r.get("detection_source") in ENTITY_SOURCES:
+            return recognisers
+        return r.get("detection_source") == REGEX_SOURCE and r["pattern"] in registry
+
+    return rows if all(applied(r) for r in rows) else read(table, [*names, *SAMPLE_COLUMNS])
 
 
 def plan_steps(
@@ -275,11 +283,16 @@ def redact_text(
 
 def anonymise(df: DataFrame, findings: DataFrame | ScanResult, source: str | None = None,
               registry: PatternRegistry = DEFAULT_REGISTRY) -> DataFrame:
-    """REM-16: plain ``<PII:pattern>`` tags; whole cells by rule, examples by literal, in the order of the registry."""
+    """REM-16: plain ``<PII:pattern>`` tags; whole cells by rule, examples by literal, in the order of the listing.
+
+    The result of a scan, which has no order of its own, is listed in the order of the registry.
+    """
     steps: dict[str, list[Step]] = {}
     place = {name: i for i, name in enumerate(registry.names)}
-    rows = _collect_findings(findings, source, registry)
-    for finding in sorted(rows, key=lambda f: (str(f.get("column")), place.get(f.get("pattern"), len(place)), str(f.get("pattern")))):
+    rows = _collect_findings(findings, source, registry, recognisers=False)
+    if isinstance(findings, ScanResult):
+        rows.sort(key=lambda f: (str(f.get("column")), place.get(f.get("pattern"), len(place)), str(f.get("pattern"))))
+    for finding in rows:
         column, pattern = finding.get("column"), finding.get("pattern")
         if column not in df.columns or not pattern:
             continue
