@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldwarden.llm.shared import bound_text_batches, slices_by_bytes
+from fieldwarden.llm.shared import bound_text_batches, broadcast_if_small, slices_by_bytes, stored
 
 #: Bound of the training texts; with more, those with the smallest hash share are used.
 EXAMPLES = 30_000
@@ -113,10 +113,11 @@ def prototypes(docs: DataFrame, bound: int = EXAMPLES) -> tuple[list[str], np.nd
     """
     wanted = docs.filter("doc_id is not null and lang is not null")
     wanted = wanted.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
-    shares = wanted.groupBy("lang").agg(F.count("*").alias("n"))
+    shares = stored(wanted.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     own = bound / max(shares.count(), 1)
     shares = shares.select(F.col("lang").alias("_lang"), F.least(F.lit(1.0), F.lit(own) / F.col("n")).alias("_share"))
-    wanted = wanted.join(shares, F.col("lang") == F.col("_lang"))
+    # a row for each language: texts stay where they are
+    wanted = wanted.join(broadcast_if_small(stored(shares, "shares")), F.col("lang") == F.col("_lang"))
     wanted = wanted.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * F.col("_share")).select("body", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
