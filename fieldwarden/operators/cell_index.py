@@ -61,15 +61,15 @@ class CellIndex:
         self.table, self.order_by, self.registry = df, order_by, registry
         self.types = {f.name: f.dataType for f in df.schema.fields}
         self.names = list(self.types)
-        value = F.col("value")
-        bare = strip(value)
-        is_long, bare_long = F.length(value) > LONG, F.length(strip(value)) > LONG
+        value, bare = F.col("value"), F.col("stripped")
+        is_long, bare_long = F.length(value) > LONG, F.length(bare) > LONG
         early = F.when(is_long & bare_long, registry.mask(bare))
         flags = F.lit(0).cast("long")
         for i, answer in enumerate([_numeric(value), *(value.rlike(python_search(rx)) for rx in KNOWN)]):
             flags = flags.bitwiseOR(F.when(answer, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
         marked = df.withColumn(_ROWS, F.lit("1"))
-        cells = long_form(marked, [*self.names, _ROWS], order_by).select("*", early.alias("early"))
+        cells = long_form(marked, [*self.names, _ROWS], order_by).select("*", strip(value).alias("stripped"))
+        cells = cells.select("*", early.alias("early"))
         keyed = cells.select(
             "column", "rid", "early",
             F.when(~is_long, value).alias("value"),
