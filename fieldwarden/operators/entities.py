@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from fieldwarden.functions.entities import SPAN_TYPE, rule_spans
 from fieldwarden.operators.values import SALT_BUCKETS, top_n, value_index
+from fieldwarden.sources.scratch import kept
 
 EXAMPLES = 5
 
@@ -75,10 +76,10 @@ def entity_hits(values: DataFrame, spans: Callable[[Column], Column] = rule_span
     )
 
 
-def entity_scan(values: DataFrame, spans: Callable[[Column], Column] = rule_spans) -> DataFrame:
+def entity_scan(values: DataFrame, spans: Callable[[Column], Column] = rule_spans, stored: bool = False) -> DataFrame:
     """ENT-1: values holding each entity type, top score, first distinct examples.
 
-    Spans collapse per distinct ``(entity, text)``, partially in each task, so a hot entity type never gathers its spans.
+    ``stored`` keeps the distinct spans in the shared folder, so that both are sums over them. Spans collapse per distinct ``(entity, text)``, partially in each task, so a hot entity type never gathers its spans.
     """
     keys = ["source", "column", "entity"]
     # First position as one number (value, then span): fixed-width minima aggregate by hashing.
@@ -87,6 +88,7 @@ def entity_scan(values: DataFrame, spans: Callable[[Column], Column] = rule_span
     texts = entity_hits(values, spans).groupBy(*keys, "text").agg(
         F.count_if("lead").alias("values"), F.max("score").alias("score"), F.min(place).alias("at")
     )
+    texts = kept(texts, "entity-texts") if stored else texts
     # Both branches name every column of ``texts``; that keeps their plans equal and the exchange shared.
     counts = texts.groupBy(*keys).agg(
         F.sum(F.when(F.col("at").isNotNull(), F.col("values"))).alias("matches"),

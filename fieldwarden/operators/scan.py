@@ -24,6 +24,7 @@ from fieldwarden.operators.entities import entity_hits, entity_scan, entity_valu
 from fieldwarden.operators.values import (
     literal_rows,
     long_form,
+    near_first,
     q,
     sample_values,
     stripped_cells,
@@ -32,6 +33,8 @@ from fieldwarden.operators.values import (
 
 KEYS = ["source", "column"]
 EXAMPLES = 5
+#: Longer texts travel as their digests.
+LONG = 256
 DOMINANT_SHARE = 0.8
 KIND_COLUMNS = ["source", "column", "pattern", "risk", "detection_source"]
 FINDING_COLUMNS = [
@@ -253,14 +256,19 @@ def tallied(cells: DataFrame, registry: PatternRegistry) -> tuple[DataFrame, Dat
     as their SHA-256 after the rules have seen them, so long texts are not
     shuffled just to be counted.
     """
+    return value_tallies(distinct_cells(cells, registry), registry)
+
+
+def distinct_cells(cells: DataFrame, registry: PatternRegistry) -> DataFrame:
+    """The distinct stripped values of ``cells``, as :func:`value_tallies` reads them."""
     value = F.col("value")
-    is_long = F.length(value) > 256
+    is_long = F.length(value) > LONG
     # Only long values are tested before the shuffle; one that matches keeps its text.
     early = cells.select("*", F.when(is_long, registry.mask(value)).alias("early"))
     keyed = early.select(
         *KEYS, "rid", "early",
-        F.length(value).alias("chars"),
-        has_more_than_three_words(value).cast("int").alias("wordy"),
+        F.when(is_long, F.length(value)).alias("chars"),
+        F.when(is_long, has_more_than_three_words(value).cast("int")).alias("wordy"),
         F.when(is_long, F.sha2(value, 256)).alias("digest"),
         F.when(~is_long | (F.col("early") > 0), value).alias("value"),
     )
@@ -268,15 +276,25 @@ def tallied(cells: DataFrame, registry: PatternRegistry) -> tuple[DataFrame, Dat
         F.count(F.lit(1)).alias("cnt"), F.min("rid").alias("first_rid"), F.max("early").alias("early"),
         F.max("chars").alias("chars"), F.max("wordy").alias("wordy"),
     )
-    return value_tallies(index, registry)
+    # short values are measured once each
+    chars, wordy = F.coalesce("chars", F.length("value")), F.coalesce("wordy", has_more_than_three_words(F.col("value")).cast("int"))
+    return index.withColumns({"chars": chars, "wordy": wordy})
+
+
+def masked_values(index: DataFrame, registry: PatternRegistry) -> DataFrame:
+    """``index`` with the rules that match (``mask``); ``digest`` tells long texts."""
+    return index.select(
+        *KEYS, "value", "digest", "cnt", "first_rid", "chars", "wordy", F.coalesce("early", registry.mask(F.col("value"))).alias("mask")
+    )
 
 
 def value_tallies(index: DataFrame, registry: PatternRegistry) -> tuple[DataFrame, DataFrame]:
     """The tallies of distinct stripped values: ``source, column, value, digest, cnt, first_rid, early, chars, wordy``."""
-    value = F.col("value")
-    masked = index.select(
-        *KEYS, "value", "cnt", "first_rid", "chars", "wordy", F.coalesce("early", registry.mask(value)).alias("mask")
-    )
+    return mask_tallies(masked_values(index, registry).drop("digest"), registry)
+
+
+def mask_tallies(masked: DataFrame, registry: PatternRegistry, stored: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The tallies of :func:`masked_values`; where these are ``stored``, few of them are ranked for examples."""
     # Entry -1 stands for the value itself and yields the totals.
     entries = F.concat(F.array(F.lit(-1)), registry.rules_of(F.col("mask")))
     exploded = masked.select(*KEYS, "value", "cnt", "first_rid", "chars", "wordy", F.explode(entries).alias("rule_order"))
@@ -299,11 +317,11 @@ def value_tallies(index: DataFrame, registry: PatternRegistry) -> tuple[DataFram
         F.coalesce(F.array_max(F.transform(rules, lambda x: x["matches"])), F.lit(0)).alias("most"),
         rules.alias("t"),
     )
+    matching = exploded.where("rule_order >= 0 AND cnt > 0 AND chars >= 0 AND wordy >= 0")
+    if stored:
+        matching = near_first(matching, [*KEYS, "rule_order"], "first_rid", EXAMPLES, ["value"])
     firsts = (
-        top_n(
-            exploded.where("rule_order >= 0 AND cnt > 0 AND chars >= 0 AND wordy >= 0"), [*KEYS, "rule_order"], [F.col("first_rid"), F.col("value")],
-            EXAMPLES, ["value"], "k",
-        )
+        top_n(matching, [*KEYS, "rule_order"], [F.col("first_rid"), F.col("value")], EXAMPLES, ["value"], "k")
         .groupBy(*KEYS, "rule_order")
         .agg(F.sort_array(F.collect_list(F.struct("k", "value", "cnt"))).alias("e"))
         .select(*KEYS, "rule_order", F.col("e.value").alias("examples"))
@@ -353,8 +371,12 @@ def scan_tallies(
     registry: PatternRegistry = DEFAULT_REGISTRY,
     entities: bool = True,
     spans: Callable[[Column], Column] = rule_spans,
+    masked: DataFrame | None = None,
 ) -> ScanResult:
-    """Findings and statistics from tallies; ``name`` is how a column is shown, ``column`` how its cells are keyed."""
+    """Findings and statistics from tallies; ``name`` is how a column is shown, ``column`` how its cells are keyed.
+
+    With stored :func:`masked_values`, the built-in recognisers read short texts there, and ``cells`` only for the long ones.
+    """
     is_free = free_text(F.col("avg_length"), F.col("wordy_share"))
     wanted = priority(F.col("name"))
     ruled = F.col("most") / F.col("sample_size") >= DOMINANT_SHARE
@@ -370,10 +392,15 @@ def scan_tallies(
 
     def values() -> DataFrame:
         # one row per column
-        return entity_values(cells.join(F.broadcast(allowed.select(*KEYS)), KEYS, "left_semi"), spans)
+        own = F.broadcast(allowed.select(*KEYS))
+        if masked is None or spans is not rule_spans:
+            return entity_values(cells.join(own, KEYS, "left_semi"), spans)
+        short = masked.where("digest IS NULL").join(own, KEYS, "left_semi")
+        long = entity_values(cells.where(F.length("value") > LONG).join(own, KEYS, "left_semi"), spans)
+        return short.select(*KEYS, F.col("first_rid").alias("rn"), spans(F.col("value")).alias("spans")).unionByName(long)
 
     if entities:
-        findings = findings.unionByName(_entity_findings(entity_scan(values(), spans), allowed))
+        findings = findings.unionByName(_entity_findings(entity_scan(values(), spans, masked is not None), allowed))
 
     def kinds() -> DataFrame:
         plain = _rule_rows(scanned, None, registry).drop("column").withColumnRenamed("name", "column")
@@ -438,5 +465,5 @@ def full_scan(
 
 __all__ = [
     "ScanResult", "FINDING_COLUMNS", "column_shape", "free_text", "candidate", "priority", "scan_gate",
-    "match_counts", "scan_sample", "scan_cells", "scan_tallies", "tallied", "value_tallies", "scan", "scan_files", "full_counts", "full_shape", "full_scan", "column_list", "sample_values",
+    "match_counts", "scan_sample", "scan_cells", "scan_tallies", "tallied", "value_tallies", "distinct_cells", "masked_values", "mask_tallies", "scan", "scan_files", "full_counts", "full_shape", "full_scan", "column_list", "sample_values",
 ]

@@ -8,7 +8,10 @@ costs one row per task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +23,10 @@ SAMPLE_LIMIT = 500
 # Fan-out of the first of two top-n levels: no task ever ranks a whole column.
 SALT_BUCKETS = 16
 COLUMNS_PER_BATCH = 50
+#: Cells whose distinct ones a task groups, on either side of a shuffle; a small file can hold many more.
+CELLS_PER_TASK = 2_000_000
+#: Buckets whose first rows bound the place of the first rows of all.
+BUCKETS = 64
 
 
 def q(name: str) -> Column:
@@ -115,6 +122,43 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, s
     return survivors.withColumn(rank, F.row_number().over(outer)).where(F.col(rank) <= n)
 
 
+def near_first(df: DataFrame, keys: Sequence[str], place: str, n: int, salt: Sequence[str]) -> DataFrame:
+    """``df`` without rows that cannot be among the first ``n`` per key by ``place``, found by sums instead of a ranking.
+
+    The first rows of ``n`` buckets are ``n`` rows, so none behind the last of them counts; keys with rows in fewer buckets
+    keep them all. ``df`` is read twice. Rows with a null key or place come first in a ranking, and stay.
+    """
+    bucket = F.pmod(F.xxhash64(*[F.col(c) for c in salt]), F.lit(BUCKETS))
+    lowest = df.groupBy(*keys, bucket.alias("__bucket")).agg(F.min(place).alias("__low"))
+    bounds = lowest.groupBy(*keys).agg(F.get(F.sort_array(F.collect_list("__low")), F.lit(n - 1)).alias("__bound"))
+    # a row for each key
+    near = df.join(F.broadcast(bounds), list(keys), "left")
+    return near.where(F.col("__bound").isNull() | F.col(place).isNull() | (F.col(place) <= F.col("__bound"))).select(*df.columns)
+
+
+def dealt(rows: DataFrame, at: str, cells: int) -> DataFrame:
+    """``rows`` in as many tasks as their cells ask for, however few splits their files have; ``at`` differs by row."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-cells // CELLS_PER_TASK)), at)
+
+
+def rows_in_files(df: DataFrame) -> int:
+    """Rows of the Parquet files that ``df`` reads, by their footers alone; 0 where it reads none."""
+    files = [re.sub(r"([\\\[\]{}*?])", r"\\\1", unquote(f)) for f in df.inputFiles() if f.endswith(".parquet")]
+    return df.sparkSession.read.schema("`no column` int").parquet(*files).count() if files else 0
+
+
+@contextmanager
+def reducers(spark: SparkSession, wanted: int) -> Iterator[None]:
+    """At least so many shuffle partitions for what is run inside; Spark puts small ones together again."""
+    key = "spark.sql.shuffle.partitions"
+    given = spark.conf.get(key)
+    spark.conf.set(key, str(max(int(given), wanted)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, given)
+
+
 def first_values(index: DataFrame, limit: int) -> DataFrame:
     """First ``limit`` distinct values per column in row order."""
     return top_n(

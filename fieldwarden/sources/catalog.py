@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 
 from fieldwarden.functions.entities import rule_spans
 from fieldwarden.functions.patterns import DEFAULT_REGISTRY, PatternRegistry
-from fieldwarden.operators.scan import ScanResult, scan_cells, scan_sample, scan_tallies, tallied
-from fieldwarden.operators.values import first_values, literal_rows, long_form, sample_values, stripped_cells, value_index
+from fieldwarden.operators.scan import ScanResult, distinct_cells, mask_tallies, masked_values, scan_cells, scan_sample, scan_tallies
+from fieldwarden.operators.values import CELLS_PER_TASK, first_values, literal_rows, long_form, reducers, sample_values, stripped_cells, value_index
 from fieldwarden.sources.manifest import empty_files, file_states, held, list_files
 from fieldwarden.sources.readers import SUPPORTED, UnsupportedSource
 from fieldwarden.sources.scratch import kept
@@ -24,6 +24,8 @@ from fieldwarden.sources.scratch import kept
 # Members of these kinds hold one record per line (delimited ones below a header line).
 LINE_MEMBERS = ("txt", "jsonl", "csv")
 MEMBER_BATCH = 10_000
+#: Bytes of files whose distinct cells one task groups after the shuffle, at most.
+BYTES_PER_REDUCER = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -46,8 +48,9 @@ def scan_path(
 
     The names of files, their columns and the reasons of failures are tables from end to end (see
     :mod:`fieldwarden.sources.manifest`); the number of jobs follows the number of formats and Parquet layouts. Values are
-    read once for the rules, and the columns that the entity gate lets through once more for the entities. The tallies, a
-    row for each file, column and rule, are kept in the shared folder: findings, statistics and status read them.
+    read once; the distinct ones, long texts as digests, and their tallies, a row for each file, column and rule, are kept in
+    the shared folder: findings, statistics and status read them. Columns that can hold long texts are read once more for the
+    entities, where the entity gate lets any through.
 
     A file that turns out to be damaged while it is scanned is reported as failed and gives no findings. Files that are
     empty, blank or of no known layout fail with the reason; a path without any readable file gives empty findings.
@@ -67,7 +70,7 @@ def scan_path(
         frames = [getattr(p, name) for p in parts if getattr(p, name) is not None]
         return reduce(DataFrame.unionByName, frames, spark.createDataFrame([], schema))
 
-    cells = stripped_cells(reduce(DataFrame.unionByName, [p.cells for p in parts]))
+    cells = reduce(DataFrame.unionByName, [p.cells if p.stripped else stripped_cells(p.cells) for p in parts])
     tags = stacked("tags", "file string, tag string").select(F.col("file").alias("source"), "tag")
     names = stacked("names", "file string, raw string, column string").select(F.col("file").alias("source"), "raw", F.col("column").alias("given"))
     sign, raw = F.substring("column", 2, 1), F.expr("substring(column, 3)")
@@ -79,7 +82,10 @@ def scan_path(
         return shown.withColumn("name", F.coalesce("given", "raw")).drop("tag", "raw", "given")
 
     if sample_limit is None:
-        per_column, firsts = tallied(cells, registry)
+        size = max(sum(p.size for p in parts) // CELLS_PER_TASK, (states.agg(F.sum("bytes")).first()[0] or 0) // BYTES_PER_REDUCER)
+        with reducers(spark, size):
+            masked = kept(masked_values(distinct_cells(cells, registry), registry), "cells")
+        per_column, firsts = mask_tallies(masked, registry, stored=True)
         per_column, firsts = kept(per_column, "tallies"), kept(firsts, "examples")
     else:
         first = kept(first_values(value_index(cells), sample_limit), "samples")
@@ -100,7 +106,9 @@ def scan_path(
     listing = listing.unionByName(signs.where(F.substring("column", 2, 1) == "!").select("source", F.col("name").alias("column")))
     listing = listing.distinct().join(gone, "source", "left_anti")
     if sample_limit is None:
-        result = scan_tallies(own, firsts, cells, listing, registry, entities, spans)
+        texts = [(p.cells if p.texts is None else p.texts, p.stripped) for p in parts]
+        texts = reduce(DataFrame.unionByName, [t if stripped else stripped_cells(t) for t, stripped in texts])
+        result = scan_tallies(own, firsts, texts if spans is rule_spans else cells, listing, registry, entities, spans, masked)
     else:
         sample = named(first.where(sign == ":")).join(gone, "source", "left_anti").drop("column").withColumnRenamed("name", "column")
         result = scan_sample(sample, listing, registry, entities, spans)

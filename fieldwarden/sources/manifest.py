@@ -31,8 +31,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldwarden.functions.text import as_text
-from fieldwarden.operators.values import COLUMNS_PER_BATCH, q
+from fieldwarden.functions.text import as_text, strip
+from fieldwarden.operators.values import COLUMNS_PER_BATCH, dealt, q
 from fieldwarden.sources.readers import NA_TOKENS, RECORD_KEYS, SUPPORTED, has_avro
 from fieldwarden.sources.scratch import kept
 
@@ -109,7 +109,9 @@ class Held:
 
     ``tags``: ``file, tag``, the kind of reading that counts for a file. ``names``: ``file, raw, column`` where cells hold a
     column's number. ``listing``: ``file, column`` as far as it is known without the cells. ``failed``: ``file, reason``.
-    ``rows``: ``file, promised, batches`` where a file says how many rows it has.
+    ``rows``: ``file, promised, batches`` where a file says how many rows it has. ``texts``: the cells of columns that can
+    hold long texts, where others are known not to. ``size``: the number of cells, where files tell it. ``stripped``: whether
+    cells are as the scanner sees them already.
     """
 
     cells: DataFrame
@@ -118,6 +120,9 @@ class Held:
     listing: DataFrame | None = None
     failed: DataFrame | None = None
     rows: DataFrame | None = None
+    texts: DataFrame | None = None
+    size: int = 0
+    stripped: bool = False
 
 
 def _lines(spark: SparkSession, path: Path, max_mb: float | None, *kinds: str) -> DataFrame:
@@ -372,17 +377,29 @@ def _picked(df: DataFrame, folders: list[str], names: list[str]) -> DataFrame:
     return df.where(_folder(file).isin(folders) | file.isin(names))
 
 
-def _tagged_cells(df: DataFrame, tag: str) -> DataFrame:
-    """Cells of a table and, for each batch of its columns, one more for every row read."""
+#: Types whose texts never reach the length of a long one.
+_SHORT = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _tagged_cells(df: DataFrame, tag: str, rows: int | None = None, texts_only: bool = False) -> DataFrame:
+    """Stripped cells of a table and, for each batch of its columns, one more for every row read.
+
+    Files of known ``rows`` are dealt to tasks by their cells: a compressed file may hold many more than one task should group.
+    ``texts_only``: only cells of columns whose texts can be long.
+    """
     types = {f.name: f.dataType for f in df.schema.fields}
-    names = list(types)
-    parts = []
-    for k in range(0, max(1, len(names)), COLUMNS_PER_BATCH):
+    names = [n for n in types if not (texts_only and isinstance(types[n], _SHORT))]
+    parts = [] if names or not texts_only else [df.sparkSession.createDataFrame([], CELLS)]
+    for k in range(0, len(names) if texts_only else max(1, len(names)), COLUMNS_PER_BATCH):
         batch = names[k : k + COLUMNS_PER_BATCH]
-        texts = [as_text(q(n), types[n]).alias(f"{tag}:{n}") for n in batch]
-        wide = df.select(F.col(FILE).alias("__file"), F.monotonically_increasing_id().alias("__rid"), *texts, F.lit("1").alias(f"{tag}={k}"))
-        columns = [q(f"{tag}:{n}") for n in batch] + [q(f"{tag}={k}")]
-        long = wide.unpivot(["__file", "__rid"], columns, "column", "value").where(F.col("value").isNotNull())
+        tags = {n: f"{tag}:{n}" for n in batch}
+        wide = df.select(F.col(FILE).alias("__file"), F.monotonically_increasing_id().alias("__rid"), *[q(n).alias(t) for n, t in tags.items()])
+        wide = wide if rows is None else dealt(wide, "__rid", rows * (len(batch) + 1))
+        # numbers and times have nothing to strip
+        texts = [(as_text(q(t), types[n]) if isinstance(types[n], _SHORT) else strip(as_text(q(t), types[n]))).alias(t) for n, t in tags.items()]
+        wide = wide.select("__file", "__rid", *texts, *([] if texts_only else [F.lit("1").alias(f"{tag}={k}")]))
+        columns = [q(t) for t in tags.values()] + ([] if texts_only else [q(f"{tag}={k}")])
+        long = wide.unpivot(["__file", "__rid"], columns, "column", "value").where(F.col("value") != "")
         parts.append(long.select(F.col("__file").alias("source"), "column", "value", F.col("__rid").alias("rid")))
     return reduce(DataFrame.unionByName, parts)
 
@@ -406,8 +423,12 @@ def parquet_held(spark: SparkSession, path: Path, max_mb: float | None, files: D
     for r in groups.collect():  # a row for each table, not for each file
         layouts.setdefault(r["layout"], []).append(r)
         kinds[r["folder"]] = kinds.get(r["folder"], 0) + 1
+    counted = within(reading(spark, "parquet").option("ignoreCorruptFiles", "true").schema("`no column` int").parquet(path), max_mb)
+    promised = kept(counted.groupBy(F.col(FILE).alias("file")).agg(F.count(F.lit(1)).alias("promised")), "parquet-counts")
+    many_rows = {r["layout"]: r["n"] for r in sound.join(promised, "file").groupBy("layout").agg(F.sum("promised").alias("n")).collect()}
     plain = spark.read.option("ignoreCorruptFiles", "true")
-    cells, listing, tags = spark.createDataFrame([], CELLS), [], sound.select("file", F.lit("p").alias("tag"))
+    cells, texts, size = spark.createDataFrame([], CELLS), spark.createDataFrame([], CELLS), 0
+    listing, tags = [], sound.select("file", F.lit("p").alias("tag"))
     expected = []
     for layout, rows in layouts.items():
         schema = plain.parquet(rows[0]["one"]).schema
@@ -416,19 +437,22 @@ def parquet_held(spark: SparkSession, path: Path, max_mb: float | None, files: D
         mixed = [r for r in rows if kinds[r["folder"]] > 1]
         few = [r["folder"] for r in mixed if r["files"] <= NAMED]
         names = [r["file"] for r in sound.where((F.col("layout") == layout) & F.col("folder").isin(few)).select("file").collect()] if few else []
-        cells = cells.unionByName(_tagged_cells(_picked(read, folders, names), "p")) if folders or names else cells
+        picked = [_picked(read, folders, names)] if folders or names else []
         many = [r["folder"] for r in mixed if r["files"] > NAMED]
         if many:
             mine = sound.where((F.col("layout") == layout) & F.col("folder").isin(many)).select(F.col("file").alias("__own"))
             within_folders = _picked(read, many, [])
-            cells = cells.unionByName(_tagged_cells(within_folders.join(mine, F.col(FILE) == F.col("__own"), "left_semi"), "p"))
+            picked.append(within_folders.join(mine, F.col(FILE) == F.col("__own"), "left_semi"))
+        n = many_rows.get(layout, 0)
+        for part in picked:
+            cells = cells.unionByName(_tagged_cells(part, "p", n))
+            texts = texts.unionByName(_tagged_cells(part, "p", n, texts_only=True))
+        size += n * (len(schema.names) + 1)
         members = sound.where(F.col("layout") == layout).select("file")
         listing.append(members.select("file", F.explode(F.array(*[F.lit(n) for n in schema.names]).cast("array<string>")).alias("column")))
         expected.append(members.withColumn("batches", F.lit(-(-max(1, len(schema.names)) // COLUMNS_PER_BATCH))))
-    counted = within(reading(spark, "parquet").option("ignoreCorruptFiles", "true").schema("`no column` int").parquet(path), max_mb)
-    promised = counted.groupBy(F.col(FILE).alias("file")).agg(F.count(F.lit(1)).alias("promised"))
     rows = kept(reduce(DataFrame.unionByName, expected).join(promised, "file"), "parquet-rows") if expected else None
-    return Held(cells, tags, listing=reduce(DataFrame.unionByName, listing) if listing else None, failed=failed, rows=rows)
+    return Held(cells, tags, listing=reduce(DataFrame.unionByName, listing) if listing else None, failed=failed, rows=rows, texts=texts, size=size, stripped=True)
 
 
 def avro_held(spark: SparkSession, path: Path, max_mb: float | None, files: DataFrame) -> Held:
