@@ -39,13 +39,13 @@ from fieldwarden.operators.expectations import (
 from fieldwarden.operators.profile import NUMERIC_TEXT
 from fieldwarden.operators.quality import PLACEHOLDERS
 from fieldwarden.operators.scan import ScanResult, column_list, scan_tallies, value_tallies
-from fieldwarden.operators.values import long_form, stripped_cells, top_n
+from fieldwarden.operators.values import CELLS_PER_TASK, dealt, long_form, near_first, reducers, row_key, rows_in_files, stripped_cells, top_n
 from fieldwarden.sources.scratch import kept
 
 LONG = 256
 #: Rules whose answer is kept for long texts.
 KNOWN = (DATE_VALUE, NUMERIC_VALUE, TRIMMED_TEXT)
-_ROWS = "\u0000rows"
+_ROWS, _RID, _AT = "\u0000rows", "\u0000rid", "\u0000at"
 
 
 def _numeric(text: Column) -> Column:
@@ -53,7 +53,10 @@ def _numeric(text: Column) -> Column:
 
 
 class CellIndex:
-    """The stored index of ``df``; building it is the only full reading of the table."""
+    """The stored index of ``df``; building it is the only full reading of the table.
+
+    Rows of Parquet files are dealt to tasks by the number that the footers tell, as a small file can hold millions of cells.
+    """
 
     def __init__(
         self, df: DataFrame, order_by: str | Sequence[str] | None = None, registry: PatternRegistry = DEFAULT_REGISTRY
@@ -67,8 +70,11 @@ class CellIndex:
         flags = F.lit(0).cast("long")
         for i, answer in enumerate([_numeric(value), *(value.rlike(python_search(rx)) for rx in KNOWN)]):
             flags = flags.bitwiseOR(F.when(answer, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
-        marked = df.withColumn(_ROWS, F.lit("1"))
-        cells = long_form(marked, [*self.names, _ROWS], order_by).select("*", strip(value).alias("stripped"))
+        size = rows_in_files(df) * (len(self.names) + 1)
+        placed = df.select("*", row_key(order_by, self.types).alias(_RID), F.monotonically_increasing_id().alias(_AT))
+        self.dealt = (dealt(placed, _AT, size) if size else placed).drop(_AT)
+        marked = self.dealt.withColumn(_ROWS, F.lit("1"))
+        cells = long_form(marked, [*self.names, _ROWS], _RID).select("*", strip(value).alias("stripped"))
         cells = cells.select("*", early.alias("early"))
         keyed = cells.select(
             "column", "rid", "early",
@@ -85,7 +91,8 @@ class CellIndex:
             F.count(F.lit(1)).alias("cnt"), F.min("rid").alias("first_rid"),
             *[F.max(c).alias(c) for c in ("early", "chars", "bare_chars", "wordy", "flags")],
         )
-        self.index = kept(grouped, "cell-index")
+        with reducers(df.sparkSession, size // CELLS_PER_TASK):
+            self.index = kept(grouped, "cell-index")
 
     @cached_property
     def cells(self) -> DataFrame:
@@ -210,7 +217,7 @@ class CellIndex:
         failing = [(name, i, s) for name, i, s in specs if bad[name, i]]
         rows = None
         if failing:
-            rows = kept(bad_examples(self.table, {k: s for k, (_, _, s) in enumerate(failing)}, self.types, self.order_by), "bad-rows")
+            rows = kept(bad_examples(self.dealt, {k: s for k, (_, _, s) in enumerate(failing)}, self.types, _RID), "bad-rows")
         out = {}
         for name, (cell_specs, position) in layouts.items():
             values = {"n": self.rows} | {f"missing_{k}": self.rows - self._of(c, "filled") for c, k in position.items()}
@@ -230,7 +237,10 @@ class CellIndex:
         repeated = self.cells.where(F.col("column").isin([c for c in columns if c not in long]) & (F.col("cnt") > 1))
         totals = repeated.groupBy("column").agg(F.sum("cnt").alias("duplicates"))
         firsts = (
-            top_n(repeated.select("column", "value", "first_rid"), ["column"], [F.col("first_rid"), F.col("value")], EXAMPLES, ["value"], "k")
+            top_n(
+                near_first(repeated.select("column", "value", "first_rid"), ["column"], "first_rid", EXAMPLES, ["value"]),
+                ["column"], [F.col("first_rid"), F.col("value")], EXAMPLES, ["value"], "k",
+            )
             .groupBy("column")
             .agg(F.sort_array(F.collect_list(F.struct("k", "value"))).alias("e"))
             .select("column", F.col("e.value").alias("duplicate_values"))
