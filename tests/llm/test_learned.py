@@ -145,6 +145,32 @@ def test_crowded_leaves_are_dealt_by_pivots(spark):
     assert (group[near] == group[:, None]).mean() >= 0.4  # at random: about the share of a group
 
 
+def test_the_graph_travels_as_one_row_per_node(spark, monkeypatch):
+    kept = []
+    plain = nn_descent.stored
+    monkeypatch.setattr(nn_descent, "stored", lambda df, name: kept.append((name, plain(df, name))) or kept[-1][1])
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(unit_vectors(12, 300, 8))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert nn_descent.neighbours(table, table.filter("vec_id % 20 = 0").select("vec_id")).count() == 15 * 20
+    counts = {name: df.count() for name, df in kept}
+    assert counts["graph"] == counts["steps"] == 300 and counts["pool"] == 15
+
+
+def test_a_vector_goes_to_a_bounded_number_of_blocks(spark):
+    form = nn_descent.Codes(64, 1.0, True)
+    count = lambda total: nn_descent._block_count(total, form, total * (2 * nn_descent.DEGREE + 1))
+    assert count(500) == count(10_256) == count(51_282) == nn_descent.BLOCKS
+    # node 0 points to 1, 2, 3, of which 3 is new; 5 and 6 point to each other, neither is new
+    edges = [(0, [1, 2, 3], [0.3, 0.2, 0.1], [0, 0, 1]), (4, [0], [0.5], [0]), (5, [6], [0.1], [0]), (6, [5], [0.1], [0])]
+    lists = spark.createDataFrame(edges, "node long, members array<long>, sims array<double>, flags array<tinyint>").repartition(3)
+    got = nn_descent._around(lists, 2).collect()
+    compared = {r["node"]: dict(zip(r["members"], r["flags"], strict=True)) for r in got if r["kind"] == 1}
+    assert compared == {0: {0: 0, 1: 0, 2: 0, 3: 1, 4: 0}, 3: {0: 1, 3: 0}}
+    named = [(r["block"], m) for r in got if r["kind"] == 0 for m in r["members"]]
+    assert len(named) == len(set(named))
+    assert {m for _, m in named} == {0, 1, 2, 3, 4}
+
+
 def test_search_runs_until_nothing_better_is_found(spark):
     # a ring: neighbours of neighbours lead on only step by step
     n = 1200
