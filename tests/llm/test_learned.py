@@ -237,3 +237,21 @@ def test_without_articles_the_markup_decides(spark):
     body = "<body><nav><a href=1>One</a></nav><div class=story><p>The text of the page.</p></div><div class=comments><p>Nice.</p></div><footer>(c)</footer></body>"
     frame = spark.createDataFrame([(1, "u", body)], "page_id long, url string, html string")
     assert html_text.main_text(frame).first()["text"] == "The text of the page."
+
+
+def test_no_python_starts_where_a_shuffle_leaves_no_rows(spark, monkeypatch):
+    # mapInArrow starts Python in every partition of a shuffle, however many of them are empty
+    plans = []
+    plain = nn_descent.stored
+    monkeypatch.setattr(nn_descent, "stored", lambda df, name: plans.append((name, df._jdf.queryExecution().sparkPlan().toString())) or plain(df, name))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(unit_vectors(13, 300, 8))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert nn_descent.neighbours(table, table.filter("vec_id % 20 = 0").select("vec_id")).count() == 15 * 20
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for name, plan in plans:
+        lines = plan.splitlines()
+        for at, line in enumerate(lines):
+            below = [x for x in lines[at + 1 :] if depth(x) > depth(line)]
+            assert "MapInArrow " not in line or not any("REPARTITION" in x for x in below), (name, plan)
+    hops = [plan for name, plan in plans if name == "pool"]
+    assert len(hops) > 1 and all("MapInArrow" not in plan and plan.count("FlatMapGroupsInArrow") == 3 for plan in hops)
