@@ -2,8 +2,8 @@
 
 The names of files stay in DataFrames. Text formats of any number of files and layouts are one read each: header lines,
 line kinds and quoted line breaks are surveyed per file by tasks, and names are joined to column numbers after the
-aggregation. Parquet footers are cut out of the files by Spark, read by tasks and grouped by layout; one read for each
-layout picks its files by their folders while Spark lists them.
+aggregation. The footer of every Parquet file is read, and files are grouped by layout; one read for each layout picks its
+files by their folders while Spark lists them.
 
 Cells carry a two-character tag before the column: the kind of reading and a sign.
 
@@ -21,7 +21,9 @@ Cells carry a two-character tag before the column: the kind of reading and a sig
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -39,8 +41,10 @@ from fieldwarden.sources.scratch import kept
 Path = str | Sequence[str]
 FILE = "_metadata.file_path"
 CELLS = "source string, column string, value string, rid long"
-#: Parquet files up to this size show their layout through their own footer; larger ones through their folder's.
+#: Parquet files up to this size go whole to the tasks that read their footers; of larger ones only the last bytes are read.
 FOOTER_BYTES = 64 << 20
+#: Files over that size whose footers are read at the same time.
+FOOTER_THREADS = 16
 #: Files of one layout in a folder of several layouts that are picked by name; more are picked by a join.
 NAMED = 1000
 _MARK = "﻿"
@@ -342,29 +346,88 @@ def json_held(spark: SparkSession, path: Path, max_mb: float | None, files: Data
 # --- Parquet ----------------------------------------------------------------------
 
 
+def _footer(file) -> tuple[str | None, tuple[str, ...] | None, str | None]:
+    """Layout and column names by the footer at the end of a file, or what is wrong with it."""
+    try:
+        meta = pq.read_metadata(file)
+        names = tuple(dict.fromkeys(meta.schema.column(i).path.split(".")[0] for i in range(meta.num_columns)))
+        return str(meta.schema).split("\n", 1)[1], names, None
+    except Exception as error:  # whatever is wrong with one file, the others are read
+        return None, None, f"Parquet footer cannot be read: {str(error).splitlines()[0][:150]}"
+
+
 def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Layout and column names out of the last bytes of each file."""
     for batch in batches:
-        found = []
-        for tail in batch.column("tail"):
-            try:
-                meta = pq.read_metadata(pa.BufferReader(tail.as_buffer()))
-                names = list(dict.fromkeys(meta.schema.column(i).path.split(".")[0] for i in range(meta.num_columns)))
-                found.append((str(meta.schema).split("\n", 1)[1], names, None))
-            except Exception as error:  # whatever is wrong with one file, the others are read
-                found.append((None, None, f"Parquet footer cannot be read: {str(error).splitlines()[0][:150]}"))
+        found = [_footer(pa.BufferReader(tail.as_buffer())) for tail in batch.column("tail")]
         yield pa.RecordBatch.from_arrays(
             [batch.column("file"), *(pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.list_(pa.string()), pa.string())))],
             ["file", "layout", "columns", "error"],
         )
 
 
+class _Stream(io.RawIOBase):
+    """A file of any store that Spark reads, read where it is asked for."""
+
+    def __init__(self, stream, length: int):
+        self.stream, self.length, self.place = stream, length, 0
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.place
+
+    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
+        self.place = offset + {io.SEEK_SET: 0, io.SEEK_CUR: self.place, io.SEEK_END: self.length}[whence]
+        return self.place
+
+    def readinto(self, into) -> int:
+        self.stream.seek(self.place)
+        found = self.stream.readNBytes(min(len(into), self.length - self.place))
+        into[: len(found)] = found
+        self.place += len(found)
+        return len(found)
+
+
+def _large_footers(spark: SparkSession, files: list[tuple[str, int]]) -> DataFrame:
+    """``file, layout, columns, error`` of files given by name and length, of which only the footers are read, by threads.
+
+    A layout is held once, however many files have it.
+    """
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+
+    def read(file: tuple[str, int]) -> tuple:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file[0]))
+        stream = path.getFileSystem(conf).open(path)
+        try:
+            return _footer(_Stream(stream, file[1]))
+        finally:
+            stream.close()
+
+    known: dict[tuple, int] = {}
+    with ThreadPoolExecutor(FOOTER_THREADS) as pool:
+        numbered = [(name, known.setdefault(found, len(known))) for (name, _), found in zip(files, pool.map(read, files), strict=True)]
+    layouts = spark.createDataFrame([(k, *found) for found, k in known.items()], "k long, layout string, columns array<string>, error string")
+    return spark.createDataFrame(numbered, "file string, k long").join(F.broadcast(layouts), "k").drop("k")
+
+
 def parquet_footers(spark: SparkSession, path: Path, max_mb: float | None) -> DataFrame:
-    """``file, layout, columns, error`` of every Parquet file up to ``FOOTER_BYTES``; only footers leave Spark's reader."""
+    """``file, layout, columns, error`` of every Parquet file, by its own footer.
+
+    Spark's reader cuts the footers out of files up to ``FOOTER_BYTES``; it cannot read a part of a file, so the driver asks
+    the store for the last bytes of larger ones.
+    """
     size = F.conv(F.concat(*[F.substring(F.hex(F.substring("content", -8, 4)), k, 2) for k in (7, 5, 3, 1)]), 16, 10).cast("int")
-    raw = within(reading(spark, "parquet").format("binaryFile").load(path), max_mb).where(F.col("length") <= FOOTER_BYTES)
+    every = within(reading(spark, "parquet").format("binaryFile").load(path), max_mb)
+    raw = every.where(F.col("length") <= FOOTER_BYTES)
     tail = F.substring("content", -(F.least(size, F.col("length").cast("int") - 8) + 8), F.lit(FOOTER_BYTES))
-    return raw.select(F.col(FILE).alias("file"), tail.alias("tail")).mapInArrow(_footers, "file string, layout string, columns array<string>, error string")
+    small = raw.select(F.col(FILE).alias("file"), tail.alias("tail")).mapInArrow(_footers, "file string, layout string, columns array<string>, error string")
+    large = [tuple(r) for r in every.where(F.col("length") > FOOTER_BYTES).select(F.col(FILE), "length").collect()]
+    return small.unionByName(_large_footers(spark, large)) if large else small
 
 
 def _folder(file: Column) -> Column:
@@ -405,16 +468,8 @@ def _tagged_cells(df: DataFrame, tag: str, rows: int | None = None, texts_only:
 
 
 def parquet_held(spark: SparkSession, path: Path, max_mb: float | None, files: DataFrame) -> Held:
-    """All Parquet files, a read for each layout; damaged files end early and show it by the rows they miss.
-
-    A folder stands for its files over ``FOOTER_BYTES``: they have the layout that Spark reads from one of them.
-    """
-    own = files.where("extension = 'parquet' and state = 'PENDING'").select("file")
-    small = parquet_footers(spark, path, max_mb)
-    large = own.join(files.where(F.col("bytes") > FOOTER_BYTES).select("file"), "file", "left_semi").select(
-        "file", F.concat(F.lit("folder "), _folder(F.col("file"))).alias("layout"), F.lit(None).cast("array<string>").alias("columns"), F.lit(None).cast("string").alias("error")
-    )
-    footers = kept(small.unionByName(large), "footers").withColumn("folder", _folder(F.col("file")))
+    """All Parquet files, a read for each layout; damaged files end early and show it by the rows they miss."""
+    footers = kept(parquet_footers(spark, path, max_mb), "footers").withColumn("folder", _folder(F.col("file")))
     failed = footers.where("error is not null").select("file", F.col("error").alias("reason"))
     sound = footers.where("error is null")
     groups = sound.groupBy("folder", "layout").agg(F.count("*").alias("files"), F.min("file").alias("one"))
