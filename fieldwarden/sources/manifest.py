@@ -45,8 +45,6 @@ CELLS = "source string, column string, value string, rid long"
 FOOTER_BYTES = 64 << 20
 #: Files over that size whose footers are read at the same time.
 FOOTER_THREADS = 16
-#: Files of one layout in a folder of several layouts that are picked by name; more are picked by a join.
-NAMED = 1000
 _MARK = "﻿"
 
 
@@ -434,10 +432,17 @@ def _folder(file: Column) -> Column:
     return F.regexp_extract(file, r"^(.*)/[^/]*$", 1)
 
 
-def _picked(df: DataFrame, folders: list[str], names: list[str]) -> DataFrame:
-    """Rows of the files in ``folders`` or named; a condition on the path alone, so Spark lists no others."""
+def _picked(df: DataFrame, folders: list[str], names: DataFrame | None) -> DataFrame:
+    """Rows of the files in ``folders`` or named (``file``); a condition on the path alone, so Spark lists no others.
+
+    The names, however many, go into the condition inside the JVM.
+    """
     file = F.col(FILE)
-    return df.where(_folder(file).isin(folders) | file.isin(names))
+    chosen = _folder(file).isin(folders)
+    if names is not None:
+        listing = getattr(names._jdf, "as")(df.sparkSession._jvm.org.apache.spark.sql.Encoders.STRING()).collectAsList()
+        chosen = chosen | Column(file._jc.isInCollection(listing))
+    return df.where(chosen)
 
 
 #: Types whose texts never reach the length of a long one.
@@ -472,7 +477,7 @@ def parquet_held(spark: SparkSession, path: Path, max_mb: float | None, files: D
     footers = kept(parquet_footers(spark, path, max_mb), "footers").withColumn("folder", _folder(F.col("file")))
     failed = footers.where("error is not null").select("file", F.col("error").alias("reason"))
     sound = footers.where("error is null")
-    groups = sound.groupBy("folder", "layout").agg(F.count("*").alias("files"), F.min("file").alias("one"))
+    groups = sound.groupBy("folder", "layout").agg(F.min("file").alias("one"))
     layouts: dict[str, list] = {}
     kinds: dict[str, int] = {}
     for r in groups.collect():  # a row for each table, not for each file
@@ -489,19 +494,12 @@ def parquet_held(spark: SparkSession, path: Path, max_mb: float | None, files: D
         schema = plain.parquet(rows[0]["one"]).schema
         read = reading(spark, "parquet").option("ignoreCorruptFiles", "true").schema(schema).parquet(path)
         folders = [r["folder"] for r in rows if kinds[r["folder"]] == 1]
-        mixed = [r for r in rows if kinds[r["folder"]] > 1]
-        few = [r["folder"] for r in mixed if r["files"] <= NAMED]
-        names = [r["file"] for r in sound.where((F.col("layout") == layout) & F.col("folder").isin(few)).select("file").collect()] if few else []
-        picked = [_picked(read, folders, names)] if folders or names else []
-        many = [r["folder"] for r in mixed if r["files"] > NAMED]
-        if many:
-            mine = sound.where((F.col("layout") == layout) & F.col("folder").isin(many)).select(F.col("file").alias("__own"))
-            within_folders = _picked(read, many, [])
-            picked.append(within_folders.join(mine, F.col(FILE) == F.col("__own"), "left_semi"))
+        mixed = [r["folder"] for r in rows if kinds[r["folder"]] > 1]
+        names = sound.where((F.col("layout") == layout) & F.col("folder").isin(mixed)).select("file") if mixed else None
+        picked = _picked(read, folders, names)
         n = many_rows.get(layout, 0)
-        for part in picked:
-            cells = cells.unionByName(_tagged_cells(part, "p", n))
-            texts = texts.unionByName(_tagged_cells(part, "p", n, texts_only=True))
+        cells = cells.unionByName(_tagged_cells(picked, "p", n))
+        texts = texts.unionByName(_tagged_cells(picked, "p", n, texts_only=True))
         size += n * (len(schema.names) + 1)
         members = sound.where(F.col("layout") == layout).select("file")
         listing.append(members.select("file", F.explode(F.array(*[F.lit(n) for n in schema.names]).cast("array<string>")).alias("column")))
